@@ -32,4 +32,4 @@ def load() -> None:
         import_module(f"plumbline.catalog.{module}")
 
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("profile", "prepare")
