@@ -54,6 +54,11 @@ def adjusted_skew(col: Column) -> Column:
     )
 
 
+def distinct_estimate(col: Column) -> Column:
+    """Aggregate: distinct non-NULL values from one compact sketch; exact for small counts."""
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(col.isNotNull(), F.xxhash64(col)), F.lit(12))), F.lit(0))
+
+
 def unit_hash(seed: int | str, *keys: Column) -> Column:
     """md5 hex over the seed and the key columns as text; equal in every engine."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))

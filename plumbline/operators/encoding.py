@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed
-from plumbline.functions.columns import coercion_failed, to_number
-from plumbline.operators.keys import clean, column_kinds
+from plumbline.functions.columns import to_number
+from plumbline.operators.keys import column_kinds, quoted, rows_of, text_literal
 from plumbline.operators.profile import distinct_counts, low_frequencies, missing_rates
 
 
@@ -131,7 +131,8 @@ def apply_encoding(df: DataFrame, layout: Layout, keep: Sequence[str] = ()) -> D
     for spec in layout.one_hot:
         text = F.col(f"`{spec['column']}`").cast("string")
         for level, name in zip(spec["levels"], level_columns(spec)):
-            out.append(F.when(text == level, 1.0).otherwise(0.0).alias(name))
+            out.append(F.expr(
+                f"CASE WHEN CAST({quoted(spec['column'])} AS STRING) = {text_literal(level)} THEN 1D ELSE 0D END AS {quoted(name)}"))
         if spec["missing_level"]:
             out.append(text.isNull().cast("double").alias(level_columns(spec)[-1]))
     return df.select(*out)
@@ -147,16 +148,15 @@ def encoding_losses(df: DataFrame, layout: Layout) -> DataFrame:
     elements = []
     for c in layout.numeric:
         if kinds[c] == "text":
-            elements.append(F.when(coercion_failed(F.col(f"`{c}`")), F.struct(
-                F.lit("coerced_numeric").alias("kind"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("level"))))
+            elements.append(
+                f"CASE WHEN {quoted(c)} IS NOT NULL AND try_cast({quoted(c)} AS DOUBLE) IS NULL THEN "
+                f"struct('coerced_numeric' AS kind, {text_literal(c)} AS column, CAST(NULL AS STRING) AS level) END")
     for spec in layout.one_hot:
-        text = F.col(f"`{spec['column']}`").cast("string")
-        name = F.lit(spec["column"]).alias("column")
-        elements.append(F.when(text.isNotNull() & ~text.isin(*spec["levels"]), F.struct(
-            F.lit("unseen_levels").alias("kind"), name, text.alias("level"))))
+        text, name = f"CAST({quoted(spec['column'])} AS STRING)", text_literal(spec["column"])
+        known = ", ".join(text_literal(v) for v in spec["levels"])
+        elements.append(
+            f"CASE WHEN {text} NOT IN ({known}) THEN struct('unseen_levels' AS kind, {name} AS column, {text} AS level) END")
         if not spec["missing_level"]:
-            elements.append(F.when(text.isNull(), F.struct(
-                F.lit("unmatched_missing").alias("kind"), name, F.lit(None).cast("string").alias("level"))))
-    from plumbline.operators.keys import rows_of
-
+            elements.append(
+                f"CASE WHEN {text} IS NULL THEN struct('unmatched_missing' AS kind, {name} AS column, CAST(NULL AS STRING) AS level) END")
     return df.select(rows_of(elements)).groupBy("kind", "column", "level").agg(F.count(F.lit(1)).alias("rows"))

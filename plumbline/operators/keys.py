@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -21,36 +22,55 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, same, how).drop(*[f"__{k}" for k in keys])
 
 
+def quoted(name: str) -> str:
+    """A column name inside SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def number_literal(value) -> str:
+    """A number inside SQL text, exact to the last bit."""
+    if value is None:
+        return "CAST(NULL AS DOUBLE)"
+    return str(value) if isinstance(value, int) else f"CAST('{value!r}' AS DOUBLE)"
+
+
 def attach(
     df: DataFrame, stats: DataFrame, by: Sequence[str]
-) -> tuple[DataFrame, Callable[[str], Column]]:
-    """Give every row its segment's statistics.
+) -> tuple[DataFrame, Callable[[str], str]]:
+    """Give every row its segment's statistics, as SQL text for a path like ``s0.e[3]``.
 
     Without segments ``stats`` is one row and becomes literals; with segments it is joined, by
     broadcast while its counted rows stay small. ``stats`` must be staged.
     """
     if by:
-        return join_on(df, small_side(stats), by), F.col
-    row = stats.first()
-    types = {field.name: field.dataType for field in stats.schema.fields}
+        return join_on(df, small_side(stats), by), lambda path: path
+    row = stats.first().asDict(recursive=True)
 
-    def literal(path: str) -> Column:
-        value, kind = row, T.StructType(stats.schema.fields)
-        for part in path.split("."):
-            kind = kind[part].dataType
-            value = None if value is None else value[part]
-        return F.lit(value).cast(kind)
+    def literal(path: str) -> str:
+        value = row
+        for name, index in re.findall(r"(\w+)|\[(\d+)\]", path):
+            value = None if value is None else (value[name] if name else value[int(index)])
+        return number_literal(value)
 
     return df, literal
 
 
-def staged_stats(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], label: str) -> DataFrame:
-    return stage(df.groupBy(*by).agg(*aggs), label)
+def staged_stats(df: DataFrame, by: Sequence[str], aggs: Sequence[str], label: str) -> DataFrame:
+    return stage(df.groupBy(*by).agg(*[F.expr(a) for a in aggs]), label)
+
+
+def rows_of(elements: Sequence[str]) -> Column:
+    """Generator over the non-NULL structs of a row, given as SQL text."""
+    return F.expr(f"inline(filter(array({', '.join(elements)}), e -> e IS NOT NULL))")
 
 
-def rows_of(elements: Sequence[Column]) -> Column:
-    """Generator over the non-NULL structs of a row."""
-    return F.inline(F.filter(F.array(*elements), lambda e: e.isNotNull()))
+def rows_from(elements: Sequence[str]) -> Column:
+    """Generator over all structs of a row, given as SQL text."""
+    return F.expr(f"inline(array({', '.join(elements)}))")
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -71,8 +91,7 @@ def column_kinds(df: DataFrame) -> dict[str, str]:
 def clean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The named columns with NaN turned into NULL."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    return df.select(*[
-        F.nanvl(F.col(f"`{c}`"), F.lit(None)).alias(c)
-        if isinstance(types[c], (T.DoubleType, T.FloatType)) else F.col(f"`{c}`")
+    return df.selectExpr(*[
+        f"nanvl({quoted(c)}, NULL) AS {quoted(c)}" if isinstance(types[c], (T.DoubleType, T.FloatType)) else quoted(c)
         for c in columns
     ])

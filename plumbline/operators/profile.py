@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import fixed
-from plumbline.functions.columns import adjusted_skew, bucket
-from plumbline.operators.keys import attach, clean, column_kinds, join_on, rows_of, staged_stats
+from plumbline.functions.columns import bucket
+from plumbline.operators.keys import (
+    attach, clean, column_kinds, join_on, quoted, rows_from, rows_of, staged_stats, text_literal,
+)
 from plumbline.operators.quantiles import exact_quantiles, wide_quantiles
 from plumbline.operators.sentinels import detect_sentinels
 from plumbline.session import stage
@@ -21,20 +23,19 @@ EXACT_BELOW = 200
 
 def missing_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows (by..., name, n_rows, n_missing, missing_rate) from one wide aggregate."""
-    values = clean(df, [*by, *columns])
-    wide = values.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.count(F.col(f"`{c}`")).alias(f"__c{i}") for i, c in enumerate(columns)]
+    wide = clean(df, [*by, *columns]).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.expr(f"count({quoted(c)}) AS c{i}") for i, c in enumerate(columns)]
     )
-    return wide.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col("__n").alias("n_rows"), (F.col("__n") - F.col(f"__c{i}")).alias("n_missing"))
-        for i, c in enumerate(columns)
-    ]))).withColumn("missing_rate", F.round(F.col("n_missing") / F.col("n_rows"), 4))
+    return wide.select(*by, rows_from([
+        f"struct({text_literal(c)} AS name, __n AS n_rows, __n - c{i} AS n_missing)" for i, c in enumerate(columns)
+    ])).withColumn("missing_rate", F.expr("round(n_missing / n_rows, 4)"))
 
 
 def distinct_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Staged one-row-per-segment table with a ``d<i>`` distinct estimate per column."""
     return staged_stats(df, by, [
-        F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}") for i, c in enumerate(columns)
+        f"coalesce(hll_sketch_estimate(hll_sketch_agg(CASE WHEN {quoted(c)} IS NOT NULL THEN xxhash64({quoted(c)}) END, 12)), 0) AS d{i}"
+        for i, c in enumerate(columns)
     ], "distinct")
 
 
@@ -50,10 +51,8 @@ def low_frequencies(
     stats = distinct_stats(values, columns, by) if stats is None else stats
     joined, stat = attach(values, stats, by)
     return joined.select(*by, rows_of([
-        F.when(
-            (stat(f"d{i}") < below) & F.col(f"`{c}`").isNotNull(),
-            F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")),
-        )
+        f"CASE WHEN {stat(f'd{i}')} < {below} AND {quoted(c)} IS NOT NULL "
+        f"THEN struct({text_literal(c)} AS name, CAST({quoted(c)} AS STRING) AS value) END"
         for i, c in enumerate(columns)
     ])).groupBy(*by, "name", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -65,9 +64,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     counted = low_frequencies(values, columns, by, stats=stats).groupBy(*by, "name").agg(
         F.count(F.lit(1)).alias("counted")
     )
-    long = stats.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(f"d{i}").alias("est")) for i, c in enumerate(columns)
-    ])))
+    long = stats.select(*by, rows_from([f"struct({text_literal(c)} AS name, d{i} AS est)" for i, c in enumerate(columns)]))
     joined = join_on(long, counted, [*by, "name"], "left")
     exact = F.col("est") < EXACT_BELOW
     return joined.select(
@@ -88,42 +85,33 @@ def kind_column(numeric: Column, integer: Column, distinct: Column) -> Column:
 def shape(df: DataFrame, columns: Sequence[str], target: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Rows (by..., name, present, skew_value, median_abs, q1, q3, outlier_rate, corr) per numeric column."""
     values = clean(df, [*by, *columns, *([target] if target and target not in columns else [])])
-    moments = values.groupBy(*by).agg(*[
-        F.struct(
-            F.count(F.col(f"`{c}`")).alias("present"), adjusted_skew(F.col(f"`{c}`").cast("double")).alias("skew_value"),
-            (F.corr(F.col(f"`{c}`").cast("double"), F.col(target).cast("double")) if target else F.lit(None).cast("double")).alias("corr"),
-        ).alias(f"s{i}")
-        for i, c in enumerate(columns)
-    ])
-    moments = moments.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(f"s{i}.present").alias("present"),
-                 F.col(f"s{i}.skew_value").alias("skew_value"), F.col(f"s{i}.corr").alias("corr"))
-        for i, c in enumerate(columns)
-    ])))
-    measures, probs, wanted = {}, {}, []
+    y = f"CAST({quoted(target)} AS DOUBLE)" if target else "CAST(NULL AS DOUBLE)"
+    aggs, measures, probs, wanted = [], {}, {}, []
     for i, c in enumerate(columns):
-        measures[f"x{i}"], probs[f"x{i}"] = F.col(f"`{c}`"), (0.25, 0.75)
-        measures[f"a{i}"], probs[f"a{i}"] = F.abs(F.col(f"`{c}`")), (0.5,)
+        x = f"CAST({quoted(c)} AS DOUBLE)"
+        aggs.append(
+            f"struct({text_literal(c)} AS name, count({x}) AS present, CASE WHEN count({x}) > 2 THEN "
+            f"skewness({x}) * sqrt(CAST(count({x}) AS DOUBLE) * (count({x}) - 1)) / (count({x}) - 2) END AS skew_value, "
+            f"corr({x}, {y}) AS corr) AS s{i}")
+        measures[f"x{i}"], probs[f"x{i}"] = quoted(c), (0.25, 0.75)
+        measures[f"a{i}"], probs[f"a{i}"] = f"abs({quoted(c)})", (0.5,)
         wanted += [(f"x{i}", 0.25, f"q1_{i}"), (f"x{i}", 0.75, f"q3_{i}"), (f"a{i}", 0.5, f"ma_{i}")]
+    moments = values.groupBy(*by).agg(*[F.expr(a) for a in aggs]).select(
+        *by, rows_from([f"s{i}" for i, _ in enumerate(columns)]))
     fences = stage(wide_quantiles(exact_quantiles(values, measures, probs, by), wanted, by), "fences")
     joined, stat = attach(values, fences, by)
     outside = []
     for i, c in enumerate(columns):
-        spread = stat(f"q3_{i}") - stat(f"q1_{i}")
-        x = F.col(f"`{c}`").cast("double")
-        beyond = (x < stat(f"q1_{i}") - 1.5 * spread) | (x > stat(f"q3_{i}") + 1.5 * spread)
-        outside.append(F.avg(F.when(spread > 0, beyond.cast("double"))).alias(f"o{i}"))
-    rates = joined.groupBy(*by).agg(*outside)
-    names = list(enumerate(columns))
-    rates = rates.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(f"o{i}").alias("outlier_rate")) for i, c in names
-    ])))
-    quartiles = fences.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(f"q1_{i}").alias("q1"), F.col(f"q3_{i}").alias("q3"), F.col(f"ma_{i}").alias("median_abs"))
-        for i, c in names
-    ])))
+        x, q1, q3 = f"CAST({quoted(c)} AS DOUBLE)", stat(f"q1_{i}"), stat(f"q3_{i}")
+        outside.append(
+            f"struct({text_literal(c)} AS name, {q1 if not by else f'any_value({q1})'} AS q1, {q3 if not by else f'any_value({q3})'} AS q3, "
+            f"{stat(f'ma_{i}') if not by else f'any_value(ma_{i})'} AS median_abs, "
+            f"avg(CASE WHEN {q3} > {q1} THEN CASE WHEN {x} < {q1} - 1.5D * ({q3} - {q1}) OR {x} > {q3} + 1.5D * ({q3} - {q1}) "
+            f"THEN 1D WHEN {x} IS NOT NULL THEN 0D END END) AS outlier_rate) AS o{i}")
+    rates = joined.groupBy(*by).agg(*[F.expr(o) for o in outside]).select(
+        *by, rows_from([f"o{i}" for i, _ in enumerate(columns)]))
     keys = [*by, "name"]
-    return join_on(join_on(moments, quartiles, keys, "left"), rates, keys, "left")
+    return join_on(moments, rates, keys, "left")
 
 
 def profile_columns(

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.keys import attach, join_on, rows_of, staged_stats
+from plumbline.operators.keys import attach, join_on, rows_from, rows_of, staged_stats, text_literal
 
 ACCURACY = 20_000
 # Twice the sketch's rank error on each side of the wanted rank.
@@ -20,72 +20,54 @@ MARGIN = 2.0 / ACCURACY
 SMALL = int(4 / MARGIN)
 
 
-def _edges(probs: Sequence[float]) -> list[float]:
-    return [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+def _edges(probs: Sequence[float]) -> str:
+    edges = [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    return f"array({', '.join(map(repr, edges))})"
 
 
 def exact_quantiles(
-    df: DataFrame,
-    measures: Mapping[str, Column],
-    probs: Mapping[str, Sequence[float]],
-    by: Sequence[str] = (),
+    df: DataFrame, measures: Mapping[str, str], probs: Mapping[str, Sequence[float]], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows (by..., measure, prob, n, value): linear interpolation at rank ``prob * (n - 1)``."""
+    """Rows (by..., measure, prob, n, value): linear interpolation at rank ``prob * (n - 1)``.
+
+    ``measures`` maps a name to SQL text over ``df``.
+    """
     names = list(measures)
-    wide = df.select(*by, *[measures[m].cast("double").alias(f"m{i}") for i, m in enumerate(names)])
+    wide = df.select(*by, *[F.expr(f"CAST({measures[m]} AS DOUBLE) AS m{i}") for i, m in enumerate(names)])
     stats = staged_stats(wide, by, [
-        F.struct(
-            F.count(f"m{i}").alias("n"),
-            F.min(f"m{i}").alias("lo"),
-            F.max(f"m{i}").alias("hi"),
-            F.percentile_approx(f"m{i}", _edges(probs[m]), ACCURACY).alias("e"),
-        ).alias(f"s{i}")
+        f"struct(count(m{i}) AS n, min(m{i}) AS lo, max(m{i}) AS hi, "
+        f"percentile_approx(m{i}, {_edges(probs[m])}, {ACCURACY}) AS e) AS s{i}"
         for i, m in enumerate(names)
     ], "brackets")
     joined, stat = attach(wide, stats, by)
-    elements = []
+    elements, wanted = [], []
     for i, m in enumerate(names):
-        value = F.col(f"m{i}")
-        for j, _ in enumerate(probs[m]):
-            small = stat(f"s{i}.n") <= SMALL
-            low = F.when(small, stat(f"s{i}.lo")).otherwise(stat(f"s{i}.e")[2 * j])
-            high = F.when(small, stat(f"s{i}.hi")).otherwise(stat(f"s{i}.e")[2 * j + 1])
-            inside = F.when(value >= low, value)
-            elements.append(F.when(
-                value <= high,
-                F.struct(F.lit(i).alias("m"), F.lit(j).alias("j"), inside.alias("v")),
-            ))
-    counts = joined.select(*by, rows_of(elements)).groupBy(*by, "m", "j", "v").agg(
-        F.count(F.lit(1)).alias("k")
-    )
+        for j, p in enumerate(probs[m]):
+            small = f"{stat(f's{i}.n')} <= {SMALL}"
+            low = f"if({small}, {stat(f's{i}.lo')}, {stat(f's{i}.e[{2 * j}]')})"
+            high = f"if({small}, {stat(f's{i}.hi')}, {stat(f's{i}.e[{2 * j + 1}]')})"
+            elements.append(
+                f"CASE WHEN m{i} <= {high} THEN struct({i} AS m, {j} AS j, CASE WHEN m{i} >= {low} THEN m{i} END AS v) END")
+            wanted.append(f"struct({i} AS m, {j} AS j, {text_literal(m)} AS measure, {p!r}D AS prob, s{i}.n AS n)")
+    counts = joined.select(*by, rows_of(elements)).groupBy(*by, "m", "j", "v").agg(F.count(F.lit(1)).alias("k"))
     running = Window.partitionBy(*by, "m", "j").orderBy(F.col("v").asc_nulls_first())
     counts = counts.withColumn("cum", F.sum("k").over(running))
-    wanted = stats.select(*by, F.inline(F.array(*[
-        F.struct(
-            F.lit(i).alias("m"), F.lit(j).alias("j"), F.lit(m).alias("measure"),
-            F.lit(float(p)).alias("prob"), F.col(f"s{i}.n").alias("n"),
-        )
-        for i, m in enumerate(names) for j, p in enumerate(probs[m])
-    ])))
-    rank = F.col("prob") * (F.col("n") - 1)
-    wanted = wanted.where("n > 0").withColumn("lower", F.floor(rank)).withColumn("upper", F.ceil(rank))
-    picked = join_on(counts, wanted, [*by, "m", "j"]).groupBy(*by, "measure", "prob", "n").agg(
-        F.min(F.struct("cum", "v")).alias("first"),
-        F.min(F.when(F.col("cum") > F.col("lower"), F.struct("cum", "v"))).alias("a"),
-        F.min(F.when(F.col("cum") > F.col("upper"), F.struct("cum", "v"))).alias("b"),
+    requests = stats.select(*by, rows_from(wanted)).where("n > 0")
+    picked = join_on(counts, requests, [*by, "m", "j"]).groupBy(*by, "measure", "prob", "n").agg(
+        F.expr("min(CASE WHEN cum > floor(prob * (n - 1)) THEN struct(cum, v) END) AS a"),
+        F.expr("min(CASE WHEN cum > ceil(prob * (n - 1)) THEN struct(cum, v) END) AS b"),
+    )
+    value = F.expr(
+        "CASE WHEN a.v IS NULL OR b.v IS NULL "
+        "THEN CAST(raise_error('a quantile fell outside its sketch bracket') AS DOUBLE) "
+        "ELSE a.v + (b.v - a.v) * (prob * (n - 1) - floor(prob * (n - 1))) END AS value"
     )
-    low, high = F.col("a.v"), F.col("b.v")
-    share = F.col("prob") * (F.col("n") - 1) - F.floor(F.col("prob") * (F.col("n") - 1))
-    value = F.when(
-        low.isNull() | high.isNull(),
-        F.raise_error(F.lit("a quantile fell outside its sketch bracket")).cast("double"),
-    ).otherwise(low + (high - low) * share)
-    return picked.select(*by, "measure", "prob", "n", value.alias("value"))
+    return picked.select(*by, "measure", "prob", "n", value)
 
 
 def wide_quantiles(quantiles: DataFrame, wanted: Sequence[tuple[str, float, str]], by: Sequence[str]) -> DataFrame:
     """One row per segment with a column per wanted (measure, prob, alias)."""
     return quantiles.groupBy(*by).agg(*[
-        F.max(F.when((F.col("measure") == m) & (F.col("prob") == p), F.col("value"))).alias(alias)
+        F.expr(f"max(CASE WHEN measure = {text_literal(m)} AND prob = {p!r}D THEN value END) AS {alias}")
         for m, p, alias in wanted
     ])

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed
-from plumbline.functions.columns import marker_form
-from plumbline.operators.keys import clean, column_kinds, join_on, rows_of
+from plumbline.functions.columns import distinct_estimate
+from plumbline.operators.keys import clean, column_kinds, join_on, number_literal, quoted, rows_from, rows_of, text_literal
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import stage
 
@@ -24,10 +24,13 @@ def text_markers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
     if not columns:
         return df.sparkSession.createDataFrame([], _schema(df, by))
-    forms = [marker_form(F.col(c)) for c in columns]
-    found = df.select(*by, rows_of([
-        F.when(form.isin(*fixed.TEXT_MARKERS), F.struct(F.lit(c).alias("name"), form.alias("value")))
-        for c, form in zip(columns, forms)
+    markers = ", ".join(text_literal(m) for m in fixed.TEXT_MARKERS)
+    forms = df.selectExpr(*map(quoted, by), *[
+        f"lower(regexp_replace({quoted(c)}, r'^\\s+|\\s+$', '')) AS f{i}" for i, c in enumerate(columns)
+    ])
+    found = forms.select(*by, rows_of([
+        f"CASE WHEN f{i} IN ({markers}) THEN struct({text_literal(c)} AS name, f{i} AS value) END"
+        for i, c in enumerate(columns)
     ])).groupBy(*by, "name", "value").agg(F.count(F.lit(1)).alias("hits"))
     found = found.where(F.col("hits") >= fixed.SENTINEL_MIN_COUNT)
     keyed = found.withColumn("__one", F.lit(1))
@@ -50,17 +53,15 @@ def _schema(df: DataFrame, by: Sequence[str]):
 def code_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows (by..., name, code, hits, low, high, est): one per code met, and one with ``code`` NULL
     for all other values, whose ``low``/``high`` bound them."""
-    codes = [float(c) for c in fixed.NUMERIC_CODES]
-    values = clean(df, [*by, *columns])
-    return values.select(*by, rows_of([
-        F.struct(
-            F.lit(c).alias("name"), F.col(c).cast("double").alias("x"),
-            F.when(F.col(c).cast("double").isin(*codes), F.col(c).cast("double")).alias("code"),
-        )
-        for c in columns
+    codes = ", ".join(f"{c!r}D" for c in fixed.NUMERIC_CODES)
+    values = clean(df, [*by, *columns]).selectExpr(
+        *map(quoted, by), *[f"CAST({quoted(c)} AS DOUBLE) AS x{i}" for i, c in enumerate(columns)])
+    return values.select(*by, rows_from([
+        f"struct({text_literal(c)} AS name, x{i} AS x, CASE WHEN x{i} IN ({codes}) THEN x{i} END AS code)"
+        for i, c in enumerate(columns)
     ])).groupBy(*by, "name", "code").agg(
         F.count(F.lit(1)).alias("n"), F.count("x").alias("hits"), F.min("x").alias("low"),
-        F.max("x").alias("high"), F.approx_count_distinct("x", 0.02).alias("est"),
+        F.max("x").alias("high"), distinct_estimate(F.col("x")).alias("est"),
     )
 
 
@@ -97,14 +98,12 @@ def numeric_codes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
             for high in [None, *highs]:
                 if low is not None and high is not None and low >= high:
                     continue
-                x = F.col(name).cast("double")
-                keep = F.lit(True)
-                if low is not None:
-                    keep = keep & (x > low)
-                if high is not None:
-                    keep = keep & (x < high)
+                x = quoted(name)
+                keep = [f"{x} > {number_literal(low)}"] if low is not None else []
+                keep += [f"{x} < {number_literal(high)}"] if high is not None else []
                 key = f"{name}\t{low}\t{high}"
-                measures[key], probs[key] = F.when(keep, x), (0.25, 0.75)
+                measures[key] = f"CASE WHEN {' AND '.join(keep)} THEN {x} END" if keep else x
+                probs[key] = (0.25, 0.75)
     quartiles = exact_quantiles(values, measures, probs, by)
     part = F.split("measure", "\t")
     quartiles = quartiles.groupBy(*by, part[0].alias("name"), part[1].alias("lo"), part[2].alias("hi")).agg(
@@ -132,7 +131,7 @@ def _few_distinct(values: DataFrame, profile: DataFrame, columns: Sequence[str],
     if not few:
         return estimate.select(*by, "name", F.col("est").alias("distinct"))
     counted = values.select(*by, rows_of([
-        F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")))
+        f"CASE WHEN {quoted(c)} IS NOT NULL THEN struct({text_literal(c)} AS name, CAST({quoted(c)} AS DOUBLE) AS x) END"
         for c in few
     ])).distinct().groupBy(*by, "name").agg(F.count(F.lit(1)).alias("exact"))
     return join_on(estimate, counted, [*by, "name"], "left").select(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed
+from plumbline.operators.keys import quoted, rows_of
 from plumbline.operators.quantiles import exact_quantiles
 
 
@@ -79,9 +80,9 @@ class FittedSteps:
 
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows (name, value): the commonest present value, the smallest on ties. Counts come before the choice."""
-    long = df.select(F.inline(F.filter(F.array(*[
-        F.struct(F.lit(c).alias("name"), _c(c).cast("double").alias("value")) for c in columns
-    ]), lambda e: e["value"].isNotNull())))
+    long = df.select(rows_of([
+        f"CASE WHEN {quoted(c)} IS NOT NULL THEN struct('{c}' AS name, CAST({quoted(c)} AS DOUBLE) AS value) END" for c in columns
+    ]))
     counts = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("name").agg(F.max_by("value", F.struct(F.col("n"), -F.col("value"))).alias("value"))
 
@@ -103,7 +104,7 @@ def fill_values(df: DataFrame, columns: Sequence[str], strategy: str, constant:
         found = {r["name"]: r["value"] for r in most_frequent(df, columns).collect()}
     else:
         found = {r["measure"]: r["value"] for r in exact_quantiles(
-            df, {c: _c(c) for c in columns}, {c: (0.5,) for c in columns}).collect()}
+            df, {c: quoted(c) for c in columns}, {c: (0.5,) for c in columns}).collect()}
     return {c: found.get(c) for c in columns}
 
 
