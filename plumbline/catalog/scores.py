@@ -238,7 +238,7 @@ def selection_gap(spark, folder):
 # --- cuts -------------------------------------------------------------------------
 
 CUT_SQL = """{base}, q AS (SELECT {by} quantile_cont(proba, [{qs}]) AS v FROM base GROUP BY ALL),
-c AS (SELECT DISTINCT {by} round(cut, 6) AS cut FROM (SELECT {by} unnest(v) AS cut FROM q UNION ALL SELECT {by} unnest([{grid}, 0.5]) AS cut FROM q) WHERE cut > 0 AND cut < 1),
+c AS (SELECT DISTINCT {by} round(round(cut, 9), 6) AS cut FROM (SELECT {by} unnest(v) AS cut FROM q UNION ALL SELECT {by} unnest([{grid}, 0.5]) AS cut FROM q) WHERE cut > 0 AND cut < 1),
 g AS (SELECT {by} proba, sum(y) AS pos, count(*) - sum(y) AS neg FROM base GROUP BY ALL),
 x AS (SELECT {cby} cut, CAST(sum(CASE WHEN proba >= cut THEN pos ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN proba >= cut THEN neg ELSE 0 END) AS DOUBLE) AS fp, CAST(sum(pos) AS DOUBLE) AS p, CAST(sum(neg) AS DOUBLE) AS n
    FROM c JOIN g {on} GROUP BY ALL),

@@ -60,8 +60,10 @@ def candidate_cuts(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     listed = ", ".join(f"{v!r}D" for v in even)
     grid = curve.select(*by).distinct() if by else curve.limit(1).select(F.lit(1).alias("__one"))
     grid = grid.select(*by, F.expr(f"explode(array({listed})) AS cut"))
-    quantiles = score_quantiles(curve, by).select(*by, F.expr("round(value, 6) AS cut"))
-    return grid.unionByName(quantiles).where("cut > 0 AND cut < 1").distinct()
+    # The range test comes before the rounding: a quantile just under 1 may round to 1.
+    inside = score_quantiles(curve, by).where("value > 0 AND value < 1")
+    quantiles = inside.select(*by, F.expr("round(round(value, 9), 6) AS cut"))
+    return grid.unionByName(quantiles).distinct()
 
 
 def cut_scores(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -52,17 +52,17 @@ def label_scores(cells: DataFrame, by: Sequence[str] = (), binary: bool = True)
     """
     t = class_table(cells, by)
     per = t.select(*by, "class", "tp", "truth", "predicted",
-                   F.expr("IF(predicted > 0, tp / predicted, 0D) AS p"), F.expr("IF(truth > 0, tp / truth, 0D) AS r"),
-                   F.expr("IF(truth + predicted > 0, 2 * tp / (truth + predicted), 0D) AS f"))
+                   F.expr("IF(predicted > 0, tp / predicted, 0D) AS __p"), F.expr("IF(truth > 0, tp / truth, 0D) AS __r"),
+                   F.expr("IF(truth + predicted > 0, 2 * tp / (truth + predicted), 0D) AS __f"))
     pick = "max(CASE WHEN class = '1' THEN {0} END)" if binary else "avg({0})"
     aggs = [
         F.expr("sum(truth) AS rows"), F.expr("sum(tp) / sum(truth) AS accuracy"),
-        F.expr(f"coalesce({pick.format('f')}, 0D) AS f1"), F.expr(f"coalesce({pick.format('p')}, 0D) AS precision"),
-        F.expr(f"coalesce({pick.format('r')}, 0D) AS recall"),
-        F.expr("avg(CASE WHEN truth > 0 THEN r END) AS balanced_accuracy"),
+        F.expr(f"coalesce({pick.format('__f')}, 0D) AS f1"), F.expr(f"coalesce({pick.format('__p')}, 0D) AS precision"),
+        F.expr(f"coalesce({pick.format('__r')}, 0D) AS recall"),
+        F.expr("avg(CASE WHEN truth > 0 THEN __r END) AS balanced_accuracy"),
     ]
     if binary:
-        aggs.append(F.expr("round(coalesce(max(CASE WHEN class = '0' THEN r END), 0D), 6) AS specificity"))
+        aggs.append(F.expr("round(coalesce(max(CASE WHEN class = '0' THEN __r END), 0D), 6) AS specificity"))
     return per.groupBy(*by).agg(*aggs)
 
 
