@@ -32,4 +32,4 @@ def load() -> None:
         import_module(f"plumbline.catalog.{module}")
 
 
-MODULES: tuple[str, ...] = ("profile", "prepare", "scores", "intervals", "trials")
+MODULES: tuple[str, ...] = ("profile", "prepare", "scores", "intervals", "trials", "batch", "models")

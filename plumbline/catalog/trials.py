@@ -24,14 +24,14 @@ SELECT run, iteration, CASE s % 4 WHEN 0 THEN 'logreg' WHEN 1 THEN 'hist_gbdt' W
  1.0{d} + (p % 4) * 0.5{d} AS weight, 2.5{d} AS imbalance, CASE p % 3 WHEN 0 THEN 'median' WHEN 1 THEN 'mean' ELSE 'none' END AS pipeline,
  p % 2 AS depth, s % 5 = 0 AS tuned, 100.0{d} + (p % 9) * 150 AS wall_sec
 FROM (SELECT l_orderkey AS run, l_linenumber AS iteration, CAST(sum(l_quantity) AS BIGINT) AS q, max(l_partkey) AS p, max(l_suppkey) AS s
-      FROM lineitem GROUP BY l_orderkey, l_linenumber) AS g"""
-TRIALS_SQL = _TRIALS.format(d="::DOUBLE")
+      FROM {lines} GROUP BY l_orderkey, l_linenumber) AS g"""
+TRIALS_SQL = _TRIALS.format(d="::DOUBLE", lines="lineitem")
 W = f"WITH t AS ({TRIALS_SQL})"
 
 
 def trials(spark, folder):
-    table(spark, folder, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(_TRIALS.format(d="D")).withColumn("params", F.expr("map('depth', CAST(depth AS STRING), 'weight', CAST(CAST(weight * 10 AS INT) AS STRING))"))
+    rows = spark.sql(_TRIALS.format(d="D", lines="{lines}"), lines=table(spark, folder, "lineitem"))
+    return rows.withColumn("params", F.expr("map('depth', CAST(depth AS STRING), 'weight', CAST(CAST(weight * 10 AS INT) AS STRING))"))
 
 
 BEFORE = "OVER (PARTITION BY run ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -146,7 +146,7 @@ def budget(spark, folder):
     return T.budget(trials(spark, folder), total_sec=1500.0).select("run", "iteration", "spent_before", "loop_remaining", F.round("fit_share", 6).alias("fit_share"))
 
 
-@query("t10_report_counts", f"""{W}, {DIAG}, c AS (SELECT run, failure_type, count(*) AS n FROM df GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY n DESC, failure_type) AS r FROM c)
+@query("t10_report_counts", f"""{W}, {DIAG}, c AS (SELECT run, failure_type, count(*) AS n, min(iteration) AS first FROM df GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY n DESC, first) AS r FROM c)
 SELECT run, string_agg(failure_type || '=' || n, ',' ORDER BY failure_type || '=' || n) AS diagnoses, max(failure_type) FILTER (r = 1) AS dominant, CAST(sum(n) AS BIGINT) AS attempts FROM d GROUP BY run""")
 def report_counts(spark, folder):
     return T.report_counts(T.diagnose(trials(spark, folder)))

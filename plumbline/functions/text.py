@@ -1,23 +1,29 @@
-"""Text rules: path redaction, log scrubbing, phrase scan with negation."""
+"""Text rules: path redaction, log scrubbing, phrase scan with negation. One regular expression each."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline import fixed
 
+# Letters and digits of any script count as word characters.
+UNICODE = "(?U)"
+
 
 def redact_paths(text: Column) -> Column:
     """Absolute paths, then data file names, replaced by a placeholder."""
-    once = F.regexp_replace(text, fixed.ABSOLUTE_PATH, fixed.REDACTED_PATH)
-    return F.regexp_replace(once, fixed.DATA_FILE, fixed.REDACTED_PATH)
+    once = F.regexp_replace(text, UNICODE + fixed.ABSOLUTE_PATH, fixed.REDACTED_PATH)
+    return F.regexp_replace(once, UNICODE + fixed.DATA_FILE, fixed.REDACTED_PATH)
 
 
 def scrub_log(text: Column) -> Column:
     """Last exception line (else last line), quotes and paths hidden, cut to the limit."""
     lines = F.filter(
-        F.transform(F.split(text, r"\r\n|\r|\n"), lambda s: F.trim(s)), lambda s: s != ""
+        F.transform(F.split(text, r"\r\n|\r|\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != ""
     )
     errors = F.filter(lines, lambda s: s.rlike(fixed.EXCEPTION_LINE))
     chosen = F.coalesce(F.try_element_at(errors, F.lit(-1)), F.try_element_at(lines, F.lit(-1)), F.lit(""))
@@ -25,39 +31,54 @@ def scrub_log(text: Column) -> Column:
     return F.substring(redact_paths(hidden), 1, fixed.SCRUB_LIMIT)
 
 
-def _contains_any(text: Column, needles) -> Column:
-    out = F.lit(False)
-    for needle in needles:
-        out = out | F.contains(text, F.lit(needle))
-    return out
+def _java(text: str) -> str:
+    return "\\Q" + text + "\\E"
 
 
-def undenied(text: Column, phrase: str, cues=None, denials=None) -> Column:
-    """True when ``phrase`` occurs at least once without a denial in the same clause.
+def undenied_pattern(
+    phrases: Sequence[str], cues: Sequence[str] = fixed.NEGATION_CUES,
+    denials: Sequence[str] = fixed.DENYING_PREDICATES, window: int = fixed.NEGATION_WINDOW,
+) -> str:
+    """Pattern that matches a phrase unless its own clause denies it.
 
-    ``text`` must be lower case. Splitting on the phrase leaves the pieces around each occurrence;
-    an occurrence is denied by a cue in the last clause of the window before it, or by a denying
-    predicate in the first clause of the window after it. Windows reach over neighbouring
-    occurrences, so both sides are cut from the whole text by position.
+    A cue that ends before the phrase, or a denying predicate after it, counts when it lies inside the
+    window with no clause break between. The phrase is matched first, so the look-arounds run only there.
     """
-    cues = fixed.NEGATION_CUES if cues is None else cues
-    denials = fixed.DENYING_PREDICATES if denials is None else denials
-    width, window = len(phrase), fixed.NEGATION_WINDOW
-    pieces = F.split(text, F.lit("\\Q" + phrase + "\\E"), F.lit(-1))
-    # 1-based start of every occurrence: lengths of the pieces so far, plus the phrases passed.
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size(pieces) - 1),
-        lambda i: F.aggregate(
-            F.slice(pieces, 1, i), F.lit(0), lambda acc, piece: acc + F.length(piece)
-        ) + (i - 1) * width + 1,
+    inside = "[^" + fixed.CLAUSE_BREAK[1:]
+    before = "|".join(f"{_java(c)}{inside}{{0,{window - len(c)}}}" for c in cues)
+    after = "|".join(f"{inside}{{0,{window - len(d)}}}{_java(d)}" for d in denials)
+    return "|".join(
+        f"{_java(p)}(?<!(?:{before}){_java(p)})(?!{after})" if after else f"{_java(p)}(?<!(?:{before}){_java(p)})"
+        for p in phrases
     )
 
-    def denied(start: Column) -> Column:
-        first = F.greatest(F.lit(1), start - window)
-        before = F.substring(text, first, start - first)
-        clause_before = F.element_at(F.split(before, fixed.CLAUSE_BREAK, -1), -1)
-        after = F.substring(text, start + width, F.lit(window))
-        clause_after = F.element_at(F.split(after, fixed.CLAUSE_BREAK, -1), 1)
-        return _contains_any(clause_before, cues) | _contains_any(clause_after, denials)
 
-    return F.contains(text, F.lit(phrase)) & F.exists(starts, lambda s: ~denied(s))
+def undenied(text: Column, phrases: Sequence[str], **rules) -> Column:
+    """True when any phrase occurs at least once without a denial; ``text`` must be lower case."""
+    return text.rlike(undenied_pattern(phrases, **rules))
+
+
+def claims(text: Column, phrases: dict[str, Sequence[str]] | None = None) -> Column:
+    """Sorted names whose phrases the text uses undenied."""
+    found = [
+        F.when(undenied(F.lower(text), group), F.lit(name))
+        for name, group in sorted((phrases or fixed.CLAIM_PHRASES).items())
+    ]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def private_forms(terms: Sequence[str]) -> list[str]:
+    """Strings no text may hold: each term as given, with forward slashes, and its file name."""
+    forms: set[str] = set()
+    for term in terms:
+        slashed = term.replace("\\", "/")
+        forms |= {term, slashed, re.split(r"/", slashed)[-1]}
+    return sorted(f for f in forms if len(f) >= fixed.PRIVATE_MIN_CHARS)
+
+
+def holds_private(text: Column, terms: Sequence[str]) -> Column:
+    """True when a registered string is contained. The list is what one process registered: short."""
+    out = F.lit(False)
+    for form in private_forms(terms):
+        out = out | F.contains(text, F.lit(form))
+    return out

@@ -207,12 +207,11 @@ def next_family(history: DataFrame, task: str = fixed.CLASSIFICATION) -> DataFra
 
 
 def report_counts(diagnosed: DataFrame) -> DataFrame:
-    """Per run: attempts per diagnosis as text, and the dominant one (first in the alphabet on ties)."""
-    counts = diagnosed.groupBy("run", "failure_type").agg(F.count(F.lit(1)).alias("n"))
+    """Per run: attempts per diagnosis as text, and the dominant one (the earliest made on ties)."""
+    counts = diagnosed.groupBy("run", "failure_type").agg(F.count(F.lit(1)).alias("n"), F.min("iteration").alias("first"))
     return counts.groupBy("run").agg(
         F.expr("array_join(array_sort(collect_list(concat(failure_type, '=', n))), ',') AS diagnoses"),
-        F.expr("array_min(transform(collect_list(struct(n, failure_type)), x -> struct(-x.n AS k, x.failure_type AS f))).f AS dominant"),
-        F.sum("n").alias("attempts"))
+        F.expr("max_by(failure_type, struct(n, -first)) AS dominant"), F.sum("n").alias("attempts"))
 
 
 def cheapest(families: Sequence[str], task: str) -> dict[str, str | None]:
