@@ -329,9 +329,10 @@ def _any(column: str, words) -> str:
 
 
 @query("x10_claims", f"""WITH b AS (SELECT conv_id, turn, lower(text || CASE turn % 4 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TAILS))} END) AS x FROM conversations),
-h(name, phrase) AS (VALUES {PHRASES}), p AS (SELECT conv_id, turn, name, phrase, string_split(x, phrase) AS parts FROM b JOIN h ON contains(x, phrase)),
+h(name, phrase) AS (VALUES {PHRASES}), p AS (SELECT conv_id, turn, name, phrase, x, string_split(x, phrase) AS parts FROM b JOIN h ON contains(x, phrase)),
 o AS (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS i FROM p),
-w AS (SELECT conv_id, turn, name, regexp_extract(right(array_to_string(parts[:i], phrase), 60), '[^.;:!?,()\\[\\]\\n]*$') AS before, regexp_extract(left(array_to_string(parts[i + 1:], phrase), 60), '^[^.;:!?,()\\[\\]\\n]*') AS after FROM o),
+q AS (SELECT conv_id, turn, name, phrase, x, CAST(list_sum(list_transform(parts[:i], lambda s: length(s))) AS BIGINT) + (i - 1) * length(phrase) AS passed FROM o),
+w AS (SELECT conv_id, turn, name, regexp_extract(right(substr(x, 1, passed), 60), '[^.;:!?,()\\[\\]\\n]*$') AS before, regexp_extract(substr(x, passed + length(phrase) + 1, 60), '^[^.;:!?,()\\[\\]\\n]*') AS after FROM q),
 u AS (SELECT DISTINCT conv_id, turn, name FROM w WHERE NOT ({_any('before', fixed.NEGATION_CUES)} OR {_any('after', fixed.DENYING_PREDICATES)})),
 g AS (SELECT conv_id, turn, string_agg(name, ',' ORDER BY name) AS names FROM u GROUP BY conv_id, turn)
 SELECT b.conv_id, b.turn, coalesce(names, '') AS claims FROM b LEFT JOIN g ON b.conv_id = g.conv_id AND b.turn = g.turn""")

@@ -35,7 +35,7 @@ c AS (SELECT r, CAST(sum(CASE WHEN y = 1 AND p = 1 THEN n * w ELSE 0 END) AS DOU
 s AS (SELECT 'accuracy' AS metric, (tp + tn) / (tp + fp + fn + tn) AS v FROM c UNION ALL SELECT 'f1', 2 * tp / (2 * tp + fp + fn) FROM c
   UNION ALL SELECT 'precision', tp / (tp + fp) FROM c UNION ALL SELECT 'recall', tp / (tp + fn) FROM c
   UNION ALL SELECT 'balanced_accuracy', (tp / (tp + fn) + tn / (tn + fp)) / 2 FROM c)
-SELECT metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS resamples, (SELECT count(*) FROM units) AS units, 'group' AS unit FROM s GROUP BY metric"""
+SELECT metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS resamples, (SELECT count(*) FROM units) AS units, 'group' AS unit FROM s GROUP BY metric HAVING (SELECT count(*) FROM units) >= 20"""
 
 
 def _labelled(spark, folder):
@@ -60,7 +60,7 @@ t AS (SELECT r, b, CAST(sum(CASE WHEN y = 1 THEN n * w ELSE 0 END) AS DOUBLE) AS
 x AS (SELECT *, sum(pos) OVER v AS tp, sum(neg) OVER v AS fp FROM t WINDOW v AS (PARTITION BY r ORDER BY b DESC ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT r, sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) AS auc, sum(CASE WHEN pos > 0 THEN pos * tp / (tp + fp) ELSE 0 END) / sum(pos) AS ap FROM x GROUP BY r),
 l AS (SELECT 'roc_auc' AS metric, auc AS v FROM s UNION ALL SELECT 'pr_auc', ap FROM s)
-SELECT metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS resamples, (SELECT count(*) FROM units) AS units, 'group' AS unit FROM l GROUP BY metric"""
+SELECT metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS resamples, (SELECT count(*) FROM units) AS units, 'group' AS unit FROM l GROUP BY metric HAVING (SELECT count(*) FROM units) >= 20"""
 
 
 @query("b1_ranking_bootstrap", RANK_DRAWS)
@@ -73,7 +73,7 @@ def ranking_bootstrap(spark, folder):
 k AS (SELECT l_suppkey, count(*) AS n, sum(amount) AS sy, sum(amount * amount) AS syy, sum((amount - amount_pred) * (amount - amount_pred)) AS sse, sum(abs(amount - amount_pred)) AS sae FROM base GROUP BY ALL),
 c AS (SELECT r, CAST(sum(n * w) AS DOUBLE) AS n, sum(sy * w) AS sy, sum(syy * w) AS syy, sum(sse * w) AS sse, sum(sae * w) AS sae FROM k JOIN weights ON l_suppkey = u GROUP BY r),
 s AS (SELECT 'r2' AS metric, 1 - sse / (syy - sy * sy / n) AS v FROM c UNION ALL SELECT 'mae', sae / n FROM c UNION ALL SELECT 'rmse', sqrt(sse / n) FROM c)
-SELECT metric, round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high, count(v) AS resamples FROM s GROUP BY metric""")
+SELECT metric, round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high, count(v) AS resamples FROM s GROUP BY metric HAVING (SELECT count(*) FROM units) >= 20""")
 def error_bootstrap(spark, folder):
     rows = scored_lines(spark, folder)
     out = B.bootstrap(B.error_draws(rows, "amount", "amount_pred", "l_suppkey"), rows, unit="l_suppkey")

@@ -141,7 +141,7 @@ def rate_changed(fit: Column, now: Column, rows: Column, floor: float) -> Column
     """True when two rates differ by the floor and by two standard errors."""
     p = F.least(F.greatest(F.greatest(fit, now), F.lit(0.0)), F.lit(1.0))
     gap = F.abs(now - fit)
-    return (rows > 0) & (gap >= floor) & (gap >= 2.0 * F.sqrt(p * (1.0 - p) / rows))
+    return (rows > 0) & (gap >= floor) & (gap >= 2.0 * F.sqrt(F.try_divide(p * (1.0 - p), rows)))
 
 
 def switch(value: Column, cuts: Sequence[float]) -> Column:

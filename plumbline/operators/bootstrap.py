@@ -137,8 +137,8 @@ def ranking_draws(
     run = Window.partitionBy(*by, "r").orderBy(F.desc("b"))
     table = table.withColumn("tp", F.sum("pos").over(run)).withColumn("fp", F.sum("neg").over(run))
     out = table.groupBy(*by, "r").agg(
-        F.expr("sum(neg * (tp - pos / 2D)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS roc_auc"),
-        F.expr("sum(IF(pos > 0, pos * (tp / (tp + fp)), 0D)) / sum(pos) AS pr_auc"))
+        F.expr("try_divide(sum(neg * (tp - pos / 2D)), CAST(sum(pos) AS DOUBLE) * sum(neg)) AS roc_auc"),
+        F.expr("try_divide(sum(IF(pos > 0, pos * (tp / (tp + fp)), 0D)), sum(pos)) AS pr_auc"))
     return long_scores(out, ("roc_auc", "pr_auc"), [*by, "r"])
 
 
@@ -152,7 +152,7 @@ def error_draws(
         F.expr(f"sum(({y} - {p}) * ({y} - {p})) AS sse"), F.expr(f"sum(abs({y} - {p})) AS sae"))
     sums = weighted(own, quoted(unit), seed, resamples).groupBy(*by, "r").agg(
         *[F.expr(f"sum({c} * w) AS {c}") for c in ("n", "sy", "syy", "sse", "sae")])
-    out = sums.select(*by, "r", F.expr("1 - sse / (syy - sy * sy / n) AS r2"), F.expr("sae / n AS mae"), F.expr("sqrt(sse / n) AS rmse"))
+    out = sums.select(*by, "r", F.expr("1 - try_divide(sse, syy - sy * sy / n) AS r2"), F.expr("sae / n AS mae"), F.expr("sqrt(sse / n) AS rmse"))
     return long_scores(out, ("r2", "mae", "rmse"), [*by, "r"])
 
 

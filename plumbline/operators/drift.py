@@ -37,7 +37,7 @@ def missing_shift(batch: DataFrame, layout: Layout) -> DataFrame:
     names = [c for c in layout.required if c in layout.column_stats]
     now = missing_rates(batch, names)
     joined = now.join(F.broadcast(stats_frame(batch.sparkSession, layout)), "name")
-    rate = F.col("n_missing") / F.col("n_rows")
+    rate = F.coalesce(F.try_divide("n_missing", "n_rows"), F.lit(0.0))
     return joined.where(rate_changed(F.col("fit"), rate, F.col("n_rows"), fixed.MISSING_RATE_SHIFT)).select(
         F.col("name").alias("column"), "fit", F.round(rate, 4).alias("now"))
 
@@ -57,7 +57,7 @@ def sentinel_shift(batch: DataFrame, layout: Layout) -> DataFrame:
         counts = batch.agg(F.count(F.lit(1)).alias("rows"), *[
             F.expr(f"count_if(try_cast({quoted(n)} AS DOUBLE) = {number_literal(v)}) AS k{i}") for i, (n, v, _) in enumerate(recorded)])
         listed = ", ".join(
-            f"struct({text_literal(n)} AS column, {number_literal(v)} AS value, {number_literal(r)} AS fit, k{i} / rows AS now)"
+            f"struct({text_literal(n)} AS column, {number_literal(v)} AS value, {number_literal(r)} AS fit, coalesce(try_divide(k{i}, rows), 0D) AS now)"
             for i, (n, v, r) in enumerate(recorded))
         moved = counts.select("rows", F.expr(f"inline(array({listed}))")).where(
             rate_changed(F.col("fit"), F.col("now"), F.col("rows"), fixed.SENTINEL_RATE_SHIFT)

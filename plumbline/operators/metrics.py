@@ -73,7 +73,7 @@ def regression_scores(df: DataFrame, truth: str, pred: str, by: Sequence[str] =
         F.expr("count(1) AS rows"), F.expr(f"avg(({y} - {p}) * ({y} - {p})) AS mse"),
         F.expr(f"var_pop({y}) AS spread"), F.expr(f"avg(abs({y} - {p})) AS mae"))
     return sums.select(*by, "rows", F.expr(
-        "CASE WHEN rows < 2 THEN NULL WHEN spread = 0 THEN IF(mse = 0, 1D, 0D) ELSE 1 - mse / spread END AS r2"),
+        "CASE WHEN rows < 2 THEN NULL WHEN spread = 0 THEN IF(mse = 0, 1D, 0D) ELSE 1 - try_divide(mse, spread) END AS r2"),
         "mae", F.expr("sqrt(mse) AS rmse"))
 
 

@@ -28,7 +28,7 @@ def missing_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     )
     return wide.select(*by, rows_from([
         f"struct({text_literal(c)} AS name, __n AS n_rows, __n - c{i} AS n_missing)" for i, c in enumerate(columns)
-    ])).withColumn("missing_rate", F.expr("round(n_missing / n_rows, 4)"))
+    ])).withColumn("missing_rate", F.expr("IF(n_rows > 0, round(n_missing / n_rows, 4), 0D)"))
 
 
 def distinct_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -178,7 +178,7 @@ def class_balance(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFra
 def missing_block(rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Dataset-level missing figures from the per-column rates."""
     return rates.groupBy(*by).agg(
-        F.round(F.sum("n_missing") / F.sum("n_rows"), 4).alias("overall_rate"),
+        F.coalesce(F.round(F.try_divide(F.sum("n_missing"), F.sum("n_rows")), 4), F.lit(0.0)).alias("overall_rate"),
         F.sum((F.col("missing_rate") > 0).cast("bigint")).alias("columns_with_missing"),
         F.max("missing_rate").alias("worst_rate"),
     )

@@ -61,12 +61,12 @@ def ranking_scores(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.expr("any_value(total_pos) AS positives"), F.expr("any_value(total_neg) AS negatives"),
         F.expr("sum(neg * (tp - pos / 2D)) AS area"),
         F.expr("sum(IF(pos > 0, pos * (tp / (tp + fp)), 0D)) AS steps"),
-        F.expr("greatest(0D, max(tp / total_pos - fp / total_neg)) AS gap"))
+        F.expr("greatest(0D, max(try_divide(tp, total_pos) - try_divide(fp, total_neg))) AS gap"))
     both = "positives > 0 AND negatives > 0"
     return out.select(
         *by, "positives", "negatives",
-        F.expr(f"CASE WHEN {both} THEN area / (CAST(positives AS DOUBLE) * negatives) END AS roc_auc"),
-        F.expr("CASE WHEN positives > 0 THEN steps / positives ELSE 0D END AS pr_auc"),
+        F.expr(f"CASE WHEN {both} THEN try_divide(area, CAST(positives AS DOUBLE) * negatives) END AS roc_auc"),
+        F.expr("CASE WHEN positives > 0 THEN try_divide(steps, positives) ELSE 0D END AS pr_auc"),
         F.expr(f"CASE WHEN {both} THEN gap END AS ks"),
         F.expr(f"CASE WHEN {both} THEN round((1 + gap) / 2, 4) END AS best_cut_ceiling"))
 
@@ -78,7 +78,7 @@ def required_ks(bar: Column) -> Column:
 
 def passable_margin(baseline: Column, ceiling: Column) -> Column:
     """Largest margin whose bar stays under the ceiling, floored to three decimals; NULL without room."""
-    margin = (ceiling - baseline) / (1.0 - baseline)
+    margin = F.try_divide(ceiling - baseline, 1.0 - baseline)
     return F.when((baseline < 1.0) & (margin > 0), F.floor(F.round(margin * 1000, 9)) / 1000.0)
 
 

@@ -37,7 +37,7 @@ def text_markers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     found = join_on(keyed, rows.withColumn("__one", F.lit(1)), [*by, "__one"]).drop("__one")
     return found.where(F.col("n_rows") >= fixed.SENTINEL_MIN_ROWS).select(
         *by, "name", F.lit("text_marker").alias("kind"), "value", "hits",
-        F.round(F.col("hits") / F.col("n_rows"), 4).alias("rate"),
+        F.round(F.try_divide("hits", "n_rows"), 4).alias("rate"),
         (F.array_position(F.array(*[F.lit(m) for m in fixed.TEXT_MARKERS]), F.col("value")) - 1)
         .cast("int").alias("position"),
     )

@@ -118,7 +118,7 @@ def propose_weight(trials: DataFrame) -> DataFrame:
     step = clamp(
         f"CASE WHEN __skew < 0 AND weight = 1 THEN greatest({fixed.WEIGHT_STEP}D, imbalance) "
         f"WHEN __skew < 0 THEN weight * {fixed.WEIGHT_STEP}D ELSE weight / {fixed.WEIGHT_STEP}D END")
-    crossing = clamp("__below.weight + (__above.weight - __below.weight) * (-__below.skew) / (__above.skew - __below.skew)")
+    crossing = clamp("__below.weight + (__above.weight - __below.weight) * try_divide(-__below.skew, __above.skew - __below.skew)")
     t = t.withColumn("proposed_weight", F.expr(
         f"CASE WHEN rule = 'skew' THEN CASE WHEN __below.weight < __above.weight AND {crossing} <> {clamp('weight')} "
         f"THEN {crossing} ELSE {step} END END"))
@@ -156,7 +156,7 @@ def wasted_prescriptions(led: DataFrame) -> DataFrame:
 def cut_lever(trials: DataFrame) -> DataFrame:
     """Share of the distance to the bar that a better cut could buy (balanced accuracy only)."""
     t = scored(trials).where("metric = 'balanced_accuracy' AND headroom IS NOT NULL AND bar - score > 0")
-    return t.select("run", "iteration", F.expr("round(bar - score, 6) AS shortfall"), F.expr("round(headroom / (bar - score), 6) AS cut_share"))
+    return t.select("run", "iteration", F.expr("round(bar - score, 6) AS shortfall"), F.expr("round(try_divide(headroom, bar - score), 6) AS cut_share"))
 
 
 def ceiling_spread(trials: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def _estimator(name: str, task: str, params: dict, facts: dict, weighted: bool,
     if name == "logreg":
         return LogisticRegression(
             regParam=1.0 / (float(params.get("C", 1.0)) * n), elasticNetParam=0.0, standardization=False,
-            maxIter=int(params.get("max_iter", 1000)), tol=1e-9, **label, **weight)
+            maxIter=int(params.get("max_iter", 1000)), tol=1e-6, **label, **weight)
     if name == "linreg":
         return LinearRegression(solver="normal", standardization=False, regParam=0.0, **label)
     if name == "ridge":
