@@ -16,8 +16,11 @@ UNICODE = "(?U)"
 
 def redact_paths(text: Column) -> Column:
     """Absolute paths, then data file names, replaced by a placeholder."""
-    once = F.regexp_replace(text, UNICODE + fixed.ABSOLUTE_PATH, fixed.REDACTED_PATH)
-    return F.regexp_replace(once, UNICODE + fixed.DATA_FILE, fixed.REDACTED_PATH)
+    # Cheap tests first: most texts hold neither a slash nor a data file ending.
+    slashed = F.contains(text, F.lit("/")) | text.rlike(r"[A-Za-z]:\\")
+    once = F.when(slashed, F.regexp_replace(text, UNICODE + fixed.ABSOLUTE_PATH, fixed.REDACTED_PATH)).otherwise(text)
+    named = once.rlike(r"(?i)\.(?:csv|tsv|parquet|feather|xls|json|pkl|npy|npz)")
+    return F.when(named, F.regexp_replace(once, UNICODE + fixed.DATA_FILE, fixed.REDACTED_PATH)).otherwise(once)
 
 
 def scrub_log(text: Column) -> Column:

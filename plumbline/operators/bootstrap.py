@@ -2,7 +2,7 @@
 
 Named units carry hashed Poisson(1) weights: one md5 per unit, then one multiply-and-mod per draw, so a
 draw is reproducible in any engine and a unit's rows always move together. Unnamed rows need no
-per-row draws: the label metrics depend on the cell counts only, and those are drawn directly.
+per-row draws: the metrics depend on cell counts only, and those are drawn directly.
 """
 
 from __future__ import annotations
@@ -58,27 +58,31 @@ def weighted(units: DataFrame, unit: str, seed: int, resamples: int) -> DataFram
 
 
 def _draw_cells(cells: DataFrame, keys: Sequence[str], by: Sequence[str], seed: int, resamples: int) -> DataFrame:
-    """Cell counts of each draw for unnamed rows: one multinomial per segment over its few cells."""
+    """Cell counts of each draw for unnamed rows.
+
+    A cell of n rows with independent Poisson(1) weights sums to Poisson(n), so each cell is drawn on its
+    own, seeded by its name: no grouping, no shuffle, no per-row work.
+    """
     schema = T.StructType(
         [T.StructField("r", T.IntegerType())] + [cells.schema[c] for c in [*by, *keys]] + [T.StructField("n", T.LongType())])
+    named = cells.select(*by, *keys, "n", F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in [*by, *keys]]).alias("__seed"))
 
-    def draw(pdf):
+    def draw(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(list(keys)).reset_index(drop=True)
-        rows = int(pdf["n"].sum())
-        name = "|".join(str(pdf[c].iloc[0]) for c in by)
-        rng = np.random.default_rng(int(hashlib.md5(f"{seed}|{name}".encode()).hexdigest()[:12], 16))
-        counts = rng.multinomial(rows, pdf["n"].to_numpy(dtype="float64") / rows, size=resamples)
-        out = pd.concat([pdf[[*by, *keys]]] * resamples, ignore_index=True)
-        out.insert(0, "r", np.repeat(np.arange(resamples, dtype="int32"), len(pdf)))
-        out["n"] = counts.reshape(-1)
-        return out[out["n"] > 0]
-
-    grouped = cells.groupBy(*by) if by else cells.withColumn("__all", F.lit(0)).groupBy("__all")
-    # Bounded groups: one row per (label, pred, ...) cell of the segment.
-    return grouped.applyInPandas(draw, schema)
+
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at:at + 1000]
+                counts = np.stack([
+                    np.random.Generator(np.random.PCG64(int(s) & (2**63 - 1))).poisson(n, resamples)
+                    for s, n in zip(part["__seed"], part["n"])
+                ])
+                out = part[[*by, *keys]].loc[part.index.repeat(resamples)].reset_index(drop=True)
+                out.insert(0, "r", np.tile(np.arange(resamples, dtype="int32"), len(part)))
+                out["n"] = counts.reshape(-1)
+                yield out[out["n"] > 0]
+
+    return named.mapInPandas(draw, schema)
 
 
 def interval(draws: DataFrame, keys: Sequence[str], resamples: int, value: str = "value") -> DataFrame:

@@ -50,20 +50,29 @@ def label_scores(cells: DataFrame, by: Sequence[str] = (), binary: bool = True)
 
     Binary scores are those of class 1; otherwise the plain mean over classes. Zero division gives 0.
     """
-    t = class_table(cells, by)
-    per = t.select(*by, "class", "tp", "truth", "predicted",
-                   F.expr("IF(predicted > 0, tp / predicted, 0D) AS __p"), F.expr("IF(truth > 0, tp / truth, 0D) AS __r"),
-                   F.expr("IF(truth + predicted > 0, 2 * tp / (truth + predicted), 0D) AS __f"))
-    pick = "max(CASE WHEN class = '1' THEN {0} END)" if binary else "avg({0})"
-    aggs = [
-        F.expr("sum(truth) AS rows"), F.expr("sum(tp) / sum(truth) AS accuracy"),
-        F.expr(f"coalesce({pick.format('__f')}, 0D) AS f1"), F.expr(f"coalesce({pick.format('__p')}, 0D) AS precision"),
-        F.expr(f"coalesce({pick.format('__r')}, 0D) AS recall"),
-        F.expr("avg(CASE WHEN truth > 0 THEN __r END) AS balanced_accuracy"),
-    ]
     if binary:
-        aggs.append(F.expr("round(coalesce(max(CASE WHEN class = '0' THEN __r END), 0D), 6) AS specificity"))
-    return per.groupBy(*by).agg(*aggs)
+        return _binary_scores(cells, by)
+    per = class_table(cells, by).select(
+        *by, "tp", "truth", F.expr("IF(predicted > 0, tp / predicted, 0D) AS __p"), F.expr("IF(truth > 0, tp / truth, 0D) AS __r"),
+        F.expr("IF(truth + predicted > 0, 2 * tp / (truth + predicted), 0D) AS __f"))
+    return per.groupBy(*by).agg(
+        F.expr("sum(truth) AS rows"), F.expr("sum(tp) / sum(truth) AS accuracy"), F.expr("avg(__f) AS f1"),
+        F.expr("avg(__p) AS precision"), F.expr("avg(__r) AS recall"), F.expr("avg(CASE WHEN truth > 0 THEN __r END) AS balanced_accuracy"))
+
+
+def _binary_scores(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Codes 0 and 1: four sums, one aggregate."""
+    def cell(label: str, pred: str, name: str) -> Column:
+        return F.expr(f"sum(IF(label = '{label}' AND pred = '{pred}', n, 0L)) AS {name}")
+
+    sums = cells.groupBy(*by).agg(cell("1", "1", "tp"), cell("0", "1", "fp"), cell("1", "0", "fn"), cell("0", "0", "tn"))
+    return sums.select(
+        *by, F.expr("tp + fp + fn + tn AS rows"), F.expr("(tp + tn) / (tp + fp + fn + tn) AS accuracy"),
+        F.expr("coalesce(try_divide(2 * tp, 2 * tp + fp + fn), 0D) AS f1"), F.expr("coalesce(try_divide(tp, tp + fp), 0D) AS precision"),
+        F.expr("coalesce(try_divide(tp, tp + fn), 0D) AS recall"),
+        F.expr("CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (try_divide(tp, tp + fn) + try_divide(tn, tn + fp)) / 2 "
+               "ELSE coalesce(try_divide(tp, tp + fn), try_divide(tn, tn + fp)) END AS balanced_accuracy"),
+        F.expr("round(coalesce(try_divide(tn, tn + fp), 0D), 6) AS specificity"))
 
 
 def regression_scores(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:

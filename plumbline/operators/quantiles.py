@@ -1,6 +1,6 @@
 """Exact interpolated quantiles without holding a column in one task.
 
-A sketch brackets each wanted rank, a second scan counts the rows below the bracket and the distinct
+A sketch brackets each wanted rank, further scans count the rows below each bracket and the distinct
 values inside it, and the rank is read off that small frequency table.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.keys import attach, join_on, rows_from, rows_of, staged_stats, text_literal
+from plumbline.session import small_side, stage
 
 ACCURACY = 20_000
 # Twice the sketch's rank error on each side of the wanted rank.
@@ -30,35 +31,69 @@ def exact_quantiles(
 ) -> DataFrame:
     """Rows (by..., measure, prob, n, value): linear interpolation at rank ``prob * (n - 1)``.
 
-    ``measures`` maps a name to SQL text over ``df``.
+    ``measures`` maps a name to SQL text over ``df``. Segments up to ``SMALL`` rows use the built-in
+    exact percentile, whose value map their size bounds; larger ones go through brackets.
     """
     names = list(measures)
     wide = df.select(*by, *[F.expr(f"CAST({measures[m]} AS DOUBLE) AS m{i}") for i, m in enumerate(names)])
+    if not by:
+        return _bracketed(wide, names, probs, by)
+    sizes = stage(wide.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")), "sizes")
+    large = sizes.where(F.col("__rows") > SMALL)
+    if large.isEmpty():
+        return _direct(wide, names, probs, by)
+    # One row per SMALL input rows at most.
+    side = small_side(large.select(*by))
+    return _direct(join_on(wide, side, by, "left_anti"), names, probs, by).unionByName(
+        _bracketed(join_on(wide, side, by, "left_semi"), names, probs, by))
+
+
+def _direct(wide: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[float]], by: Sequence[str]) -> DataFrame:
+    found = wide.groupBy(*by).agg(*[
+        F.expr(f"struct(count(m{i}) AS n, percentile(m{i}, array({', '.join(f'{p!r}D' for p in probs[m])})) AS q) AS s{i}")
+        for i, m in enumerate(names)
+    ])
+    return found.select(*by, rows_from([
+        f"struct({text_literal(m)} AS measure, {p!r}D AS prob, s{i}.n AS n, s{i}.q[{j}] AS value)"
+        for i, m in enumerate(names) for j, p in enumerate(probs[m])
+    ])).where("n > 0")
+
+
+def _bracketed(wide: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[float]], by: Sequence[str]) -> DataFrame:
     stats = staged_stats(wide, by, [
         f"struct(count(m{i}) AS n, min(m{i}) AS lo, max(m{i}) AS hi, "
         f"percentile_approx(m{i}, {_edges(probs[m])}, {ACCURACY}) AS e) AS s{i}"
         for i, m in enumerate(names)
     ], "brackets")
+    if not by and max(stats.first()[f"s{i}"]["n"] for i, _ in enumerate(names)) <= SMALL:
+        return _direct(wide, names, probs, by)
     joined, stat = attach(wide, stats, by)
-    elements, wanted = [], []
+    elements, inside, below, wanted = [], [], [], []
     for i, m in enumerate(names):
         for j, p in enumerate(probs[m]):
             small = f"{stat(f's{i}.n')} <= {SMALL}"
             low = f"if({small}, {stat(f's{i}.lo')}, {stat(f's{i}.e[{2 * j}]')})"
             high = f"if({small}, {stat(f's{i}.hi')}, {stat(f's{i}.e[{2 * j + 1}]')})"
-            elements.append(
-                f"CASE WHEN m{i} <= {high} THEN struct({i} AS m, {j} AS j, CASE WHEN m{i} >= {low} THEN m{i} END AS v) END")
-            wanted.append(f"struct({i} AS m, {j} AS j, {text_literal(m)} AS measure, {p!r}D AS prob, s{i}.n AS n)")
-    counts = joined.select(*by, rows_of(elements)).groupBy(*by, "m", "j", "v").agg(F.count(F.lit(1)).alias("k"))
-    running = Window.partitionBy(*by, "m", "j").orderBy(F.col("v").asc_nulls_first())
-    counts = counts.withColumn("cum", F.sum("k").over(running))
-    requests = stats.select(*by, rows_from(wanted)).where("n > 0")
-    picked = join_on(counts, requests, [*by, "m", "j"]).groupBy(*by, "measure", "prob", "n").agg(
+            within = f"m{i} >= {low} AND m{i} <= {high}"
+            inside.append(f"({within})")
+            elements.append(f"CASE WHEN {within} THEN struct({i} AS m, {j} AS j, m{i} AS v) END")
+            below.append(f"count_if(m{i} < {low}) AS b{i}_{j}")
+            wanted.append(f"struct({i} AS m, {j} AS j, {text_literal(m)} AS measure, {p!r}D AS prob, n{i} AS n, b{i}_{j} AS below)")
+    sizes = [f"count(m{i}) AS n{i}" for i, _ in enumerate(names)]
+    requests = joined.groupBy(*by).agg(*[F.expr(x) for x in [*sizes, *below]]).select(*by, rows_from(wanted)).where("n > 0")
+    # The filter keeps the rows of the brackets only; the generator then runs on those.
+    counts = joined.where(" OR ".join(inside)).select(*by, rows_of(elements)).groupBy(*by, "m", "j", "v").agg(
+        F.count(F.lit(1)).alias("k"))
+    running = Window.partitionBy(*by, "m", "j").orderBy("v")
+    counts = counts.withColumn("run", F.sum("k").over(running))
+    picked = join_on(counts, requests, [*by, "m", "j"]).withColumn("cum", F.col("below") + F.col("run")).groupBy(
+        *by, "measure", "prob", "n").agg(
+        F.expr("max(below) AS below"),
         F.expr("min(CASE WHEN cum > floor(prob * (n - 1)) THEN struct(cum, v) END) AS a"),
         F.expr("min(CASE WHEN cum > ceil(prob * (n - 1)) THEN struct(cum, v) END) AS b"),
     )
     value = F.expr(
-        "CASE WHEN a.v IS NULL OR b.v IS NULL "
+        "CASE WHEN a.v IS NULL OR b.v IS NULL OR below > floor(prob * (n - 1)) "
         "THEN CAST(raise_error('a quantile fell outside its sketch bracket') AS DOUBLE) "
         "ELSE a.v + (b.v - a.v) * (prob * (n - 1) - floor(prob * (n - 1))) END AS value"
     )
