@@ -192,7 +192,7 @@ def ordered_steps(spark, folder):
 @query("r8_auto_steps", STEP_SQL + """, m AS (SELECT quantile_cont(amount, 0.5) AS med FROM train),
 x AS (SELECT event_id, coalesce(amount, med) AS v, CASE WHEN amount IS NULL THEN 1.0 ELSE 0.0 END AS mi FROM base, m),
 s AS (SELECT avg(v) AS mv, stddev_pop(v) AS sv, avg(mi) AS mm, stddev_pop(mi) AS sm FROM x WHERE """ + TRAIN + """)
-SELECT event_id, round((v - mv) / sv, 6) AS amount, round((mi - mm) / sm, 6) AS amount__missing, 'missing_indicator(all); impute(median) (auto); scale(all) (auto)' AS applied FROM x, s""")
+SELECT event_id, round((v - mv) / sv, 6) AS amount, round((mi - mm) / sm, 6) AS amount__missing, 'missing_indicator(all); impute(auto); scale(auto)' AS applied FROM x, s""")
 def auto_steps(spark, folder):
     rows = _numbers(spark, folder).select("event_id", "amount")
     fitted = R.fit_steps(rows.where(TRAIN), [{"step": "missing_indicator"}], ["amount"], scale_sensitive=True)
@@ -201,6 +201,15 @@ def auto_steps(spark, folder):
         F.lit("; ".join(fitted.applied)).alias("applied"))
 
 
+@query("r9_flag_aliases", STEP_SQL + """, m AS (SELECT avg(amount) AS mean FROM train)
+SELECT event_id, round(coalesce(amount, mean), 6) AS amount, CASE WHEN amount IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS amount__missing, CASE WHEN amount IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS missing_count FROM base, m""")
+def flag_aliases(spark, folder):
+    rows = _numbers(spark, folder).select("event_id", "amount")
+    spec = R.flag_steps({"add_indicator": True, "n_missing": True, "impute": "mean", "scale": False}, "logreg")
+    fitted = R.fit_steps(rows.where(TRAIN), spec, ["amount"])
+    return fitted.apply(rows).select("event_id", F.round("amount", 6).alias("amount"), "amount__missing", "missing_count")
+
+
 # --- splits -----------------------------------------------------------------------
 
 # Plain full ranking per class; the Spark side ranks only the boundary buckets.

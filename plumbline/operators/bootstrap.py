@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from plumbline import fixed
 from plumbline.functions.columns import metric_constant
-from plumbline.operators.keys import join_on, quoted
+from plumbline.operators.keys import beside, join_on, quoted
 from plumbline.operators.metrics import confusion, label_scores, long_scores
 from plumbline.operators.ranking import BUCKETS
 
@@ -103,9 +103,7 @@ def _enough_units(df: DataFrame, by: Sequence[str], unit: str | None) -> DataFra
 
 
 def _keep_enough(result: DataFrame, df: DataFrame, by: Sequence[str], unit: str | None) -> DataFrame:
-    counted = _enough_units(df, by, unit).withColumn("__one", F.lit(1))
-    joined = join_on(result.withColumn("__one", F.lit(1)), counted, [*by, "__one"]).drop("__one")
-    return joined.withColumn("unit", F.lit("row" if unit is None else "group"))
+    return beside(result, _enough_units(df, by, unit), by).withColumn("unit", F.lit("row" if unit is None else "group"))
 
 
 def label_draws(
@@ -180,7 +178,7 @@ def paired_delta(
     joint = paired.groupBy(*by, *([unit] if unit else []), F.col("y").cast("string").alias("label"),
                            F.col("pa").cast("string").alias("pa"), F.col("pb").cast("string").alias("pb")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("unpaired").cast("bigint")).alias("lost"))
-    lost = joint.groupBy(*by).agg(F.sum("lost").alias("lost")).withColumn("__one", F.lit(1))
+    lost = joint.groupBy(*by).agg(F.sum("lost").alias("lost"))
 
     def side(cells: DataFrame, name: str, extra: Sequence[str]) -> DataFrame:
         own = cells.groupBy(*by, *extra, "label", F.col(name).alias("pred")).agg(F.sum("n").alias("n"))
@@ -201,7 +199,7 @@ def paired_delta(
     observed = difference(complete, []).withColumn("delta", F.round("value", 6)).drop("value")
     keys = [*by, "metric"]
     out = join_on(join_on(observed, interval(deltas, keys, resamples), keys, "left"), share, keys, "left")
-    out = join_on(out.withColumn("__one", F.lit(1)), lost, [*by, "__one"]).drop("__one")
+    out = beside(out, lost, by)
     return out.select(
         *keys, F.expr("CASE WHEN lost > 0 OR low IS NULL THEN 'skipped' ELSE 'measured' END AS status"),
         F.expr("CASE WHEN lost > 0 THEN 'split_changed' WHEN low IS NULL THEN 'degenerate' END AS reason"),

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
+from plumbline.functions.columns import switch
 from plumbline.operators.keys import join_on
 from plumbline.operators.ranking import cumulative, score_counts
+from plumbline.session import stage
 
 LABEL_METRICS = ("f1", "accuracy", "balanced_accuracy", "precision", "recall")
 
@@ -72,10 +74,14 @@ def cut_scores(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Every distinct score is binned by how many cuts it passes; the sums above a cut follow from the bins.
     """
     cuts = candidate_cuts(curve, by)
-    lists = cuts.groupBy(*by).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-    keyed = curve.withColumn("__one", F.lit(1))
-    passed = join_on(keyed, lists.withColumn("__one", F.lit(1)), [*by, "__one"]).select(
-        *by, F.expr("aggregate(cuts, 0, (acc, c) -> acc + IF(c <= score, 1, 0)) AS b"), "pos", "neg", "cuts")
+    if by:
+        lists = cuts.groupBy(*by).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+        passed = join_on(curve, lists, by).select(
+            *by, F.expr("aggregate(cuts, 0, (acc, c) -> acc + IF(c <= score, 1, 0)) AS b"), "pos", "neg", "cuts")
+    else:
+        # At most 149 cuts: a comparison tree inside generated code.
+        listed = sorted(r["cut"] for r in cuts.collect())
+        passed = curve.select(switch(F.col("score"), listed).alias("b"), "pos", "neg", F.lit(listed).alias("cuts"))
     bins = passed.groupBy(*by, "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.expr("any_value(cuts) AS cuts"))
     # At most 150 bins per segment.
     filled = bins.groupBy(*by).agg(F.expr("any_value(cuts) AS cuts"), F.collect_list(F.struct("b", "pos", "neg")).alias("bins"))
@@ -95,7 +101,9 @@ def sweep_cuts(df: DataFrame, label: str, proba: str, metric: str, by: Sequence[
     metric = fixed.METRIC_ALIASES.get(metric, metric)
     if metric not in LABEL_METRICS:
         raise ValueError(cut_refusal(metric, fixed.CLASSIFICATION, 2, fixed.CUT_MIN_ROWS))
-    scored = cut_scores(cumulative(score_counts(df, label, proba, by), by), by)
+    # Staged: the quantiles and the sweep both read it.
+    curve = stage(cumulative(score_counts(df, label, proba, by), by), "curve")
+    scored = cut_scores(curve, by)
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     best = scored.withColumn("best", F.max(metric).over(part)).withColumn("cuts", F.count(F.lit(1)).over(part))
     tied = best.where(F.col(metric) == F.col("best")).groupBy(*by).agg(

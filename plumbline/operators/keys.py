@@ -59,6 +59,19 @@ def attach(
     return df, literal
 
 
+def beside(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Put each segment's totals on its rows; segments without totals leave.
+
+    Without segments the one row of totals becomes literals, so there is no join at all.
+    """
+    if by:
+        return join_on(df, totals, by)
+    row = totals.first()
+    if row is None:
+        row, df = {c: None for c in totals.columns}, df.where("false")
+    return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in totals.schema.fields])
+
+
 def staged_stats(df: DataFrame, by: Sequence[str], aggs: Sequence[str], label: str) -> DataFrame:
     return stage(df.groupBy(*by).agg(*[F.expr(a) for a in aggs]), label)
 

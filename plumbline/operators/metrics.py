@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.functions.columns import metric_constant
-from plumbline.operators.keys import join_on
+from plumbline.operators.keys import beside, join_on
 
 
 def confusion(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -133,9 +133,7 @@ def chance_scores(train: DataFrame, val: DataFrame, label: str, by: Sequence[str
     first = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     major = counts.withColumn("__r", F.row_number().over(first.orderBy(F.desc("n"), "c"))).where("__r = 1")
     cells = val.groupBy(*by, F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    keyed = cells.withColumn("__one", F.lit(1))
-    guess = join_on(keyed, major.select(*by, F.col("c").alias("pred"), F.lit(1).alias("__one")), [*by, "__one"]).drop("__one")
+    guess = beside(cells, major.select(*by, F.col("c").alias("pred")), by)
     scores = label_scores(guess, by)
     share = cells.groupBy(*by).agg(F.expr("sum(CASE WHEN label = '1' THEN n ELSE 0 END) / sum(n) AS pr_auc"))
-    joined = join_on(scores.withColumn("__one", F.lit(1)), share.withColumn("__one", F.lit(1)), [*by, "__one"]).drop("__one")
-    return joined.withColumn("roc_auc", F.lit(0.5))
+    return beside(scores, share, by).withColumn("roc_auc", F.lit(0.5))

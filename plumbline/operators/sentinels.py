@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.functions.columns import distinct_estimate
-from plumbline.operators.keys import clean, column_kinds, join_on, number_literal, quoted, rows_from, rows_of, text_literal
+from plumbline.operators.keys import beside, clean, column_kinds, join_on, number_literal, quoted, rows_from, rows_of, text_literal
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import stage
 
@@ -33,8 +33,7 @@ def text_markers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
         for i, c in enumerate(columns)
     ])).groupBy(*by, "name", "value").agg(F.count(F.lit(1)).alias("hits"))
     found = found.where(F.col("hits") >= fixed.SENTINEL_MIN_COUNT)
-    keyed = found.withColumn("__one", F.lit(1))
-    found = join_on(keyed, rows.withColumn("__one", F.lit(1)), [*by, "__one"]).drop("__one")
+    found = beside(found, rows, by)
     return found.where(F.col("n_rows") >= fixed.SENTINEL_MIN_ROWS).select(
         *by, "name", F.lit("text_marker").alias("kind"), "value", "hits",
         F.round(F.try_divide("hits", "n_rows"), 4).alias("rate"),

@@ -150,6 +150,25 @@ def _fit_impute(df: DataFrame, name: str, entry: dict, columns: list[str], nativ
     return fitted
 
 
+def flag_steps(flags: dict, model: str) -> list[dict]:
+    """The step list of the four preprocessing flags (other spellings allowed) for a model family."""
+    named = {fixed.PREPROCESSING_ALIASES.get(str(k), str(k)): v for k, v in flags.items()}
+    strategy = str(named.get("impute") or "median")
+    if strategy not in ("median", "mean", "most_frequent", "none") or (strategy == "none" and model not in fixed.NATIVE_MISSING):
+        strategy = "median"
+    spec = [{"step": s} for s in ("missing_indicator", "missing_count") if named.get(s)]
+    spec.append({"step": "impute", "strategy": strategy})
+    scale = named.get("scale")
+    if scale if isinstance(scale, bool) else model in fixed.SCALE_SENSITIVE:
+        spec.append({"step": "scale"})
+    return spec
+
+
+def _leaves_missing(entry: dict, native: bool) -> bool:
+    parts = [entry, *(g for g in entry.get("groups") or [] if isinstance(g, dict))]
+    return native and any(p.get("strategy") == "none" for p in parts)
+
+
 def fit_steps(df: DataFrame, spec: Sequence[dict], columns: Sequence[str], native_missing: bool = False, scale_sensitive: bool = False) -> FittedSteps:
     """Fit the declared steps in order on train rows; unusable steps are dropped with a reason.
 
@@ -161,7 +180,7 @@ def fit_steps(df: DataFrame, spec: Sequence[dict], columns: Sequence[str], nativ
     auto: set[int] = set()
     if "impute" not in names:
         at = max((i + 1 for i, n in enumerate(names) if n in ("missing_indicator", "missing_count")), default=0)
-        entries.insert(at, {"step": "impute", "strategy": "none" if native_missing else "median"})
+        entries.insert(at, {"step": "impute", "strategy": "none" if native_missing and names else "median"})
         auto.add(at)
     if scale_sensitive and "scale" not in names:
         entries.append({"step": "scale"})
@@ -185,7 +204,7 @@ def fit_steps(df: DataFrame, spec: Sequence[dict], columns: Sequence[str], nativ
         name = kind if seen[kind] == 1 else f"{kind}_{seen[kind]}"
         if kind == "impute":
             fitted = _fit_impute(current, name, entry, names_now, native_missing, log)
-            label, imputed = fitted[-1].label, True
+            label, imputed = fitted[-1].label, imputed or not _leaves_missing(entry, native_missing)
         elif kind == "interactions":
             if not imputed:
                 log.append("interactions: a missing value may remain, skipped")
@@ -215,5 +234,5 @@ def fit_steps(df: DataFrame, spec: Sequence[dict], columns: Sequence[str], nativ
             current = step.apply(current)
         names_now = current.columns
         out += fitted
-        applied.append(f"{kind}({label})" + (" (auto)" if position in auto else ""))
+        applied.append(f"{kind}(auto)" if position in auto else f"{kind}({label})")
     return FittedSteps(out, names_now, applied, log)

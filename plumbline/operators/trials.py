@@ -183,17 +183,22 @@ def candidate_order(task: str) -> list[str]:
 
 
 def novelty(plans: DataFrame, history: DataFrame, task: str = fixed.CLASSIFICATION) -> DataFrame:
-    """Adds ``repeated`` and ``next_model``: the plan's own model, or the cheapest untried one on a repeat
-    (NULL when every model was tried)."""
+    """Adds ``repeated`` and ``next_model``: the plan's own model, or the cheapest untried one on a repeat.
+
+    When every model was tried it stays NULL and ``next_params`` holds a halved learning rate and more rounds.
+    """
     seen = history.select(F.col("run").alias("__run"), signature().alias("__sig")).distinct()
-    tried = history.groupBy(F.col("run").alias("__r2")).agg(F.collect_set("model").alias("__tried"))
+    tried = history.groupBy(F.col("run").alias("__r2")).agg(F.collect_set("model").alias("__tried"), F.count(F.lit(1)).alias("__attempts"))
     order = ", ".join(f"'{m}'" for m in candidate_order(task))
     joined = plans.withColumn("signature", signature()).join(
         seen, (F.col("run") == F.col("__run")) & (F.col("signature") == F.col("__sig")), "left")
     joined = joined.withColumn("repeated", F.col("__sig").isNotNull()).drop("__run", "__sig").join(
         tried, F.col("run") == F.col("__r2"), "left").drop("__r2")
-    return joined.withColumn("next_model", F.expr(
-        f"IF(repeated, try_element_at(filter(array({order}), m -> NOT array_contains(__tried, m)), 1), model)")).drop("__tried")
+    joined = joined.withColumn("next_model", F.expr(
+        f"IF(repeated, try_element_at(filter(array({order}), m -> NOT array_contains(__tried, m)), 1), model)"))
+    return joined.withColumn("next_params", F.expr(
+        "CASE WHEN next_model IS NULL THEN map('learning_rate', CAST(round(coalesce(try_cast(params['learning_rate'] AS DOUBLE), 0.1D) * 0.5D, 5) AS STRING), "
+        "'max_iter', CAST(coalesce(try_cast(params['max_iter'] AS INT), 200) + 100 * __attempts AS STRING)) END")).drop("__tried", "__attempts")
 
 
 def next_family(history: DataFrame, task: str = fixed.CLASSIFICATION) -> DataFrame:

@@ -88,14 +88,14 @@ def run_trial(data: Prepared, iteration: int, model: str, params: dict, spec: Se
             held = marked.where("held").count()
             if cuts.cut_refusal(metric, data.task, data.classes, held) is None:
                 cut_rows, train = marked.where("held").drop("held"), marked.where("NOT held").drop("held")
-        if name in ("hist_gbdt", "xgboost") and params.get("early_stopping", params.get("early_stopping_rounds")):
+        if name in fixed.NATIVE_MISSING and params.get("early_stopping", params.get("early_stopping_rounds")):
             marked = splits.hold_back(train.withColumn("split", F.lit("train")), data.keys, fixed.STOP_FRACTION, "stop", data.group, data.seed)
             marked = stage(marked, "stop-rows")
             if marked.where("held").count() >= fixed.STOP_MIN_ROWS:
                 train = marked
         columns = data.layout.columns
         prepared = steps.fit_steps(
-            train, spec, columns, native_missing=name in ("hist_gbdt", "xgboost") and any(s.get("strategy") == "none" for s in spec),
+            train, spec, columns, native_missing=name in fixed.NATIVE_MISSING,
             scale_sensitive=name in fixed.SCALE_SENSITIVE)
         ready = stage(prepared.apply(train), "train")
         trial.fit = fits.fit(ready, name, data.task, prepared_features(prepared, columns), params=params, seed=data.seed)
