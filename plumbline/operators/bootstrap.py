@@ -180,13 +180,15 @@ def paired_delta(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("unpaired").cast("bigint")).alias("lost"))
     lost = joint.groupBy(*by).agg(F.sum("lost").alias("lost"))
 
-    def side(cells: DataFrame, name: str, extra: Sequence[str]) -> DataFrame:
-        own = cells.groupBy(*by, *extra, "label", F.col(name).alias("pred")).agg(F.sum("n").alias("n"))
-        return long_scores(label_scores(own, [*by, *extra], binary), LABEL_METRICS, [*by, *extra])
-
     def difference(cells: DataFrame, extra: Sequence[str]) -> DataFrame:
-        a, b = side(cells, "pa", extra), side(cells, "pb", extra).withColumnRenamed("value", "other")
-        return join_on(a, b, [*by, *extra, "metric"]).withColumn("value", F.col("value") - F.col("other")).drop("other")
+        """Both sides scored in one pass, then subtracted."""
+        sides = cells.select(*by, *extra, "label", "n", F.expr(
+            "inline(array(struct('a' AS side, pa AS pred), struct('b' AS side, pb AS pred)))"))
+        keys = [*by, *extra, "side"]
+        own = sides.groupBy(*keys, "label", "pred").agg(F.sum("n").alias("n"))
+        long = long_scores(label_scores(own, keys, binary), LABEL_METRICS, keys)
+        return long.groupBy(*by, *extra, "metric").agg(
+            F.expr("max(IF(side = 'a', value, NULL)) - max(IF(side = 'b', value, NULL)) AS value")).where("value IS NOT NULL")
 
     complete = joint.where("lost = 0")
     if unit is None:
@@ -195,10 +197,16 @@ def paired_delta(
         drawn = weighted(complete, quoted(unit), seed, resamples).groupBy(*by, "r", "label", "pa", "pb").agg(F.expr("sum(n * w) AS n"))
     deltas = difference(drawn, ["r"])
     better = F.when(metric_constant(F.col("metric"), 1, "string") == fixed.MINIMIZE, F.col("value") < 0).otherwise(F.col("value") > 0)
-    share = deltas.groupBy(*by, "metric").agg(F.round(F.avg(better.cast("double")), 4).alias("p_better"))
+    tail = (1.0 - fixed.CI_LEVEL) / 2.0
+    # At most ``resamples`` values per key.
+    drawn_stats = deltas.groupBy(*by, "metric").agg(
+        F.expr(f"percentile(value, array({tail!r}D, {1 - tail!r}D)) AS q"), F.count("value").alias("resamples"),
+        F.round(F.avg(better.cast("double")), 4).alias("p_better"),
+    ).where(F.col("resamples") >= fixed.MIN_VALID_SHARE * resamples).select(
+        *by, "metric", F.expr("round(q[0], 6) AS low"), F.expr("round(q[1], 6) AS high"), "resamples", "p_better")
     observed = difference(complete, []).withColumn("delta", F.round("value", 6)).drop("value")
     keys = [*by, "metric"]
-    out = join_on(join_on(observed, interval(deltas, keys, resamples), keys, "left"), share, keys, "left")
+    out = join_on(observed, drawn_stats, keys, "left")
     out = beside(out, lost, by)
     return out.select(
         *keys, F.expr("CASE WHEN lost > 0 OR low IS NULL THEN 'skipped' ELSE 'measured' END AS status"),

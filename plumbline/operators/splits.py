@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.functions.columns import group_id, unit_hash
-from plumbline.operators.keys import join_on
+from plumbline.operators.keys import beside, join_on
 from plumbline.session import small_side, stage
 
 # Hex digits of the hash that name a bucket: 65,536 buckets, so only 1/65,536 of a stratum is ranked.
@@ -36,6 +36,13 @@ def _largest_remainder(strata: DataFrame, total: int, quota: int, source: str, o
     ).drop("__x", "__left", "__rank")
 
 
+def _by_stratum(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each row with its stratum's facts; a single stratum's facts become literals."""
+    if len(facts.select("stratum").take(2)) == 1:
+        return beside(df, facts.drop("stratum"), [])
+    return join_on(df, small_side(facts), ["stratum"])
+
+
 def hash_cut(units: DataFrame, quotas: DataFrame, seed: int | str, keys: Sequence[str], labels: Sequence[str], rest: str, output: str = "split") -> DataFrame:
     """Label units by hash order inside each ``stratum``.
 
@@ -48,32 +55,23 @@ def hash_cut(units: DataFrame, quotas: DataFrame, seed: int | str, keys: Sequenc
     # At most 65,536 bucket rows per stratum.
     run = Window.partitionBy("stratum").orderBy("__b")
     sums = sums.withColumn("end", F.sum("w").over(run)).withColumn("start", F.col("end") - F.col("w"))
-    bounds = join_on(sums, quotas, ["stratum"])
-    ends = []
-    upto = F.lit(0)
-    for i, _ in enumerate(labels):
-        upto = upto + F.col(f"q{i}")
-        ends.append(upto)
+    bounds = _by_stratum(sums, quotas)
+    ends = [" + ".join(f"q{k}" for k in range(i + 1)) for i, _ in enumerate(labels)]
     # The bucket holding each boundary: the first whose end passes the cumulative quota.
     cuts = stage(bounds.groupBy("stratum").agg(*[
-        F.min(F.when(F.col("end") > e, F.struct("__b", "start"))).alias(f"c{i}") for i, e in enumerate(ends)
-    ], *[F.first(e).alias(f"e{i}") for i, e in enumerate(ends)]), "cuts")
-    joined = join_on(hashed, small_side(cuts), ["stratum"])
-    on_edge = F.lit(False)
-    direct = F.lit(rest)
-    for i in reversed(range(len(labels))):
-        edge = F.col(f"c{i}.__b")
-        on_edge = on_edge | (F.col("__b") == edge)
-        direct = F.when(edge.isNull() | (F.col("__b") < edge), labels[i]).otherwise(direct)
-    on_edge = F.coalesce(on_edge, F.lit(False))
+        F.expr(f"min_by(__b, IF(end > {e}, __b, NULL)) AS c{i}") for i, e in enumerate(ends)
+    ], *[
+        F.expr(f"CAST(min_by(start, IF(end > {e}, __b, NULL)) AS DOUBLE) AS s{i}") for i, e in enumerate(ends)
+    ], *[F.expr(f"CAST(max({e}) AS DOUBLE) AS e{i}") for i, e in enumerate(ends)]), "cuts")
+    joined = _by_stratum(hashed, cuts)
+    on_edge = F.expr("coalesce(" + ", ".join(f"IF(__b = c{i}, true, NULL)" for i, _ in enumerate(labels)) + ", false)")
+    start = F.expr("coalesce(" + ", ".join(f"IF(__b = c{i}, s{i}, NULL)" for i, _ in enumerate(labels)) + ")")
     order = Window.partitionBy("stratum", "__b").orderBy("__h", *keys)
-    start = F.lit(None).cast("double")
-    for i in range(len(labels)):
-        start = F.coalesce(start, F.when(F.col("__b") == F.col(f"c{i}.__b"), F.col(f"c{i}.start").cast("double")))
     middle = start + F.sum("weight").over(order) - F.col("weight") / 2.0
-    ranked = F.lit(rest)
+    direct, ranked = F.lit(rest), F.lit(rest)
     for i in reversed(range(len(labels))):
-        ranked = F.when(F.col("__middle") < F.col(f"e{i}"), labels[i]).otherwise(ranked)
+        direct = F.when(F.expr(f"c{i} IS NULL OR __b < c{i}"), labels[i]).otherwise(direct)
+        ranked = F.when(F.expr(f"__middle < e{i}"), labels[i]).otherwise(ranked)
     keep = [c for c in units.columns]
     whole = joined.where(~on_edge).select(*keep, direct.alias(output))
     edges = joined.where(on_edge).withColumn("__middle", middle).select(*keep, ranked.alias(output))

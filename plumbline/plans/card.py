@@ -18,6 +18,13 @@ from plumbline.session import stage
 BASELINE = {fixed.CLASSIFICATION: "logreg", fixed.REGRESSION: "ridge"}
 
 
+def _value(df: DataFrame, column: str):
+    """The value of a one-row table as a literal."""
+    kind = df.schema[column].dataType
+    row = df.select(F.to_json(column)).first()
+    return F.from_json(F.lit(None if row is None else row[0]).cast("string"), kind)
+
+
 def baseline(df: DataFrame, keys: Sequence[str], target: str, features: Sequence[str], task: str, group: str | None = None, seed: int = 42) -> DataFrame:
     """Rows (metric, value, chance, low, high) of the fixed linear model on validation.
 
@@ -102,11 +109,11 @@ def build_card(
         F.lit(None if balance is None else balance["imbalance_ratio"]).cast("double").alias("imbalance_ratio"),
         F.struct("overall_rate", "columns_with_missing", "worst_rate").alias("missing"), "features",
         F.struct(F.lit(policy).alias("policy"), F.lit(gone).alias("n_dropped")).alias("target_missing"))
-    card = card.join(F.broadcast(findings), F.lit(True), "left")
+    card = card.withColumn("caveats", _value(findings, "caveats"))
     if task == fixed.REGRESSION:
         own = profile.profile_columns(coded.select("__y")).select(F.struct(
             "dtype", "missing_rate", "distinct", "kind", "magnitude", "skew", "outlier_rate").alias("target"))
-        card = card.join(F.broadcast(own), F.lit(True), "left")
+        card = card.withColumn("target", _value(own, "target"))
     if with_baseline and keys:
         measured = baseline(coded.drop(target), keys, "__y", features, task, group, seed)
         block = measured.groupBy().agg(F.sort_array(F.collect_list(F.struct("metric", "value", "chance", "low", "high"))).alias("scores"))
@@ -114,5 +121,5 @@ def build_card(
             F.lit(BASELINE[task]).alias("model"), F.to_json(F.create_map(*[
                 x for k, v in protocol(seed, group, task == fixed.CLASSIFICATION).items() for x in (F.lit(k), F.lit(str(v)))])).alias("protocol"),
             "scores").alias("baseline"))
-        card = card.join(F.broadcast(block), F.lit(True), "left")
+        card = card.withColumn("baseline", _value(block, "baseline"))
     return card
