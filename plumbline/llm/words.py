@@ -27,6 +27,10 @@ LETTERS = np.zeros(256, dtype=bool)
 for _lo, _hi in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
     LETTERS[_lo:_hi + 1] = True
 
+# A sentence ends at . ! ? or a line's end.
+STOPS = np.zeros(256, dtype=np.int64)
+STOPS[[0x2E, 0x21, 0x3F, 0x0A]] = 1
+
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += U64(0x20)
 _LOWER += U64(1)
@@ -34,13 +38,17 @@ _LOWER += U64(1)
 
 @dataclass
 class Words:
-    """Words of the rows ``first`` to ``first + rows`` of a column: row within the run, hash, byte range in the row."""
+    """Words of the rows ``first`` to ``first + rows`` of a column: row within the run, hash, byte range in the row, sentence.
+
+    ``sentence`` counts sentences that have words through the run; ``prefix`` has the hashes of the words' first bytes.
+    """
     first: int
     rows: int
     row: np.ndarray
     hash: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    sentence: np.ndarray
     prefix: tuple[np.ndarray, ...]
 
 
@@ -82,7 +90,7 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(b: np.ndarray, starts_of_rows: np.ndarray, ends_of_rows: np.ndarray, inside: np.ndarray, prefixes: tuple[int, ...]):
-    """Start, end, hash and prefix hashes of the words in one run of bytes."""
+    """Start, end, stops before, hash and prefix hashes of the words in one run of bytes."""
     kind = inside[b]
     before, after = np.empty_like(kind), np.empty_like(kind)
     before[0], before[1:] = False, kind[:-1]
@@ -96,7 +104,7 @@ def _scan(b: np.ndarray, starts_of_rows: np.ndarray, ends_of_rows: np.ndarray, i
     at, scale = total[start], down[start]
     hashes = mix((total[end] - at) * scale)
     heads = tuple(mix((total[np.minimum(start + k, end)] - at) * scale + U64(k)) for k in prefixes)
-    return start, end, hashes, heads
+    return start, end, np.cumsum(STOPS[b])[start], hashes, heads
 
 
 def words(texts: pa.Array, inside: np.ndarray = SPACED, prefixes: tuple[int, ...] = (), run: int = RUN_BYTES) -> Iterator[Words]:
@@ -117,13 +125,16 @@ def words(texts: pa.Array, inside: np.ndarray = SPACED, prefixes: tuple[int, ...
         if found:
             start = np.concatenate([s + shift for shift, s, *_ in found])
             end = np.concatenate([e + shift for shift, _, e, *_ in found])
+            stops = np.concatenate([x[3] + (int(STOPS[data[lo:lo + x[0]]].sum()) if x[0] else 0) for x in found])
             hashes = np.concatenate([h for *_, h, _ in found])
             heads = tuple(np.concatenate([x[-1][k] for x in found]) for k in range(len(prefixes)))
         else:
-            start = end = np.zeros(0, np.int64)
+            start = end = stops = np.zeros(0, np.int64)
             hashes, heads = np.zeros(0, np.uint64), tuple(np.zeros(0, np.uint64) for _ in prefixes)
         row = np.searchsorted(rows_at, start, side="right") - 1
-        yield Words(first, last - first, row, hashes, start - rows_at[row], end - rows_at[row], heads)
+        new = np.ones(len(row), np.int64)
+        new[1:] = (row[1:] != row[:-1]) | (stops[1:] != stops[:-1])
+        yield Words(first, last - first, row, hashes, start - rows_at[row], end - rows_at[row], np.cumsum(new) - 1, heads)
         first = last
 
 
