@@ -59,10 +59,11 @@ def recipes(docs: DataFrame, least: int = LEAST, most: int = MOST, slots: int |
 def exact_groups(docs: DataFrame, least: int = LEAST, most: int = MOST, slots: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the one with most code points stays, then the smallest id. The group table is joined back on the list;
-    its side is unique, so a list that a third of the rows share only makes the other side long, which Spark splits.
+    Of equal texts the one with most code points stays, then the smallest id. The group table is written, then joined back on
+    the list: both sides are plain shuffles, one of them unique, so Spark splits a list that a third of the rows share.
     """
     rows = recipes(docs, least, most, slots)
-    groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best"))
-    joined = rows.join(groups.select("recipe", "group_size", F.col("best.doc_id").alias("keep_id")), "recipe")
+    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best")
+    groups = stage(rows.groupBy("recipe").agg(F.count("*").alias("group_size"), best).select("recipe", "group_size", F.col("best.doc_id").alias("keep_id")), "exact-groups")
+    joined = rows.join(groups, "recipe")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
