@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, licenses, minhash, packing, quality, toxicity
+from plumbline.llm import exact, html_text, licenses, minhash, packing, quality, toxicity
 from plumbline.session import table
 
 
@@ -15,6 +15,10 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(table(spark, folder, "pages"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -37,6 +41,7 @@ def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op4_html": op4_html,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
