@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, html_text, licenses, minhash, packing, quality, toxicity
+from plumbline.llm import exact, html_text, licenses, minhash, packing, pitman_yor, quality, toxicity
 from plumbline.session import table
 
 
@@ -39,6 +39,10 @@ def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), k=3, percent=85)
 
 
+def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.model_scores(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_html": op4_html,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_licenses": op8_licenses,
     "op9_minhash": op9_minhash,
+    "op10_language_model": op10_language_model,
 }
 
 SQL: dict[str, str] = {
