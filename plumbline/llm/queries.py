@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, html_text, licenses, minhash, packing, pitman_yor, quality, toxicity
+from plumbline.llm import exact, html_text, licenses, minhash, packing, pitman_yor, quality, sentencepiece_codec, toxicity, vector_lists
 from plumbline.session import table
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_codec.encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_vector_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_lists.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -44,6 +52,8 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_vector_lists": op2_vector_lists,
     "op3_toxicity": op3_toxicity,
     "op4_html": op4_html,
     "op5_quality": op5_quality,
