@@ -229,7 +229,7 @@ all-rights-reserved; name; reserved; copyright .{0,60}? all rights reserved
 no-warranty; hint; warranty; without warranty of any kind(?: express or implied)?
 copyleft; hint; copyleft; copyleft(?: license)?
 unknown-license; hint; license; (?:see|read) (?:the )?(?:accompanying )?license (?:file|txt|md) for (?:the )?(?:full |license )?(?:details|terms|information)
-unknown-license; hint; license; (?:licensed|released|distributed) under (?:the|a) [a-z0-9]+(?: [a-z0-9]+){0,3} licen[sc]e
+unknown-license; hint; license; (?:licensed|released|distributed) under (?:the|a) (?!gnu |mit |apache |bsd |mozilla |eclipse |creative |general |boost |academic |artistic |common )[a-z0-9]+(?: [a-z0-9]+){0,3} licen[sc]e
 """
 
 
