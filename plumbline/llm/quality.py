@@ -172,7 +172,8 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", folds: int
         flat = 0.5 if not means[0] else means[1]
         return QualityModel(np.zeros(n), np.ones(n), np.zeros(FEATURES + 1), np.array([0.0, 1.0]), np.array([flat, flat]))
     mean, scale = np.array(means[2:2 + n]), np.maximum(np.array(means[2 + n:]), 1e-6)
-    parts = rows.repartition(PARTS, "doc_id").mapInArrow(_sums(mean, scale), "gram binary, right binary").collect()
+    # As many sums as parts, whatever the number of files.
+    parts = rows.coalesce(PARTS).mapInArrow(_sums(mean, scale), "gram binary, right binary").collect()
     gram = sum(np.frombuffer(r["gram"]).reshape(INNER, FEATURES + 1, FEATURES + 1) for r in parts)
     right = sum(np.frombuffer(r["right"]).reshape(INNER, FEATURES + 1) for r in parts)
     weights = _solve(gram.sum(0), right.sum(0))
