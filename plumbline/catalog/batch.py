@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline import fixed
@@ -123,7 +125,7 @@ def metric_names(spark, folder):
 
 @query("s1_csv_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice > 1000")
 def csv_scan(spark, folder):
-    path = f"{shared_folder(spark)}/csv-{id(folder)}-{spark.sparkContext.startTime}"
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     rows.write.mode("overwrite").option("header", True).csv(path)
     return readers.read_csv(spark, path, "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderpriority STRING").where("o_totalprice > 1000")
@@ -134,10 +136,11 @@ def parquet_scan(spark, folder):
     return readers.read_table(spark, f"{folder}/lineitem.parquet").where("l_discount >= 0.05").select("l_orderkey", "l_quantity")
 
 
-@query("s6_predictions", f"WITH base AS ({DOCS_SQL}) SELECT doc_id, CASE WHEN proba >= 0.5 THEN 1 ELSE 0 END AS prediction, round(1 - proba, 6) AS \"proba_0\", proba AS \"proba_1\" FROM base")
+@query("s6_predictions", "WITH base AS (SELECT doc_id, round(1.0 / (1.0 + exp(-(n_chars - 600) / 400.0)), 6) AS proba FROM documents) SELECT doc_id, CASE WHEN proba >= 0.5 THEN 1 ELSE 0 END AS prediction, round(1 - proba, 6) AS \"proba_0\", proba AS \"proba_1\" FROM base")
 def predictions(spark, folder):
-    rows = scored_docs(spark, folder).select("*", (F.col("proba") >= 0.5).cast("int").alias("prediction"), F.round(1 - F.col("proba"), 6).alias("proba_0"), F.col("proba").alias("proba_1"))
-    path = f"{shared_folder(spark)}/predictions-{id(folder)}-{spark.sparkContext.startTime}"
+    scored = table(spark, folder, "documents").withColumn("proba", F.round(1.0 / (1.0 + F.exp(-(F.col("n_chars") - 600) / 400.0)), 6))
+    rows = scored.select("*", (F.col("proba") >= 0.5).cast("int").alias("prediction"), F.round(1 - F.col("proba"), 6).alias("proba_0"), F.col("proba").alias("proba_1"))
+    path = f"{shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
     sinks.write_predictions(rows, path, "doc_id", ["0", "1"])
     return spark.read.parquet(path)
 
@@ -156,7 +159,7 @@ def _histories(spark, folder):
         F.expr("struct(IF(any_value(run) % 5 = 0, 'error', 'ok') AS status, map(any_value(metric), min(score)) AS metrics) AS holdout"),
         F.expr("collect_list(struct(iteration, model, params AS hyperparams, status, error_type, map(metric, score, 'roc_auc', roc_auc) AS metrics, failure_type)) AS history"),
         F.expr("1700000000000 + any_value(run) AS modified"))
-    path = f"{shared_folder(spark)}/histories-{id(folder)}-{spark.sparkContext.startTime}"
+    path = f"{shared_folder(spark)}/histories-{uuid.uuid4().hex}"
     nested.write.mode("overwrite").json(path)
     return runs.read_histories(spark, path)
 

@@ -12,6 +12,7 @@ from plumbline.catalog.base import DEFECTS_SQL, DOCS_SQL, ORDERS_SQL, defects, o
 from plumbline.catalog.prepare import SPLIT_SQL
 from plumbline.catalog.profile import DEFECT_PROFILE
 from plumbline.catalog.scores import rounded
+from plumbline.operators import trials as T
 from plumbline.plans import card as K
 from plumbline.plans import fits as M
 from plumbline.plans import predict as P
@@ -23,14 +24,18 @@ from plumbline.streaming import batch_stream as B
 DOC_FEATURES = ["n_chars", "words", "digits", "lang", "source"]
 
 
-def doc_table(spark, folder):
-    """Labelled documents with features computed from their whole texts."""
+def doc_features(spark, folder):
+    """All documents with features computed from their whole texts."""
     text = table(spark, folder, "documents").select(
         "doc_id", F.size(F.split("text", r"\s+")).alias("words"),
         (F.length(F.regexp_replace("text", "[^0-9]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("digits"))
-    labels = table(spark, folder, "labels")
     docs = table(spark, folder, "documents").select("doc_id", "n_chars", "lang", "source")
-    return docs.join(text, "doc_id").join(labels, "doc_id")
+    return docs.join(text, "doc_id")
+
+
+def doc_table(spark, folder):
+    """Labelled documents with features computed from their whole texts."""
+    return doc_features(spark, folder).join(table(spark, folder, "labels"), "doc_id")
 
 
 def doc_data(spark, folder, label="quality"):
@@ -156,6 +161,15 @@ def search(spark, folder):
         "test", F.when(F.col("iteration") == found.best.iteration, F.lit(found.holdout.get("roc_auc"))))
 
 
+@query("f15_search_diagnosis")
+def search_diagnosis(spark, folder):
+    """The rules of the ledger over a search's own attempts, one of which must fail."""
+    data = doc_data(spark, folder)
+    found = H.search(data, [("logreg", {}), ("knn", {}), ("logreg", {"C": 0.1})], "roc_auc", 0.9999, max_iterations=3)
+    trials = T.ledger(H.trial_table(spark, found, "docs", "roc_auc", bar=0.9999, imbalance=5.0))
+    return trials.select("iteration", "model", "status", "error_type", "rule", "failure_type", "prescription", "pipeline_move", F.round("score", 4).alias("score"))
+
+
 def saved_model(spark, folder):
     """A logistic model on the labelled documents, saved and loaded again."""
     data = doc_data(spark, folder)
@@ -167,7 +181,7 @@ def saved_model(spark, folder):
 
 @query("f16_batch_predict")
 def batch_predict(spark, folder):
-    return P.predict(doc_table(spark, folder), saved_model(spark, folder), "doc_id")
+    return P.predict(doc_features(spark, folder), saved_model(spark, folder), "doc_id")
 
 
 @query("m17_batch_scoring", f"""WITH b AS (SELECT CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'other' ELSE CAST(quality AS VARCHAR) END AS label, CASE WHEN proba >= 0.5 THEN '1' ELSE '0' END AS pred FROM ({DOCS_SQL}))
@@ -225,8 +239,7 @@ def quality_windows(spark, folder):
     return B.quality_windows(defects(spark, folder), "ts", ["amount", "kind_text"], {"amount": [-9999.0, -999.0]})
 
 
-# The stream emits a window once the watermark has passed its end.
-@query("x11_quality_stream", f"SELECT w.* FROM ({WINDOW_SQL}) w WHERE strptime(start, '%Y-%m-%d %H:%M:%S') + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+@query("x11_quality_stream", WINDOW_SQL)
 def quality_stream(spark, folder):
     events = table(spark, folder, "events")
     stream = B.file_stream(spark, f"{folder}/events*.parquet", events.schema)
@@ -235,5 +248,13 @@ def quality_stream(spark, folder):
         "ts", F.when(e % 17 == 0, F.lit(None)).when(e % 50 == 0, F.lit(-9999.0)).when(e % 70 == 0, F.lit(-999.0)).otherwise(F.col("value")).alias("amount"),
         F.when(e % 40 == 0, F.lit(" Unknown")).when(e % 90 == 0, F.lit(None)).otherwise(F.col("event_type")).alias("kind_text"))
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    B.run_available(B.quality_windows(rows, "ts", ["amount", "kind_text"], {"amount": [-9999.0, -999.0]}), f"{path}/out", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/out")
+    B.keyed_updates(B.quality_windows(rows, "ts", ["amount", "kind_text"], {"amount": [-9999.0, -999.0]}), f"{path}/out", f"{path}/checkpoint")
+    return B.latest_rows(spark, f"{path}/out", ["start"])
+
+
+@query("x11_score_stream", "SELECT event_id, CASE WHEN value >= 50 THEN 1 ELSE 0 END AS pred FROM events")
+def score_events(spark, folder):
+    events = table(spark, folder, "events")
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    B.score_stream(B.file_stream(spark, f"{folder}/events*.parquet", events.schema), lambda rows: rows.select("event_id", (F.col("value") >= 50).cast("int").alias("pred")), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("event_id", "pred")

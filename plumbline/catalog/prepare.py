@@ -259,10 +259,12 @@ def grouped_split(spark, folder):
     return L.assign_splits(rows, ["o_orderkey"], label="o_orderstatus", group="o_custkey").select("o_orderkey", "o_custkey", "split")
 
 
-@query("l3_held_back", ORDER_ROWS + SPLIT_SQL + """, t AS (SELECT key, row_number() OVER (ORDER BY md5('42|cut|' || key), key) AS r, count(*) OVER () AS n FROM split_ WHERE split = 'train')
-SELECT CAST(key AS BIGINT) AS o_orderkey, r <= ceil(0.2 * n) AS held FROM t""")
+@query("l3_held_back", ORDER_ROWS + SPLIT_SQL + """, t AS (SELECT key, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|cut|' || key), key) AS r FROM split_ WHERE split = 'train'),
+c AS (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS total FROM t GROUP BY stratum), x AS (SELECT stratum, ceil(0.2 * total) AS q, n * ceil(0.2 * total) / total AS e FROM c),
+f AS (SELECT stratum, floor(e) AS whole, q - sum(floor(e)) OVER () AS spare, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, stratum) AS k FROM x)
+SELECT CAST(key AS BIGINT) AS o_orderkey, r <= whole + CASE WHEN k <= spare THEN 1 ELSE 0 END AS held FROM t JOIN f USING (stratum)""")
 def held_back(spark, folder):
-    return L.hold_back(order_split(spark, folder), ["o_orderkey"], fixed.CUT_FRACTION, "cut").select("o_orderkey", "held")
+    return L.hold_back(order_split(spark, folder), ["o_orderkey"], fixed.CUT_FRACTION, "cut", label="o_orderstatus").select("o_orderkey", "held")
 
 
 @query("l4_train_subsample", ORDER_ROWS + SPLIT_SQL + """, t AS (SELECT key, row_number() OVER (ORDER BY md5('42|subsample|' || key), key) AS r, count(*) OVER () AS n FROM split_ WHERE split = 'train')

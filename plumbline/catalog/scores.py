@@ -221,6 +221,17 @@ def chance_scores(spark, folder):
     return rounded(out, SCORES).select("lang", "accuracy", "f1", "balanced_accuracy", "roc_auc", "pr_auc")
 
 
+@query("m15_chance_scores_multi", f"""WITH d AS ({LINES_SQL}), b AS (SELECT l_suppkey % 10 AS part, flag AS y, l_orderkey % 5 AS k FROM d),
+m AS (SELECT part, y AS p FROM (SELECT part, y, row_number() OVER (PARTITION BY part ORDER BY count(*) DESC, y) AS r FROM b WHERE k NOT IN (0, 1) GROUP BY part, y) WHERE r = 1),
+v AS (SELECT part, y, p, count(*) AS n FROM b JOIN m USING (part) WHERE k = 1 GROUP BY ALL), t AS (SELECT part, any_value(p) AS p, sum(n) AS n, coalesce(sum(n) FILTER (y = p), 0) AS tp, count(*) AS classes, bool_or(y = p) AS seen FROM v GROUP BY part)
+SELECT part, round(CAST(tp AS DOUBLE) / n, 6) AS accuracy, round(2.0::DOUBLE * tp / (n + tp) / (classes + CASE WHEN seen THEN 0 ELSE 1 END), 6) AS f1, round(CAST(tp AS DOUBLE) / n / (classes + CASE WHEN seen THEN 0 ELSE 1 END), 6) AS precision,
+ round(CASE WHEN seen THEN 1.0::DOUBLE ELSE 0 END / classes, 6) AS balanced_accuracy FROM t""")
+def chance_scores_multi(spark, folder):
+    rows = scored_lines(spark, folder).select((F.col("l_suppkey") % 10).alias("part"), F.col("flag").alias("y"), (F.col("l_orderkey") % 5).alias("k"))
+    out = M.chance_scores(rows.where("k NOT IN (0, 1)"), rows.where("k = 1"), "y", ["part"], binary=False)
+    return out.select("part", *[F.round(c, 6).alias(c) for c in ("accuracy", "f1", "precision", "balanced_accuracy")])
+
+
 @query("m16_selection_gap", f"""{WITH_LINES}, s AS (SELECT l_suppkey % 20 AS part, {PARTS} AS split, avg(CASE WHEN flag = flag_pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS acc, count(*) AS n FROM base GROUP BY ALL)
 SELECT v.part, 'accuracy' AS metric, round(v.acc, 6) AS val, round(t.acc, 6) AS test, round(v.acc - t.acc, 6) AS selection_gap,
  v.acc BETWEEN t.acc - 2 * sqrt(t.acc * (1 - t.acc) / t.n) AND t.acc + 2 * sqrt(t.acc * (1 - t.acc) / t.n) AS val_inside_ci FROM s v JOIN s t ON v.part = t.part AND v.split = 'val' AND t.split = 'test'""")

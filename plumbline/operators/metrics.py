@@ -67,7 +67,7 @@ def _binary_scores(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 
     sums = cells.groupBy(*by).agg(cell("1", "1", "tp"), cell("0", "1", "fp"), cell("1", "0", "fn"), cell("0", "0", "tn"))
     return sums.select(
-        *by, F.expr("tp + fp + fn + tn AS rows"), F.expr("(tp + tn) / (tp + fp + fn + tn) AS accuracy"),
+        *by, F.expr("tp + fp + fn + tn AS rows"), F.expr("try_divide(tp + tn, tp + fp + fn + tn) AS accuracy"),
         F.expr("coalesce(try_divide(2 * tp, 2 * tp + fp + fn), 0D) AS f1"), F.expr("coalesce(try_divide(tp, tp + fp), 0D) AS precision"),
         F.expr("coalesce(try_divide(tp, tp + fn), 0D) AS recall"),
         F.expr("CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (try_divide(tp, tp + fn) + try_divide(tn, tn + fp)) / 2 "
@@ -127,13 +127,18 @@ def selection_gap(val: DataFrame, test: DataFrame, keys: Sequence[str]) -> DataF
         "val_inside_ci", F.col("val").between(F.col("low"), F.col("high")))
 
 
-def chance_scores(train: DataFrame, val: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Binary no-feature scores on val: the train majority class (smallest on ties) predicted everywhere."""
+def chance_scores(train: DataFrame, val: DataFrame, label: str, by: Sequence[str] = (), binary: bool = True) -> DataFrame:
+    """No-feature scores on val: the train majority class (smallest on ties) predicted everywhere.
+
+    Ranking scores exist for two classes only.
+    """
     counts = train.groupBy(*by, F.col(label).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     major = counts.withColumn("__r", F.row_number().over(first.orderBy(F.desc("n"), "c"))).where("__r = 1")
     cells = val.groupBy(*by, F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     guess = beside(cells, major.select(*by, F.col("c").alias("pred")), by)
-    scores = label_scores(guess, by)
+    scores = label_scores(guess, by, binary)
+    if not binary:
+        return scores
     share = cells.groupBy(*by).agg(F.expr("sum(CASE WHEN label = '1' THEN n ELSE 0 END) / sum(n) AS pr_auc"))
     return beside(scores, share, by).withColumn("roc_auc", F.lit(0.5))

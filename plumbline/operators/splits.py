@@ -133,17 +133,18 @@ def assign_splits(df: DataFrame, keys: Sequence[str], label: str | None = None,
     return row_split(df, keys, label, seed)
 
 
-def hold_back(df: DataFrame, keys: Sequence[str], share: float, salt: str, group: str | None = None, seed: int = 42) -> DataFrame:
-    """Adds ``held``: a hash-ordered share of the train rows (whole groups when grouped)."""
+def hold_back(df: DataFrame, keys: Sequence[str], share: float, salt: str, group: str | None = None, seed: int = 42, label: str | None = None) -> DataFrame:
+    """Adds ``held``: a hash-ordered share of the train rows, stratified by ``label`` (whole groups when grouped)."""
     train = df.where("split = 'train'")
     if group:
         units = train.withColumn("__g", group_id(F.col(group))).groupBy("__g").agg(F.count(F.lit(1)).alias("weight"))
         names = ["__g"]
     else:
         units, names = train.withColumn("weight", F.lit(1)), list(keys)
-    units = units.withColumn("stratum", F.lit("all"))
-    total = units.agg(F.sum("weight").alias("n")).first()["n"] or 0
-    quotas = df.sparkSession.sql(f"SELECT 'all' AS stratum, CAST({math.ceil(share * total)} AS BIGINT) AS q0")
+    units = units.withColumn("stratum", F.col(label).cast("string") if label and not group else F.lit("all"))
+    strata = stage(units.groupBy("stratum").agg(F.sum("weight").alias("n")), "held-strata")
+    total = strata.agg(F.sum("n").alias("n")).first()["n"] or 0
+    quotas = _largest_remainder(strata, total, math.ceil(share * total), "n", "q0", "stratum").select("stratum", "q0")
     cut = hash_cut(units, quotas, f"{seed}|{salt}", names, ["held"], "fit", "held")
     if not group:
         return cut.drop("stratum", "weight").withColumn("held", F.col("held") == "held")

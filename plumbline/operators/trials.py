@@ -131,12 +131,13 @@ def ledger(trials: DataFrame) -> DataFrame:
     t = best_so_far(diagnose(trials))
     t = t.withColumn("prescription", F.expr("lag(failure_type) OVER (PARTITION BY run ORDER BY iteration)"))
     t = t.withColumn("paid", F.expr("CASE WHEN prescription IS NOT NULL THEN improved END"))
+    same = "array_sort(map_entries(params))" if dict(t.dtypes)["params"].startswith("map") else "params"
     t = t.withColumn("__built", F.expr(
-        "last(CASE WHEN status <> 'error' THEN struct(model, pipeline, params) END, true) "
+        f"last(CASE WHEN status <> 'error' THEN struct(model, pipeline, {same} AS params) END, true) "
         "OVER (PARTITION BY run ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
     moved = "status <> 'error' AND __built IS NOT NULL AND __built.pipeline <> pipeline"
     return t.withColumn("pipeline_move", F.expr(
-        f"CASE WHEN {moved} THEN CASE WHEN __built.model <> model THEN 'with_family' WHEN __built.params = params THEN 'alone' "
+        f"CASE WHEN {moved} THEN CASE WHEN __built.model <> model THEN 'with_family' WHEN __built.params = {same} THEN 'alone' "
         "ELSE 'with_params' END END")).drop("__built")
 
 
@@ -176,9 +177,13 @@ def signature(model: str = "model", params: str = "params", pipeline: str = "pip
         f"'|prep=', {pipeline}, IF({tuned}, '|cut=tuned', ''))")
 
 
+# Models that the trainer refuses, so no rule may offer them: neighbours are an operator of their own here.
+NOT_FITTED = frozenset({"knn"})
+
+
 def candidate_order(task: str) -> list[str]:
     """Available models, cheapest first."""
-    rows = [c for c in fixed.CANDIDATES if c[0] == task and (c[0], c[1]) not in fixed.UNAVAILABLE]
+    rows = [c for c in fixed.CANDIDATES if c[0] == task and (c[0], c[1]) not in fixed.UNAVAILABLE and c[1] not in NOT_FITTED]
     return [c[1] for c in sorted(rows, key=lambda c: c[3])]
 
 
@@ -204,7 +209,7 @@ def novelty(plans: DataFrame, history: DataFrame, task: str = fixed.CLASSIFICATI
 def next_family(history: DataFrame, task: str = fixed.CLASSIFICATION) -> DataFrame:
     """Per run: the first family of the rotation not tried yet, else the default."""
     families = {c[1]: c[2] for c in fixed.CANDIDATES if c[0] == task}
-    available = {c[2] for c in fixed.CANDIDATES if c[0] == task and (c[0], c[1]) not in fixed.UNAVAILABLE}
+    available = {c[2] for c in fixed.CANDIDATES if c[0] == task and (c[0], c[1]) not in fixed.UNAVAILABLE and c[1] not in NOT_FITTED}
     cases = " ".join(f"WHEN '{m}' THEN '{f}'" for m, f in families.items())
     order = ", ".join(f"'{f}'" for f in fixed.FAMILY_ROTATION if f in available)
     return history.groupBy("run").agg(F.expr(f"collect_set(CASE model {cases} END) AS tried")).select(

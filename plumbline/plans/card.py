@@ -40,12 +40,14 @@ def baseline(df: DataFrame, keys: Sequence[str], target: str, features: Sequence
     if task == fixed.REGRESSION:
         mean = data.part("train").agg(F.avg("y").alias("m")).first()["m"]
         chance = metrics.long_scores(metrics.regression_scores(val.withColumn("pred", F.lit(mean)), "y", "pred"), ("r2", "mae", "rmse"))
-        unit = group or keys[0]
+        # Without a group, rows are drawn by their whole key.
+        unit = group or "__unit"
+        val = val if group else val.withColumn("__unit", F.xxhash64(*keys))
         draws = bootstrap.error_draws(val, "y", "pred", unit, seed=seed)
     else:
         binary = data.classes == 2
         rows = val.withColumn("y", F.col("y").cast("bigint"))
-        plain = metrics.chance_scores(data.part("train").withColumn("y", F.col("y").cast("bigint")), rows, "y")
+        plain = metrics.chance_scores(data.part("train").withColumn("y", F.col("y").cast("bigint")), rows, "y", binary=binary)
         names = ["accuracy", "f1", "precision", "recall", "balanced_accuracy", *(["roc_auc", "pr_auc"] if binary else [])]
         chance = metrics.long_scores(plain, names)
         draws = bootstrap.label_draws(rows, "y", "pred", unit=group, binary=binary, seed=seed)

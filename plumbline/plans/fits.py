@@ -22,15 +22,24 @@ from plumbline.session import small_side
 # The parameters each family takes here; anything else is dropped and listed.
 TREE = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"}
 PARAMS = {
-    "logreg": {"C", "max_iter", "class_weight"}, "ridge": {"alpha", "max_iter"}, "linreg": set(),
+    "logreg": {"C", "max_iter", "class_weight"}, "ridge": {"alpha"}, "linreg": set(),
     "elasticnet": {"alpha", "l1_ratio", "max_iter"}, "decision_tree": {*TREE, "class_weight"},
     "random_forest": {*TREE, "n_estimators", "class_weight"},
     "hist_gbdt": {*TREE, "max_iter", "learning_rate", "class_weight", "early_stopping"},
     "gradient_boosting": {*TREE, "n_estimators", "learning_rate", "subsample"},
     "xgboost": {*TREE, "n_estimators", "learning_rate", "subsample", "scale_pos_weight", "early_stopping_rounds"},
-    "mlp": {"max_iter", "hidden_layer_sizes", "learning_rate_init", "batch_size"}, "svc": {"C", "class_weight"},
+    "mlp": {"max_iter", "hidden_layer_sizes"}, "svc": {"C", "class_weight"},
 }
 MAX_DEPTH = 30
+# Limits that families have here where no parameter is given; they are part of what was applied.
+DEFAULTS = {
+    "decision_tree": {"max_depth": MAX_DEPTH}, "random_forest": {"max_depth": 12, "n_estimators": 300}, "svc": {"max_iter": 100},
+    "hist_gbdt": {"max_depth": 5}, "gradient_boosting": {"max_depth": 5}, "xgboost": {"max_depth": 5},
+}
+
+
+class UnsupportedModel(ValueError):
+    """A model name without an estimator here."""
 
 
 @dataclass
@@ -58,11 +67,12 @@ class Fit:
 
 def resolve_name(name: str, task: str) -> str:
     """Canonical model name; a name of the other task or without a counterpart here is refused."""
-    key = fixed.MODEL_ALIASES[task].get(str(name).strip().lower(), str(name).strip().lower())
+    asked = str(name).strip().lower().replace("-", "_")
+    key = fixed.MODEL_ALIASES[task].get(str(name).strip().lower(), fixed.MODEL_ALIASES[task].get(asked, asked))
     if not any(c[0] == task and c[1] == key for c in fixed.CANDIDATES):
-        raise ValueError(f"unsupported model {name!r} for {task}")
+        raise UnsupportedModel(f"unsupported model {name!r} for {task}")
     if (task, key) in fixed.UNAVAILABLE or key == "knn":
-        raise ValueError(f"model {name!r} has no estimator here")
+        raise UnsupportedModel(f"model {name!r} has no estimator here")
     return key
 
 
@@ -79,6 +89,11 @@ def resolve_params(name: str, params: dict | None) -> tuple[dict, list[str]]:
             low, high = fixed.PARAM_LIMITS.get(key, fixed.PARAM_LIMIT_DEFAULT)
             clamped = min(max(value, low), high)
             value = int(clamped) if isinstance(value, int) and float(clamped).is_integer() else clamped
+        if key == "max_depth":
+            value = min(int(value), MAX_DEPTH)
+        if key == "early_stopping_rounds":  # the number has no counterpart: it turns stopping on or off
+            dropped.append(key)
+            key, value = "early_stopping", value > 0
         kept[key] = value
     return kept, sorted(dropped)
 
@@ -148,6 +163,7 @@ def fit(train: DataFrame, name: str, task: str, features: Sequence[str], label:
     """
     name = resolve_name(name, task)
     applied, dropped = resolve_params(name, params)
+    applied = {**DEFAULTS.get(name, {}), **applied}
     features = list(features)
     rows = train.withColumn("y", F.col(label).cast("double"))
     early = name in ("hist_gbdt", "xgboost") and "held" in train.columns

@@ -50,6 +50,7 @@ class Trial:
     params: dict
     status: str = "ok"
     error_type: str | None = None
+    error: str | None = None
     metrics: dict = field(default_factory=dict)
     applied: list[str] = field(default_factory=list)
     dropped: list[str] = field(default_factory=list)
@@ -84,18 +85,19 @@ def run_trial(data: Prepared, iteration: int, model: str, params: dict, spec: Se
         cut_rows = None
         train = data.part("train")
         if tune_cut and data.task == fixed.CLASSIFICATION and data.classes == 2:
-            marked = stage(splits.hold_back(rows, data.keys, fixed.CUT_FRACTION, "cut", data.group, data.seed), "cut-rows")
+            marked = stage(splits.hold_back(rows, data.keys, fixed.CUT_FRACTION, "cut", data.group, data.seed, "y"), "cut-rows")
             held = marked.where("held").count()
             if cuts.cut_refusal(metric, data.task, data.classes, held) is None:
                 cut_rows, train = marked.where("held").drop("held"), marked.where("NOT held").drop("held")
-        if name in fixed.NATIVE_MISSING and params.get("early_stopping", params.get("early_stopping_rounds")):
-            marked = splits.hold_back(train.withColumn("split", F.lit("train")), data.keys, fixed.STOP_FRACTION, "stop", data.group, data.seed)
+        if name in fixed.NATIVE_MISSING and stops_early(params):
+            marked = splits.hold_back(train.withColumn("split", F.lit("train")), data.keys, fixed.STOP_FRACTION, "stop", data.group, data.seed, "y" if data.task == fixed.CLASSIFICATION else None)
             marked = stage(marked, "stop-rows")
             if marked.where("held").count() >= fixed.STOP_MIN_ROWS:
                 train = marked
         columns = data.layout.columns
+        # Fills and scales come from the rows the family learns from, never from those that stop it.
         prepared = steps.fit_steps(
-            train, spec, columns, native_missing=name in fixed.NATIVE_MISSING,
+            train.where("NOT held") if "held" in train.columns else train, spec, columns, native_missing=name in fixed.NATIVE_MISSING,
             scale_sensitive=name in fixed.SCALE_SENSITIVE)
         ready = stage(prepared.apply(train), "train")
         trial.fit = fits.fit(ready, name, data.task, prepared_features(prepared, columns), params=params, seed=data.seed)
@@ -108,12 +110,30 @@ def run_trial(data: Prepared, iteration: int, model: str, params: dict, spec: Se
         long = score_predictions(scored, data.task, data.classes, ["split"])
         for row in long.collect():
             trial.metrics[row["metric"] if row["split"] == "val" else f"train_{row['metric']}"] = float(row["value"])
-    except ValueError as problem:
-        trial.status, trial.error_type = "error", "unsupported_model" if "model" in str(problem) else "config_error"
+    except Exception as problem:  # noqa: BLE001 - an attempt that fails is a result; the loop goes on
+        trial.status, trial.error_type, trial.error = "error", error_kind(problem), str(problem)[:500]
     trial.wall_sec = time.time() - started
     return trial
 
 
+def stops_early(params: dict) -> bool:
+    """Early stopping is asked for by a flag or by a number of rounds above 0."""
+    asked = params.get("early_stopping", params.get("early_stopping_rounds"))
+    return bool(asked) and not (isinstance(asked, (int, float)) and asked <= 0)
+
+
+def error_kind(problem: Exception) -> str:
+    """Kind of a failed attempt, by what was raised and what it says."""
+    text = f"{type(problem).__name__}: {problem}".lower()
+    if isinstance(problem, MemoryError) or "outofmemory" in text or "out of memory" in text or "java heap space" in text:
+        return "oom"
+    if isinstance(problem, TimeoutError) or "timed out" in text or "timeout" in text:
+        return "too_slow"
+    if isinstance(problem, fits.UnsupportedModel):
+        return "unsupported_model"
+    return "config_error" if isinstance(problem, (ValueError, TypeError, KeyError)) else "data_issue"
+
+
 def prepared_features(prepared: steps.FittedSteps, columns: Sequence[str]) -> list[str]:
     """Step outputs that are features: everything the steps left, minus the carried columns."""
     known = set(columns)
@@ -187,14 +207,23 @@ def search(
     return Outcome(trials, best, reason, holdout)
 
 
-def trial_table(spark, outcome: Outcome, run: str, metric: str) -> DataFrame:
-    """The attempts as a table for the ledger: one row each, driver-sized by the iteration limit."""
-    rows = [
-        (run, t.iteration, t.model, metric, fixed.METRICS[metric][1], t.metrics.get(metric), t.status, t.error_type,
-         t.metrics.get("recall"), t.metrics.get("specificity"), t.metrics.get("roc_auc"), t.metrics.get("best_cut_ceiling"),
-         t.metrics.get(f"train_{metric}"), float(t.wall_sec), "; ".join(t.applied))
-        for t in outcome.trials
-    ]
+def trial_table(spark, outcome: Outcome, run: str, metric: str, bar: float | None = None, imbalance: float | None = None) -> DataFrame:
+    """The attempts as a table for the ledger and its rules: one row each, driver-sized by the iteration limit."""
+    direction = fixed.METRICS[metric][1]
+    sign = -1.0 if direction == fixed.MINIMIZE else 1.0
+    rows = []
+    for t in outcome.trials:
+        m = t.metrics
+        score, train, ceiling = m.get(metric), m.get(f"train_{metric}"), m.get("best_cut_ceiling")
+        weight = t.params.get("scale_pos_weight")
+        if isinstance(t.params.get("class_weight"), dict):
+            weight = t.params["class_weight"].get(1, t.params["class_weight"].get("1"))
+        kept = {k: str(v) for k, v in t.params.items() if k not in (t.dropped or ())}
+        rows.append((
+            run, t.iteration, t.model, metric, direction, score, t.status, t.error_type, m.get("recall"), m.get("specificity"), m.get("roc_auc"), ceiling,
+            None if ceiling is None or metric != "balanced_accuracy" or score is None else ceiling - score, train,
+            None if score is None or train is None else round(sign * (train - score), 6), bar, float(weight or 1.0), imbalance, kept, float(t.wall_sec), "; ".join(t.applied), t.cut is not None))
     return spark.createDataFrame(rows, (
         "run string, iteration int, model string, metric string, direction string, score double, status string, error_type string, "
-        "recall double, specificity double, roc_auc double, ceiling double, train_score double, wall_sec double, pipeline string"))
+        "recall double, specificity double, roc_auc double, ceiling double, headroom double, train_score double, train_val_gap double, bar double, weight double, "
+        "imbalance double, params map<string, string>, wall_sec double, pipeline string, tuned boolean"))

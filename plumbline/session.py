@@ -13,6 +13,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 # A side is broadcast only when its counted rows stay at or below this.
 BROADCAST_ROWS = 200_000
+# ... and their size, as JSON text, at or below this.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(app: str = "plumbline", cores: str | int = "*") -> SparkSession:
@@ -33,9 +35,11 @@ def local_session(app: str = "plumbline", cores: str | int = "*") -> SparkSessio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for staged tables: the cluster's checkpoint folder, or a new local one if unset."""
+    """The folder for staged tables: the cluster's checkpoint folder. A new local one only for a local master."""
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -53,11 +57,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if its counted rows fit, else leave the join to shuffle.
+    """Mark ``df`` for broadcast if its counted rows and bytes fit, else leave the join to shuffle.
 
     Call it on a staged or otherwise cheap table: the count is an action.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

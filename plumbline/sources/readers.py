@@ -12,10 +12,25 @@ URL_PASSWORD = re.compile(r"^[^:/?#]+(?::[^:/?#]+)*://[^/@:]*:[^/@]+@|[?&;]passw
 PASSWORD_VARIABLE = "PLUMBLINE_DB_PASSWORD"
 
 
+# JDBC names of the databases that locations name.
+JDBC_DIALECTS = {"postgresql": "postgresql", "postgres": "postgresql", "mysql": "mysql", "mariadb": "mariadb", "mssql": "sqlserver", "oracle": "oracle:thin"}
+
+
+def jdbc_url(location: str) -> str:
+    """A JDBC URL from ``dialect+driver://rest``; files of an embedded database are refused."""
+    if location.startswith("jdbc:"):
+        return location
+    dialect, _, rest = location.partition("://")
+    name = dialect.split("+")[0].lower()
+    if not rest or name not in JDBC_DIALECTS:
+        raise ValueError(f"{location!r} is a database file that one process reads; export the table to parquet or name a database server")
+    return f"jdbc:oracle:thin:@//{rest}" if name == "oracle" else f"jdbc:{JDBC_DIALECTS[name]}://{rest}"
+
+
 def source_kind(location: str) -> str:
     """jdbc, parquet, json or csv, from the text alone."""
     if location.startswith("jdbc:") or "://" in location and location.split("://")[0].split("+")[0] in (
-        "postgresql", "mysql", "mariadb", "sqlite", "mssql", "oracle"
+        "postgresql", "postgres", "mysql", "mariadb", "sqlite", "mssql", "oracle"
     ):
         return "sql"
     suffix = location.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -65,8 +80,7 @@ def read_table(spark: SparkSession, location: str, table: str | None = None, que
     check_location(location)
     kind = source_kind(location)
     if kind in ("sql", "sqlite"):
-        url = location if location.startswith("jdbc:") else f"jdbc:{location}"
-        return read_jdbc(spark, url, table, query)
+        return read_jdbc(spark, jdbc_url(location), table, query)
     if table or query:
         raise ValueError(f"table and query do not apply to a {kind} file")
     if kind == "parquet":

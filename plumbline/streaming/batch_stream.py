@@ -40,6 +40,26 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return query
 
 
+def keyed_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what is there in update mode: every batch writes the rows it changed, open windows included.
+
+    One folder per batch makes a retry overwrite itself; ``latest_rows`` reads the table.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def latest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last row written for every key below ``path``."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *[f"r.{c}" for c in rest])
+
+
 def score_stream(stream: DataFrame, predict: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Predict every micro-batch with the batch function; one folder per batch makes a retry overwrite itself."""
     def write(batch: DataFrame, number: int) -> None:
