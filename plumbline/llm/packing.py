@@ -7,7 +7,8 @@ size of input. From them the driver makes a plan:
 1. long pieces are dealt into ``groups`` groups of equal cardinality, and count as long as the longest of their group;
 2. for these few sizes the configurations of a sequence are optimised: a linear program over all configurations, whose
    columns a knapsack generates, rounded down;
-3. actual lengths take the place of the rounded ones, longest first, which frees room;
+3. actual lengths take the place of the rounded ones, longest first; a sequence that they leave more than a 128th of empty
+   is given up again;
 4. what is left, and all short pieces, go best-fit in decreasing length into the room there is.
 
 The plan says, in runs, which ranks of a length go to which sequences and offset. Its rows depend on the number of lengths
@@ -36,7 +37,8 @@ from plumbline.session import stage
 
 CAPACITY = 2048
 END_ID = 0
-GROUPS = 48
+GROUPS = 32
+TIGHT = 128
 PIECES_PER_RANKING = 100_000
 CACHE_WORDS = 400_000
 
@@ -206,19 +208,21 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GR
             while done < times:
                 here = [q[i][0] if i < len(q) else 0 for q, i in zip(queues, at)]
                 step = min([q[i][1] - f for q, i, f in zip(queues, at, filled) if i < len(q)] + [times - done])
-                offset = 0
-                for x in here:
-                    if x:
-                        place(x, step, sequences + done, offset)
-                        offset += x
-                leave(capacity - offset, sequences + done, step)
+                # Only sequences that the actual lengths fill stay; what rounding left loose is packed again below.
+                if capacity - sum(here) <= capacity // TIGHT:
+                    offset = 0
+                    for x in here:
+                        if x:
+                            place(x, step, sequences, offset)
+                            offset += x
+                    leave(capacity - offset, sequences, step)
+                    sequences += step
                 for j, q in enumerate(queues):
                     if at[j] < len(q):
                         filled[j] += step
                         if filled[j] == q[at[j]][1]:
                             at[j], filled[j] = at[j] + 1, 0
                 done += step
-            sequences += times
     for length in sorted((x for x in counts if x < capacity), reverse=True):
         left = counts[length] - used[length]
         while left:
