@@ -5,7 +5,8 @@ of a stem are seen too); a document is toxic if any sentence is: p = 1 - prod(1
 likelihood of the noisy-or is maximised, and the sentences that caused a score can then be shown.
 
 1. ``CANDIDATES`` features that most toxic training documents share are gathered (counts combined before the shuffle).
-2. They are counted in all training documents; the ``FEATURES`` ones most bound to the label stay.
+2. They are counted in all training documents; of those bound to the label beyond chance (log-likelihood ratio of
+   ``LEAST_BOUND``), the ``FEATURES`` strongest stay.
 3. Training documents become short lists (sentence, feature), and the driver fits the weights on at most ``FIT_ROWS``
    documents, taken by hash. Corpus-wide work is scoring alone, which reads each whole text once and moves nothing.
 
@@ -31,11 +32,12 @@ FIT_ROWS = 30_000
 CANDIDATES = 50_000
 FEATURES = 1_024
 LEAST_DOCS = 3
+LEAST_BOUND = 30.0
 PREFIXES = (4, 5)
 FOLDS, HELD = 3, 1
 LEAST_SCORE = 0.7
 STEPS = 400
-WEIGHT_COST = 2e-5
+WEIGHT_COST = 1e-6
 
 
 def _features(texts: pa.Array):
@@ -89,6 +91,16 @@ def _counter(keys: np.ndarray):
     return count
 
 
+def _association(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log-likelihood ratio of feature and label (0 where the feature is commoner in clean documents)."""
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    both, n = toxic + clean, n_toxic + n_clean
+    ratio = 2 * (part(toxic, both * n_toxic / n) + part(clean, both * n_clean / n) + part(n_toxic - toxic, n_toxic - both * n_toxic / n) + part(n_clean - clean, n_clean - both * n_clean / n))
+    return np.where(toxic * n_clean > clean * n_toxic, ratio, 0.0)
+
+
 def _lists(keys: np.ndarray):
     def make(batches):
         for batch in batches:
@@ -186,10 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
     counts = rows.mapInArrow(_counter(keys), "i long, clean long, toxic long").groupBy("i").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     clean, toxic, i = (np.array([r[c] for r in counts], np.int64) for c in ("clean", "toxic", "i"))
-    p, q = (toxic + 0.5) / (size[1] + 1), (clean + 0.5) / (size[0] + 1)
-    weight = np.log(p / q) * np.sqrt(toxic)
-    best = i[np.argsort(-weight, kind="stable")[:FEATURES]]
-    keys = np.sort(keys[best[np.isin(best, i[weight > 3.0])]])
+    bound = _association(toxic, clean, size[1], size[0])
+    best = np.argsort(-bound, kind="stable")[:FEATURES]
+    keys = np.sort(keys[i[best[bound[best] >= LEAST_BOUND]]])
     lists = rows.mapInArrow(_lists(keys), "y double, sentences long, at array<long>, feature array<long>").toArrow()
     at, feature = lists.column("at").combine_chunks(), lists.column("feature").combine_chunks()
     doc = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
