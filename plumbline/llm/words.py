@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 
