@@ -2,7 +2,7 @@
 
 One line is one rule: label; kind; keyword; pattern. Patterns run over words in lower case with one blank between them
 (punctuation is gone: ``Apache-2.0`` reads ``apache 2 0``), and match whole words. A rule is tried only where its keyword is
-one of the words. Order matters last: of equal spans and kinds the earlier rule wins.
+one of the words, so every match of a rule must hold its keyword. Order matters last: of equal spans and kinds the earlier rule wins.
 """
 
 from __future__ import annotations
@@ -10,9 +10,6 @@ from __future__ import annotations
 # kind: (priority, confidence)
 KINDS = {"text": (4, 0.99), "tag": (3, 0.98), "grant": (2, 0.95), "name": (1, 0.8), "hint": (0, 0.4)}
 
-# Some part of a raw text must hold one of these, in any case, for a rule to match anything in it.
-ANCHORS = ("licen", "copyleft", "copyright", "spdx", "domain", "redistribut", "permission", "warrant", "commons", "gpl")
-
 V2, V3 = r"(?:v|version )?2(?: 0)?", r"(?:v|version )?3(?: 0)?"
 
 RULES_TEXT = r"""
@@ -26,7 +23,7 @@ mit; name; expat; (?:the )?expat license
 mit-0; tag; identifier; spdx license identifier mit 0
 mit-0; name; attribution; mit no attribution(?: license)?
 apache-2.0; text; apache; licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
-apache-2.0; text; compliance; you may obtain a copy of the license at https? www apache org licenses license 2 0
+apache-2.0; text; obtain; you may obtain a copy of the license at https? www apache org licenses license 2 0
 apache-2.0; tag; identifier; spdx license identifier apache 2 0
 apache-2.0; grant; apache; (?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?apache(?: software)? license(?: version)? 2(?: 0)?
 apache-2.0; name; apache; apache(?: software)? license,?(?: version)? 2(?: 0)?
@@ -35,8 +32,8 @@ apache-1.1; name; apache; apache(?: software)? license(?: version)? 1 1
 apache-1.0; name; apache; apache(?: software)? license(?: version)? 1 0
 apache; grant; apache; (?:licensed|released|distributed|available|published|provided) (?:under|with) (?:the )?(?:terms of )?(?:the )?apache(?: software)? license
 apache; name; apache; apache(?: software)? license
-gpl-3.0-or-later; text; warranty; either version 3 of the license or at your option any later version
-gpl-2.0-or-later; text; warranty; either version 2 of the license or at your option any later version
+gpl-3.0-or-later; text; option; either version 3 of the license or at your option any later version
+gpl-2.0-or-later; text; option; either version 2 of the license or at your option any later version
 gpl-3.0-only; tag; identifier; spdx license identifier gpl 3 0(?: only)?
 gpl-3.0-or-later; tag; identifier; spdx license identifier gpl 3 0 or later
 gpl-2.0-only; tag; identifier; spdx license identifier gpl 2 0(?: only)?
@@ -88,11 +85,11 @@ bsd-2-clause; name; bsd; (?:bsd (?:2|two) clause|(?:2|two) clause bsd)(?: licens
 bsd-3-clause; name; bsd; (?:bsd (?:3|three) clause|(?:3|three) clause bsd)(?: license)?
 bsd-4-clause; name; bsd; (?:bsd (?:4|four) clause|(?:4|four) clause bsd)(?: license)?
 bsd-2-clause; name; simplified; simplified bsd(?: license)?
-bsd-3-clause; name; revised; (?:new|revised|modified) bsd(?: license)?
+bsd-3-clause; name; bsd; (?:new|revised|modified) bsd(?: license)?
 bsd-0-clause; name; zero; (?:bsd )?zero clause(?: bsd)?(?: license)?
 bsd; grant; bsd; (?:licensed|released|distributed|available) under (?:the |a )?(?:terms of )?(?:the )?bsd(?: style)? license
 bsd; name; bsd; (?:the )?bsd(?: style)? license
-isc; text; isc; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+isc; text; permission; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc; text; permission; permission to use copy modify and or distribute this software for any purpose with or without fee
 isc; tag; identifier; spdx license identifier isc
 isc; name; isc; (?:the )?isc license
@@ -156,7 +153,7 @@ cc-by-nc-4.0; tag; identifier; spdx license identifier cc by nc 4 0
 cc-by-nd-4.0; tag; identifier; spdx license identifier cc by nd 4 0
 cc-by-nc-sa-4.0; tag; identifier; spdx license identifier cc by nc sa 4 0
 cc-by-nc-nd-4.0; tag; identifier; spdx license identifier cc by nc nd 4 0
-cc-by-nc-nd; name; noderivatives; (?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s? ?(?:works )?[1-4]? ?0?(?: international| unported| generic)?(?: license)?
+cc-by-nc-nd; name; attribution; (?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s? ?(?:works )?[1-4]? ?0?(?: international| unported| generic)?(?: license)?
 cc-by-nc-nd; name; noderivs; (?:creative commons )?attribution non ?commercial noderivs(?: [1-4] 0)?(?: international| unported| generic)?(?: license)?
 cc-by-nc-sa; name; noncommercial; (?:creative commons )?attribution noncommercial share ?alike(?: [1-4] 0)?(?: international| unported| generic)?(?: license)?
 cc-by-nc; name; noncommercial; (?:creative commons )?attribution noncommercial(?: [1-4] 0)?(?: international| unported| generic)?(?: license)?
@@ -183,7 +180,7 @@ ofl-1.1; tag; identifier; spdx license identifier ofl 1 1
 ofl-1.1; name; font; (?:sil )?open font license(?: (?:v |version )?1 1)?
 postgresql; tag; identifier; spdx license identifier postgresql
 postgresql; name; postgresql; (?:the )?postgresql license
-python-2.0; name; psf; (?:psf|python software foundation) license(?: agreement)?(?: (?:v |version )?2)?
+python-2.0; name; license; (?:psf|python software foundation) license(?: agreement)?(?: (?:v |version )?2)?
 python-2.0; name; foundation; python software foundation license(?: agreement)?(?: (?:v |version )?2)?
 python-2.0; tag; identifier; spdx license identifier (?:python 2 0|psf 2 0)
 php-3.01; name; php; php license(?: (?:v |version )?3(?: 0?1)?)?
@@ -211,13 +208,13 @@ sspl-1.0; name; server; server side public license(?: (?:v |version )?1)?
 elastic-2.0; name; elastic; elastic license(?: (?:v |version )?2(?: 0)?)?
 polyform-noncommercial; name; polyform; polyform noncommercial license(?: 1 0 0)?
 llama-community; name; llama; llama [2-4](?: [0-9])? community license(?: agreement)?
-openrail-m; name; openrail; (?:creativeml |bigscience )?openrail m?(?: license)?
+openrail-m; name; openrail; (?:creativeml |bigscience )?openrail(?: m(?: license)?| license)
 blueoak-1.0.0; name; oak; blue oak model license(?: 1 0 0)?
 w3c; name; w3c; w3c software(?: notice and| and document notice and)? license
 x11; name; x11; x11 license
 hpnd; name; historical; historical permission notice and disclaimer
 curl; name; curl; curl license
-beerware; name; beerware; beer ?ware license
+beerware; name; license; beer ?ware license
 sleepycat; name; sleepycat; sleepycat license
 vim; name; vim; vim license
 qpl-1.0; name; q; q public license(?: (?:v |version )?1(?: 0)?)?
@@ -229,7 +226,7 @@ all-rights-reserved; name; reserved; copyright .{0,60}? all rights reserved
 no-warranty; hint; warranty; without warranty of any kind(?: express or implied)?
 copyleft; hint; copyleft; copyleft(?: license)?
 unknown-license; hint; license; (?:see|read) (?:the )?(?:accompanying )?license (?:file|txt|md) for (?:the )?(?:full |license )?(?:details|terms|information)
-unknown-license; hint; license; (?:licensed|released|distributed) under (?:the|a) (?!gnu |mit |apache |bsd |mozilla |eclipse |creative |general |boost |academic |artistic |common )[a-z0-9]+(?: [a-z0-9]+){0,3} licen[sc]e
+unknown-license; hint; under; (?:licensed|released|distributed) under (?:the|a) (?!gnu |mit |apache |bsd |mozilla |eclipse |creative |general |boost |academic |artistic |common )[a-z0-9]+(?: [a-z0-9]+){0,3} licen[sc]e
 """
 
 

@@ -1,7 +1,6 @@
 """License scan by ordered signature rules, in DataFrame operations only.
 
-Texts that hold one of a few anchors are turned into words; the keywords among them pick the rules worth trying, and only
-those patterns run. Detections of a document are then put in order (start, longer first, higher priority first, earlier
+Texts are turned into words; the keywords among them pick the rules worth trying, and only those patterns run. Detections of a document are then put in order (start, longer first, higher priority first, earlier
 rule first), and one that lies inside an earlier one of at least its priority is suppressed: four running maxima of ends,
 one per priority, tell so in one pass, whatever the number of detections. Texts never move; detections do.
 
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import id_and_text
-from plumbline.llm.license_rules import ANCHORS, KINDS, rules
+from plumbline.llm.license_rules import KINDS, rules
 from plumbline.session import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,12 +54,9 @@ def _rules_column() -> tuple[Column, Column]:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """One written row per document: key, doc_id, n_words, base figures and all detections before suppression."""
-    text = F.col("text")
-    low = F.lower(text)
-    held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in ANCHORS])
     made, keywords = _rules_column()
     rows = id_and_text(docs).select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
-                                    F.when(held, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), GAP, " ")), F.lit(" "))).alias("words"))
+                                    F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), GAP, " ")), F.lit(" ")).alias("words"))
     out = rows.select(
         "*",
         *[F.split("words", rf"(?<= ){phrase}(?= )", -1).alias(f"cut_{label}") for phrase, label in BASE.items()],

@@ -323,6 +323,55 @@ def test_every_rule_compiles_and_has_its_keyword():
         assert label and 0 < confidence < 1 and " " not in keyword
 
 
+def instance_of(parsed, pick):
+    """A text that a parsed pattern matches; ``pick`` chooses among n ways."""
+    out = ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "ANY":
+            out += "x"
+        elif name == "IN":
+            low = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in value]
+            out += low[pick(len(low))]
+        elif name == "BRANCH":
+            out += instance_of(value[1][pick(len(value[1]))], pick)
+        elif name == "SUBPATTERN":
+            out += instance_of(value[3], pick)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = value
+            out += "".join(instance_of(inner, pick) for _ in range(least + pick(min(int(most), least + 3) - least + 1)))
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT")
+    return out
+
+
+def test_every_rule_finds_its_own_pattern_alone(spark):
+    from re import _parser
+
+    from plumbline.llm.license_rules import rules
+    rng = np.random.default_rng(9)
+    picks = [lambda n: 0, lambda n: n - 1] + [lambda n: int(rng.integers(0, n))] * 12
+    rows, sure = [], set()
+    for number, _, _, _, keyword, pattern in rules():
+        for pick in picks:
+            text = " ".join(instance_of(_parser.parse(pattern), pick).split())
+            if re.search(pattern, f" {text} "):
+                assert keyword in text.split(), (keyword, text)
+                rows.append((number, text))
+                sure.add(number)
+    assert len(sure) == len(rules())
+    phrases = {"BSD-3-Clause": "bsd-3-clause", "2-clause BSD": "bsd-2-clause", "Simplified BSD": "bsd-2-clause", "BSD zero clause": "bsd-0-clause", "MIT No Attribution": "mit-0", "WTFPL": "wtfpl",
+               "same terms as Perl itself": "artistic-1.0", "proprietary and confidential": "proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited": "proprietary",
+               "Attribution-NonCommercial-ShareAlike 4.0 International": "cc-by-nc-sa", "Attribution-NonCommercial-NoDerivatives 4.0": "cc-by-nc-nd", "OpenRAIL-M": "openrail-m"}
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t in rows] + list(phrases))], "doc_id long, text string").repartition(8)
+    found = {r["doc_id"]: {d["rule"] for d in r["found"]} for r in licenses.scanned(table).select("doc_id", "found").collect()}
+    assert [(n, t) for i, (n, t) in enumerate(rows) if n not in found[i]] == []
+    labels = {r["doc_id"]: r["labels"].split(",") for r in licenses.license_scan(table.where(f"doc_id >= {len(rows)}")).collect()}
+    assert [t for i, (t, label) in enumerate(phrases.items()) if label not in labels[len(rows) + i]] == []
+
+
 def test_contained_detections_go(spark):
     found = "array<struct<rule: int, label: string, priority: int, confidence: double, start: int, end: int>>"
     rng = np.random.default_rng(4)
