@@ -1,7 +1,7 @@
 """Main text of web pages: structural rules, and site templates found by counting element subtrees per host.
 
-A page is read with one regular expression into a stack of elements. Scripts, styles, forms, menus, headers, footers,
-sidebars, notices, adverts and reader comments go by tag, role or name. What stays are blocks of text. Every block element
+A page is read with one regular expression into a stack of elements; raw elements are skipped up to their own end tag.
+Scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and reader comments go by tag, role or name. What stays are blocks of text. Every block element
 around them has a hash of its whole subtree. Spark counts on how many different pages of a host each subtree occurs
 (pages with equal content count once, so copies of an article don't make it a template) and how many pages the host has;
 a subtree on many of them is a template and goes with all it holds. If a page has ``article`` or ``main``, only text in
@@ -43,7 +43,8 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
                   "modal overlay newsletter subscribe subscription signup sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
                   "comment comments disqus replies share sharing social related recommended recommendations pagination pager toolbar skip login paywall".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]{0,4000}"|'[^']{0,4000}'|[^"'>])*+)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>""", re.S)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -95,17 +96,9 @@ def blocks(page: str) -> list[tuple[str, bool, tuple[int, ...]]]:
         while len(stack) > depth:
             pop()
 
-    at, raw = 0, ""
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    at = 0
+    while m := TOKEN.search(page, at):
         closing, tag, attributes = m.group(1), m.group(2), m.group(3)
-        if raw:
-            if not (closing and tag and tag.lower() == raw):
-                continue
-            raw = ""
-            at = m.end()
-            continue
         if m.start() > at and not (stack and stack[-1][3]):
             text.append(page[at:m.start()])
         at = m.end()
@@ -136,7 +129,8 @@ def blocks(page: str) -> list[tuple[str, bool, tuple[int, ...]]]:
         if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
-            raw = tag
+            end = RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
             continue
         parent = stack[-1] if stack else ["", [], 0, False, False]
         rooted = parent[4] or tag in ROOTS
@@ -144,7 +138,7 @@ def blocks(page: str) -> list[tuple[str, bool, tuple[int, ...]]]:
         if tag in BLOCK or hidden:
             flush()
         stack.append([tag, [], len(out), hidden, rooted])
-    if not raw and at < len(page) and not (stack and stack[-1][3]):
+    if at < len(page) and not (stack and stack[-1][3]):
         text.append(page[at:])
     close_to(0)
     kept = [(t, inside, tuple(chains.get(i, ()))) for i, (t, inside, _) in enumerate(out)]

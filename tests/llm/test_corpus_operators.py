@@ -211,6 +211,13 @@ def test_main_text_rules():
     assert html_text.main_text("a < b and <p class='unclosed>c") == "a < b and <p class='unclosed>c"
 
 
+@pytest.mark.parametrize("before", ["<script>for(i=0;i<n;i++){f(i)}</script>", "<script>document.write('<!--')</script>", "<style>a<b{}</STYLE >", "<title>a<b</title>", "<svg><path d='x<y'/></svg>",
+                                    f'<img src="data:image/png;base64,{"A" * 9000}>">', f"<div data-state='{'[1,2],' * 3000}'></div>"])
+def test_raw_elements_end_at_their_tag_and_long_values_are_values(before):
+    assert html_text.main_text(f"{before}<article>Story</article>") == "Story"
+    assert html_text.main_text(f"<article>Story{before}</article>") == "Story"
+
+
 def test_site_templates_go_and_copies_stay(spark):
     page = lambda i, extra="": f"<body><div><p>Join our list today</p></div><div><p>Story {i} {extra}</p></div></body>"
     rows = [(i, "http://Site.example:80/a", page(i), 7) for i in range(9)] + [(20 + i, "https://copies.example/x", page("same"), 7) for i in range(6)]
