@@ -2,8 +2,8 @@
 
 1. A bounded sample is split again and again into balanced halves until parts are small; their means are the centroids.
    Inner products become distances by one more component (what each vector lacks to the longest one).
-2. The centroids form a neighbour graph that tasks hold in memory; a best-first walk over it finds the nearest centroids of
-   many vectors at once.
+2. The centroids form a neighbour graph that tasks hold in memory; a best-first walk over it finds the few nearest centroids
+   of many stored vectors at once. Queries, which need many, are held against all centroids.
 3. Every vector goes to the list of its nearest centroid. Near a border it is copied to further lists, as long as they are
    within ``BORDER`` of the nearest distance and not all but equal to a list it is in (``SPREAD``).
 4. A query searches the lists within ``PROBE`` of its nearest centroid's distance, at least ``LEAST_LISTS``.
@@ -33,7 +33,7 @@ LIST_ROWS = 200
 MOST_LISTS = 2_048
 COPIES = 4
 BORDER, SPREAD, PROBE = 1.03, 0.1, 1.13
-LEAST_LISTS, MOST_WALK = 16, 1_024
+LEAST_LISTS = 16
 NEIGHBOURS, ENTRIES = 24, 16
 BLOCK_ROWS, BUCKET_ROWS = 2_048, 12_000
 
@@ -129,9 +129,11 @@ def border_lists(graph: CentroidGraph, x: np.ndarray) -> list[np.ndarray]:
 
 
 def probed_lists(graph: CentroidGraph, x: np.ndarray, ratio: float = PROBE) -> list[np.ndarray]:
-    """Lists that each query searches, nearest first."""
-    ids, d = graph.nearest(x, MOST_WALK)
-    return [row[(dist <= ratio ** 2 * dist[0]) | (np.arange(len(dist)) < LEAST_LISTS)] for row, dist in zip(ids, d)]
+    """Lists that each query searches, nearest first: all that the ratio selects, by the distances to all centroids."""
+    d = np.maximum((x ** 2).sum(1)[:, None] + (graph.centroids ** 2).sum(1) - 2 * x @ graph.centroids.T, 0)
+    order = np.argsort(d, axis=1, kind="stable")
+    d = np.take_along_axis(d, order, 1)
+    return [row[(dist <= ratio ** 2 * dist[0]) | (np.arange(len(dist)) < LEAST_LISTS)] for row, dist in zip(order, d)]
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -137,6 +137,35 @@ def test_neighbours_recall_with_many_lists(spark):
     assert hits / (150 * 20) >= 0.9
 
 
+def test_the_ratio_alone_chooses_lists():
+    rng = np.random.default_rng(3)
+    graph = vector_lists.CentroidGraph.build(np.float32(rng.normal(size=(1500, 64))))
+    x = np.float32(rng.normal(size=(5, 64)))
+    for mine, q in zip(vector_lists.probed_lists(graph, x, ratio=1.6), x):
+        d = ((graph.centroids.astype(float) - q) ** 2).sum(1)
+        assert len(mine) > 1024 and set(np.flatnonzero(d <= 1.599 ** 2 * d.min())) <= set(mine) <= set(np.flatnonzero(d <= 1.601 ** 2 * d.min()))
+
+
+def test_neighbours_recall_on_real_vectors_with_lists_left_out(spark):
+    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    held = rows.toPandas()
+    x, ids = np.array(held["embedding"].tolist(), float), held["vec_id"].to_numpy()
+    found = collections.defaultdict(set)
+    for r in vector_lists.nearest_neighbours(rows).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = n = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits, n = hits + len(found[ids[i]] & set(ids[np.argsort(-score)[:20]])), n + 20
+    wide = np.concatenate([x, np.sqrt(np.maximum((x ** 2).sum(1).max() - (x ** 2).sum(1, keepdims=True), 0))], 1).astype(np.float32)
+    graph = vector_lists.CentroidGraph.build(vector_lists.balanced_centroids(wide, -(-len(x) // (len(x) // vector_lists.LIST_ROWS))))
+    wide[:, -1] = 0
+    share = [len(p) / len(graph.centroids) for p in vector_lists.probed_lists(graph, wide[ids % 20 == 0])]
+    assert len(graph.centroids) >= 3 * vector_lists.LEAST_LISTS and np.mean(share) < 0.8
+    assert hits / n >= 0.9
+
+
 # ---- 3, 5 ----
 
 def corpus(spark, n=900):
