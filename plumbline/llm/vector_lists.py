@@ -9,8 +9,10 @@
 4. A query searches the lists within ``PROBE`` of its nearest centroid's distance, at least ``LEAST_LISTS``.
 
 Lists are dealt in blocks of ``BLOCK_ROWS`` rows, so a list that one frequent vector fills is not one task, and blocks into
-buckets that grow in number with the data. Queries meet blocks by bucket; scores are inner products of the original
-vectors in double precision. Each bucket returns a query's best, and a window takes the best of all.
+buckets that grow in number with the data. Queries are dealt in parts of about ``QUERY_ROWS`` by hash. Each bucket meets each
+part in a group of its own, where a query's vector is held once with the blocks it searches there, so both sides are bounded;
+a bucket's rows are sent once for each part. Scores are inner products of the original vectors in double precision. Each group
+returns a query's best, and a window takes the best of all.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part. Rows without ``vec_id`` take no part. Rows that repeat an id count once. A query never finds its own id. Ties go to
@@ -35,7 +37,8 @@ COPIES = 4
 BORDER, SPREAD, PROBE = 1.03, 0.1, 1.13
 LEAST_LISTS = 16
 NEIGHBOURS, ENTRIES = 24, 16
-BLOCK_ROWS, BUCKET_ROWS = 2_048, 12_000
+BLOCK_ROWS, BUCKET_ROWS, QUERY_ROWS = 2_048, 12_000, 20_000
+SENT_ROWS = 8_192
 
 
 def balanced_centroids(x: np.ndarray, size: int, seed: int = 7) -> np.ndarray:
@@ -149,21 +152,46 @@ def _matrix(column) -> np.ndarray:
     return chunk.flatten().to_numpy(zero_copy_only=False).reshape(len(chunk), -1)
 
 
-def _bucketed(graph: CentroidGraph, longest: float, probing: bool):
-    """(list, vec_id, vec) rows: lists of stored vectors, or lists to search of queries."""
+def _wide(x: np.ndarray, longest: float | None) -> np.ndarray:
+    """Stored vectors get what they lack to the longest one as one more component, queries (None) get zero."""
+    lack = np.zeros((len(x), 1)) if longest is None else np.sqrt(np.maximum(longest ** 2 - (x ** 2).sum(1, keepdims=True), 0))
+    return np.concatenate([x, lack], 1).astype(np.float32)
+
+
+def _listed(graph: CentroidGraph, longest: float):
+    """(list, vec_id, vec) rows: the lists of stored vectors."""
     def assign(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                x = _matrix(part.column(1))
-                lack = np.zeros((len(x), 1)) if probing else np.sqrt(np.maximum(longest ** 2 - (x ** 2).sum(1, keepdims=True), 0))
-                wide = np.concatenate([x, lack], 1).astype(np.float32)
-                lists = probed_lists(graph, wide) if probing else border_lists(graph, wide)
-                of = np.repeat(np.arange(len(x)), [len(i) for i in lists])
+                lists = border_lists(graph, _wide(_matrix(part.column(1)), longest))
+                of = np.repeat(np.arange(part.num_rows), [len(i) for i in lists])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of))], names=["list", "vec_id", "vec"])
     return assign
 
 
+def _asking(graph: CentroidGraph, first: np.ndarray, buckets: int):
+    """(bucket, vec_id, vec, places) rows: each query once in every bucket that holds blocks it searches."""
+    def ask(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                row, bucket, places = [], [], []
+                for i, lists in enumerate(probed_lists(graph, _wide(_matrix(part.column(1)), None))):
+                    mine = np.concatenate([np.arange(first[j], first[j + 1]) for j in lists])
+                    mine = mine[np.argsort(mine % buckets, kind="stable")]
+                    each, at = np.unique(mine % buckets, return_index=True)
+                    row += [i] * len(each)
+                    bucket += each.tolist()
+                    places += np.split(mine, at[1:])
+                for at in range(0, len(row), SENT_ROWS):
+                    cut = slice(at, at + SENT_ROWS)
+                    of, held = pa.array(row[cut], pa.int64()), places[cut]
+                    ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in held])]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), part.column(0).take(of), part.column(1).take(of), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held), pa.int64()))], names=["bucket", "vec_id", "vec", "places"])
+    return ask
+
+
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Indices of the best ``k`` of each query, ties to the smaller id, each id once."""
     order = np.lexsort((vec, -score, query))
@@ -180,14 +208,15 @@ def _searched(k: int):
         nothing = np.zeros(0, np.int64)
         found = [(nothing, nothing, np.zeros(0))]
         if stored.num_rows and asked.num_rows:
-            block_x, block_q = stored.column("place").to_numpy(), asked.column("place").to_numpy()
+            block_x, held = stored.column("place").to_numpy(), asked.column("places").combine_chunks()
+            block_q, of = held.flatten().to_numpy(), np.repeat(np.arange(asked.num_rows), held.value_lengths().to_numpy())
             x, xid, q, qid = _matrix(stored.column("vec")), stored.column("vec_id").to_numpy(), _matrix(asked.column("vec")), asked.column("vec_id").to_numpy()
             order_x, order_q = np.argsort(block_x, kind="stable"), np.argsort(block_q, kind="stable")
             for b in np.unique(block_x):
                 mine = order_x[np.searchsorted(block_x[order_x], b):np.searchsorted(block_x[order_x], b, "right")]
                 theirs = order_q[np.searchsorted(block_q[order_q], b):np.searchsorted(block_q[order_q], b, "right")]
                 for lo in range(0, len(theirs), 1024):
-                    some = theirs[lo:lo + 1024]
+                    some = of[theirs[lo:lo + 1024]]
                     score = q[some] @ x[mine].T
                     score[qid[some][:, None] == xid[mine][None, :]] = -np.inf
                     edge = np.partition(score, -k, axis=1)[:, -k][:, None] if len(mine) > k else np.full((len(some), 1), -np.inf)
@@ -214,7 +243,7 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: s
     lists = int(np.clip(n // LIST_ROWS, 1, MOST_LISTS)) if n >= 8 * LIST_ROWS else 1
     graph = CentroidGraph.build(balanced_centroids(wide.astype(np.float32), max(1, -(-len(x) // lists))))
     kind = "list int, vec_id long, vec array<double>"
-    stored = stage(rows.mapInArrow(_bucketed(graph, longest, False), kind), "vector-lists")
+    stored = stage(rows.mapInArrow(_listed(graph, longest), kind), "vector-lists")
     # Blocks of bounded rows within a list, and buckets of blocks.
     sizes = stored.groupBy("list").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).collect()
     blocks = np.ones(len(graph.centroids), np.int64)
@@ -228,15 +257,10 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: s
         i = lists.to_numpy()
         return pa.array(first[i] + ids.to_numpy() % blocks[i])
 
-    @F.arrow_udf("array<long>")
-    def blocks_of(lists: pa.Array) -> pa.Array:
-        return pa.array([list(range(first[i], first[i + 1])) for i in lists.to_numpy()], pa.list_(pa.int64()))
-
-    bucket = F.pmod(F.xxhash64("place"), F.lit(buckets))
-    left = stored.withColumn("place", block_of("list", F.abs(F.xxhash64("vec_id") % 1_000_000_007))).withColumn("bucket", bucket)
-    asked = rows.where(f"vec_id % {every} = 0").mapInArrow(_bucketed(graph, longest, True), kind)
-    right = asked.withColumn("place", F.explode(blocks_of("list"))).withColumn("bucket", bucket)
-    columns = ("bucket", "place", "vec_id", "vec")
-    found = left.select(*columns).groupBy("bucket").cogroup(right.select(*columns).groupBy("bucket")).applyInArrow(_searched(k), "query_id long, vec_id long, score double")
+    queries = rows.where(f"vec_id % {every} = 0")
+    parts = max(1, -(-queries.count() // QUERY_ROWS))
+    left = stored.withColumn("place", block_of("list", F.abs(F.xxhash64("vec_id") % 1_000_000_007))).select((F.col("place") % buckets).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "place", "vec_id", "vec")
+    right = queries.mapInArrow(_asking(graph, first, buckets), "bucket long, vec_id long, vec array<double>, places array<long>").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    found = left.groupBy("bucket", "part").cogroup(right.groupBy("bucket", "part")).applyInArrow(_searched(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

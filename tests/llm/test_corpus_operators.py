@@ -166,6 +166,28 @@ def test_neighbours_recall_on_real_vectors_with_lists_left_out(spark):
     assert hits / n >= 0.9
 
 
+def test_queries_meet_blocks_in_bounded_groups(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2400, 8)))], "vec_id long, embedding array<double>")
+    want = [tuple(r) for r in vector_lists.nearest_neighbours(table, every=2).orderBy("query_id", "rank").collect()]
+    groups, search = spark.sparkContext.accumulator(0), vector_lists._searched
+
+    def watched(k):
+        inner = search(k)
+
+        def run(stored, asked):
+            assert stored.num_rows <= 1000 and asked.num_rows <= 400 and len(set(asked.column("vec_id").to_pylist())) == asked.num_rows
+            groups.add(1)
+            return inner(stored, asked)
+        return run
+    monkeypatch.setattr(vector_lists, "_searched", watched)
+    monkeypatch.setattr(vector_lists, "QUERY_ROWS", 250)
+    monkeypatch.setattr(vector_lists, "BUCKET_ROWS", 500)
+    got = [tuple(r) for r in vector_lists.nearest_neighbours(table, every=2).orderBy("query_id", "rank").collect()]
+    assert groups.value > 20 and [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], rtol=0, atol=1e-12)
+
+
 # ---- 3, 5 ----
 
 def corpus(spark, n=900):
