@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, html_text, licenses, minhash, packing, pitman_yor, quality, sentencepiece_codec, toxicity, vector_lists
+from plumbline.llm import (
+    exact, html_text, licenses, merkle, minhash, packing, pitman_yor, quality, quality_rules, sentencepiece_codec, sql_text, toxicity, vector_lists,
+)
 from plumbline.session import table
 
 
@@ -51,6 +53,14 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return pitman_yor.model_scores(table(spark, folder, "documents"))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_vector_lists": op2_vector_lists,
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_minhash": op9_minhash,
     "op10_language_model": op10_language_model,
+    "op11_merkle": op11_merkle,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 SQL: dict[str, str] = {
@@ -71,4 +83,6 @@ WITH plain AS (SELECT doc_id, coalesce(text, '') AS whole, regexp_replace(coales
      best AS (SELECT doc_id, text_sha256, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                      first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS keep_id FROM digest)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM best""",
+    "op11_merkle": sql_text.MERKLE,
+    "op13_quality_rules": sql_text.QUALITY_RULES,
 }
