@@ -144,12 +144,12 @@ def climb(start: DataFrame, nodes: DataFrame, hint: str = "") -> DataFrame:
         spark.conf.set(ROW_LIMIT, before)
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, crown: int = CROWN) -> DataFrame:
     """One row per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
     placed = placed_leaves(docs)
     nodes, subroots = levels(placed)
     total = placed.count()
-    crown = F.col("below") * CROWN >= total
+    shared = F.col("below") * crown >= total
     heights = small_side(stage(subroots.join(placed.groupBy("tree").agg(F.count("*").alias("width")), "tree"), "merkle-trees"))
     joined = placed.join(heights, "tree")
     start = joined.select(
@@ -157,8 +157,8 @@ def manifest(docs: DataFrame) -> DataFrame:
         F.when(F.col("width") > 1, _name("tree", 1, F.floor(F.col("pos") / FAN))).otherwise(F.col("over")).alias("up"),
         F.when(F.col("width") > 1, F.col("pos") % FAN).otherwise(F.col("tree") % FAN).cast("int").alias("slot"),
         F.col("offered").alias("folded"))
-    hot = nodes.where(crown).select("node", "up", "slot", "children")
-    cold = nodes.where(~crown).select("node", "up", "slot", "children")
+    hot = nodes.where(shared).select("node", "up", "slot", "children")
+    cold = nodes.where(~shared).select("node", "up", "slot", "children")
     lower = climb(start, cold)
     # A row goes on here where its next node is in the crown; one whose next node is not has gone on already.
     edge = lower.join(F.broadcast(hot.select(F.col("node").alias("up"))), "up", "left_semi").select("tree", "pos", "step", "up", "slot", "folded")

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
-    exact, html_text, licenses, merkle, minhash, packing, pitman_yor, quality, quality_rules, sentencepiece_codec, sql_text, toxicity, vector_lists,
+    exact, html_text, licenses, merkle, minhash, packing, pitman_yor, quality, quality_rules, sentencepiece_codec, sql_text, toxicity, turn_trie,
+    vector_lists,
 )
 from plumbline.session import table
 
@@ -57,6 +58,10 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"))
 
 
+def op12_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_language_model": op10_language_model,
     "op11_merkle": op11_merkle,
+    "op12_turn_trie": op12_turn_trie,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -84,5 +90,6 @@ WITH plain AS (SELECT doc_id, coalesce(text, '') AS whole, regexp_replace(coales
                      first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS keep_id FROM digest)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM best""",
     "op11_merkle": sql_text.MERKLE,
+    "op12_turn_trie": sql_text.PREFIX_TRIE,
     "op13_quality_rules": sql_text.QUALITY_RULES,
 }

@@ -82,3 +82,25 @@ base AS (SELECT d.row, d.doc_id, len(d.words)::BIGINT AS n_words, length(regexp_
          FROM worded d LEFT JOIN line l USING (row) LEFT JOIN repeated r USING (row) LEFT JOIN score s USING (row)),
 failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ratio >= -100000 * grams AS kept, ratio FROM failed"""
+
+
+PREFIX_TRIE = f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS host, {crc32('conv_id::VARCHAR', 'crc_table.t')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+r AS (SELECT t.conv_id, pos, role, text FROM t JOIN c USING (conv_id) WHERE pos > h
+      UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.host AND pos <= h),
+s AS (SELECT c.conv_id, coalesce(list({{'r': role, 't': text}} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS q FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+p AS (SELECT conv_id, unnest(range(len(q) + 1)) AS d, q FROM s),
+n AS (SELECT q[:d] AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(q) = d), '')) AS ends_sha256 FROM p GROUP BY q[:d], d),
+k AS (SELECT path[:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY path[:d - 1]),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+             CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(regexp_split_to_array(n.path[d].t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) END AS own
+      FROM n LEFT JOIN k ON n.path = k.path),
+u AS (SELECT v.path[:a.x] AS path, a.x AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved
+      FROM v, LATERAL (SELECT unnest(range(v.d + 1)) AS x) a GROUP BY v.path[:a.x], a.x)
+SELECT v.conv_id, v.d AS depth, m.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves, u.saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM v JOIN u ON v.path = u.path LEFT JOIN n m ON v.d > 0 AND m.path = v.path[:v.d - 1]"""
