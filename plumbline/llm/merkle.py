@@ -19,8 +19,10 @@ no rows. A lone leaf is its own subroot, and a lone subroot the root. Extra colu
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.keys import join_on
@@ -46,11 +48,10 @@ def leaf_hash(text: Column) -> Column:
 
 
 def leaves(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, leaf and ``offered``: the leaf again, or of the tampered text for every third crc32 of an id. One pass."""
+    """doc_id, lang, leaf and ``offered``: the leaf of the tampered text for every third crc32 of an id, else null. One pass."""
     shouted = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPER_EVERY == 0, F.lit(False))
-    own = leaf_hash(F.col("text"))
-    return docs.select("doc_id", "lang", own.alias("leaf"), F.when(chosen, leaf_hash(shouted)).otherwise(own).alias("offered"))
+    return docs.select("doc_id", "lang", leaf_hash(F.col("text")).alias("leaf"), F.when(chosen, leaf_hash(shouted)).alias("offered"))
 
 
 def placed_leaves(docs: DataFrame) -> DataFrame:
@@ -131,15 +132,20 @@ SELECT * FROM climb"""
 
 
 def climb(start: DataFrame, nodes: DataFrame, hint: str = "") -> DataFrame:
-    """Every step of every climbing row over ``nodes``, written; ``moved`` is false for the rows it starts from.
+    """Every step of every climbing row over ``nodes``; ``moved`` is false for the rows it starts from.
 
-    Spark keeps each round in shuffle files and starts the next from them. Its limit on rows is lifted while this runs.
+    Spark keeps each round in shuffle files and starts the next from them. Run it under ``unlimited_rows``.
     """
-    spark = start.sparkSession
+    return start.sparkSession.sql(CLIMB % hint, start=start, nodes=nodes)
+
+
+@contextmanager
+def unlimited_rows(spark: SparkSession) -> Iterator[None]:
+    """Lifts Spark's limit on the rows of a recursive query."""
     before = spark.conf.get(ROW_LIMIT)
     spark.conf.set(ROW_LIMIT, "-1")
     try:
-        return stage(spark.sql(CLIMB % hint, start=start, nodes=nodes), "merkle-climb")
+        yield
     finally:
         spark.conf.set(ROW_LIMIT, before)
 
@@ -156,18 +162,24 @@ def manifest(docs: DataFrame, crown: int = CROWN) -> DataFrame:
         "tree", "pos", F.lit(0).alias("step"),
         F.when(F.col("width") > 1, _name("tree", 1, F.floor(F.col("pos") / FAN))).otherwise(F.col("over")).alias("up"),
         F.when(F.col("width") > 1, F.col("pos") % FAN).otherwise(F.col("tree") % FAN).cast("int").alias("slot"),
-        F.col("offered").alias("folded"))
+        F.coalesce("offered", "leaf").alias("folded"))
     hot = nodes.where(shared).select("node", "up", "slot", "children")
     cold = nodes.where(~shared).select("node", "up", "slot", "children")
-    lower = climb(start, cold)
+    with unlimited_rows(docs.sparkSession):
+        proofs = _proofs(start, cold, hot)
+    top = nodes.where("up IS NULL").select("hash").first()
+    root = F.lit(top[0]) if top else F.col("subroot")
+    out = joined.join(proofs, ["tree", "pos"])
+    return out.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+def _proofs(start: DataFrame, cold: DataFrame, hot: DataFrame) -> DataFrame:
+    """tree, pos, folded_root and proof_sha256, written."""
+    lower = stage(climb(start, cold), "merkle-climb")
     # A row goes on here where its next node is in the crown; one whose next node is not has gone on already.
     edge = lower.join(F.broadcast(hot.select(F.col("node").alias("up"))), "up", "left_semi").select("tree", "pos", "step", "up", "slot", "folded")
     upper = climb(edge, hot, "/*+ BROADCAST(n) */").where("moved")
     steps = lower.unionByName(upper)
     last = F.max(F.struct("step", "folded"))["folded"]
     path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "siblings"))), lambda s: F.lower(F.hex(s["siblings"]))), "")
-    proofs = steps.groupBy("tree", "pos").agg(last.alias("folded_root"), F.sha2(path, 256).alias("proof_sha256"))
-    top = nodes.where("up IS NULL").select("hash").first()
-    root = F.lit(top[0]) if top else F.col("subroot")
-    out = joined.join(proofs, ["tree", "pos"])
-    return out.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
+    return stage(steps.groupBy("tree", "pos").agg(last.alias("folded_root"), F.sha2(path, 256).alias("proof_sha256")), "merkle-proofs")
