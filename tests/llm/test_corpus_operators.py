@@ -146,10 +146,11 @@ def test_the_ratio_alone_chooses_lists():
         assert len(mine) > 1024 and set(np.flatnonzero(d <= 1.599 ** 2 * d.min())) <= set(mine) <= set(np.flatnonzero(d <= 1.601 ** 2 * d.min()))
 
 
-def test_neighbours_recall_on_real_vectors_with_lists_left_out(spark):
-    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    held = rows.toPandas()
-    x, ids = np.array(held["embedding"].tolist(), float), held["vec_id"].to_numpy()
+def test_neighbours_recall_with_lists_left_out(spark):
+    rng = np.random.default_rng(8)
+    x = np.float32(rng.normal(size=(10_000, 24)) + 2 * rng.normal(size=(40, 24))[rng.integers(0, 40, 10_000)]).astype(float)
+    ids = np.arange(len(x))
+    rows = spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<double>").repartition(4)
     found = collections.defaultdict(set)
     for r in vector_lists.nearest_neighbours(rows).collect():
         found[r["query_id"]].add(r["vec_id"])
