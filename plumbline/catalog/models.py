@@ -12,6 +12,7 @@ from plumbline.catalog.base import DEFECTS_SQL, DOCS_SQL, ORDERS_SQL, defects, o
 from plumbline.catalog.prepare import SPLIT_SQL
 from plumbline.catalog.profile import DEFECT_PROFILE
 from plumbline.catalog.scores import rounded
+from plumbline.operators import policy
 from plumbline.operators import trials as T
 from plumbline.plans import card as K
 from plumbline.plans import fits as M
@@ -170,6 +171,17 @@ def search_diagnosis(spark, folder):
     return trials.select("iteration", "model", "status", "error_type", "rule", "failure_type", "prescription", "pipeline_move", F.round("score", 4).alias("score"))
 
 
+@query("f15_closed_search")
+def closed_search(spark, folder):
+    """One given attempt; the rest comes from the written ledger, and each step is planned again from what came before it."""
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    H.closed_search(doc_data(spark, folder), ("decision_tree", {"max_depth": 2}), "balanced_accuracy", 0.9999, path, "docs", max_iterations=4, stall_limit=4)
+    written = H.read_ledger(spark, path)
+    steps = policy.audited(written, M.PARAMS).select("iteration", "planned_model", "planned_origin", "follows")
+    return written.join(steps, "iteration", "left").select(
+        "iteration", "origin", "model", F.to_json("params").alias("params"), F.to_json("ran").alias("ran"), "status", F.round("score", 4).alias("score"), "planned_model", "planned_origin", "follows")
+
+
 def saved_model(spark, folder):
     """A logistic model on the labelled documents, saved and loaded again."""
     data = doc_data(spark, folder)

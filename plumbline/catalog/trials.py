@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from plumbline import fixed
 from plumbline.catalog import query
 from plumbline.operators import bootstrap as B
+from plumbline.operators import policy as P
 from plumbline.operators import trials as T
+from plumbline.plans import fits as M
 from plumbline.session import table
 
 # Lines of one order and line number become one attempt: at most seven attempts per run.
@@ -111,11 +113,14 @@ def ceiling_spread(spark, folder):
 CLAMP = "round(least(greatest({0}, 0.001), 1000), 3)"
 
 
-@query("t7_weight_search", f"""{W}, {DIAG}, p AS (SELECT a.run, a.iteration, a.weight, a.recall - a.specificity AS skew, a.imbalance, h.weight AS hw, h.recall - h.specificity AS hs, h.iteration AS hi
+WEIGHTS = f"""p AS (SELECT a.run, a.iteration, a.weight, a.recall - a.specificity AS skew, a.imbalance, h.weight AS hw, h.recall - h.specificity AS hs, h.iteration AS hi
   FROM df a JOIN t h ON h.run = a.run AND h.model = a.model AND h.iteration <= a.iteration WHERE a.rule = 'skew'),
 x AS (SELECT run, iteration, weight, skew, imbalance, min_by(hw, hs * 1000 + hi / 1000.0) FILTER (hs > 0) AS aw, min(hs) FILTER (hs > 0) AS ahs, max_by(hw, hs * 1000 - hi / 1000.0) FILTER (hs < 0) AS bw, max(hs) FILTER (hs < 0) AS bhs FROM p GROUP BY ALL),
 y AS (SELECT run, iteration, weight, {CLAMP.format('bw + (aw - bw) * (-bhs) / (ahs - bhs)')} AS crossing, {CLAMP.format("CASE WHEN skew < 0 AND weight = 1 THEN greatest(1.5, imbalance) WHEN skew < 0 THEN weight * 1.5 ELSE weight / 1.5 END")} AS step, bw < aw AS bracket FROM x)
-SELECT run, iteration, CASE WHEN bracket AND crossing <> {CLAMP.format('weight')} THEN crossing ELSE step END AS proposed_weight FROM y""")
+SELECT run, iteration, CASE WHEN bracket AND crossing <> {CLAMP.format('weight')} THEN crossing ELSE step END AS proposed_weight FROM y"""
+
+
+@query("t7_weight_search", f"{W}, {DIAG}, {WEIGHTS}")
 def weight_search(spark, folder):
     return T.propose_weight(trials(spark, folder)).where("rule = 'skew'").select("run", "iteration", "proposed_weight")
 
@@ -169,3 +174,59 @@ def candidates(spark, folder):
     rows = table(spark, folder, "customer").selectExpr(
         "c_custkey", "CASE c_mktsegment WHEN 'BUILDING' THEN 'gbdt' WHEN 'MACHINERY' THEN 'bagging' WHEN 'HOUSEHOLD' THEN 'linear' WHEN 'AUTOMOBILE' THEN 'tree' ELSE 'neural' END AS family")
     return rows.withColumn("model", F.expr(f"CASE family {cases} END"))
+
+
+# The next attempt of every run after its last one. Parameters are columns in the twin, one per name that a rule can set.
+NAMES = ("max_depth", "max_iter", "learning_rate", "n_estimators", "max_leaf_nodes", "l2_regularization", "train_subsample", "class_weight")
+_SET = {
+    "max_depth": "WHEN 'overfitting' THEN '4' WHEN 'hyperparam' THEN ['8', '5', '12'][(iteration - 1) % 3 + 1] WHEN 'unknown' THEN ['6', '8', '12'][(iteration + 1) % 3 + 1]",
+    "max_iter": "WHEN 'oom' THEN CASE WHEN cost >= 3 THEN '300' ELSE '80' END WHEN 'too_slow' THEN '60' WHEN 'underfitting' THEN CAST(least(1200, greatest(200, 3 * rounds)) AS VARCHAR) "
+                "WHEN 'hyperparam' THEN ['400', '800', '250'][(iteration - 1) % 3 + 1] WHEN 'unknown' THEN '400' WHEN 'wrong_model_family' THEN CASE WHEN new_family = 'linear' THEN '300' ELSE '' END",
+    "learning_rate": "WHEN 'underfitting' THEN '0.08' WHEN 'overfitting' THEN '0.05' WHEN 'hyperparam' THEN ['0.05', '0.02', '0.12'][(iteration - 1) % 3 + 1] "
+                     "WHEN 'unknown' THEN ['0.03', '0.05', '0.15'][(iteration + 1) % 3 + 1]",
+    "n_estimators": "WHEN 'oom' THEN '50' WHEN 'wrong_model_family' THEN CASE WHEN new_family = 'linear' THEN '' ELSE '300' END",
+    "max_leaf_nodes": "WHEN 'underfitting' THEN '63'", "l2_regularization": "WHEN 'overfitting' THEN '1.0'",
+    "train_subsample": "WHEN 'oom' THEN '0.5' WHEN 'too_slow' THEN '0.4'", "class_weight": "WHEN 'data_issue' THEN 'balanced'",
+}
+_OWN = {"max_depth": "CAST(2 + depth AS VARCHAR)", "max_iter": "CAST(rounds AS VARCHAR)"}
+_ROWS = "SELECT *, 100 + (CAST(weight * 2 AS INTEGER) % 3) * 50 AS rounds FROM t"
+
+
+def _entry(name):
+    """A parameter of the plan: what the rule sets, else what the last attempt had, else ''."""
+    own = _OWN.get(name, "''")
+    kept = f"CASE WHEN failure_type = 'wrong_model_family' AND proposed IS NULL THEN '' WHEN failure_type IN ('oom', 'too_slow') AND '{name}' = 'max_iter' THEN '' ELSE {own} END"
+    ruled = f"coalesce(CASE failure_type {_SET[name]} END, {kept})"
+    weighed = "'{\"0\": 1, \"1\": ' || CAST(proposed AS VARCHAR) || '}'" if name == "class_weight" else own
+    return f"CASE WHEN proposed IS NOT NULL THEN {weighed} ELSE {ruled} END"
+
+
+def _signature(model, entry):
+    """The entries that the model's trainer takes, as text."""
+    cases = " ".join(f"WHEN '{m}' THEN {' || chr(1) || '.join(entry(n) for n in NAMES if n in M.PARAMS[m] or n == 'train_subsample')}" for m in ORDER)
+    return f"CASE {model} {cases} END"
+
+
+NEXT_SQL = f"""{W}, {DIAG}, w AS ({{weights}}),
+fam(model, family, cost, pos) AS (VALUES {', '.join(f"('{c[1]}', '{c[2]}', {c[3]}, {ORDER.index(c[1]) if c[1] in ORDER else 99})" for c in fixed.CANDIDATES if c[0] == fixed.CLASSIFICATION)}),
+rot(family, pos) AS (VALUES {', '.join(f"('{f}', {i})" for i, f in enumerate(fixed.FAMILY_ROTATION) if f != 'kernel' or 'svc' in ORDER)}),
+rw AS ({_ROWS}), lastrow AS (SELECT run, max(iteration) AS iteration FROM t GROUP BY run),
+a AS (SELECT df.run, df.iteration, df.failure_type, df.model, df.pipeline, df.tuned, df.depth, rw.rounds, fam.family AS own_family, fam.cost, w.proposed_weight AS proposed,
+  coalesce((SELECT min_by(rot.family, rot.pos) FROM rot WHERE rot.family IN (SELECT f.family FROM fam f WHERE f.pos < 99)
+            AND rot.family NOT IN (SELECT f.family FROM t h JOIN fam f ON f.model = h.model WHERE h.run = df.run)), 'gbdt') AS new_family
+  FROM lastrow JOIN df USING (run, iteration) JOIN rw USING (run, iteration) JOIN fam ON fam.model = df.model LEFT JOIN w USING (run, iteration)),
+b AS (SELECT *, CASE WHEN failure_type IN ('oom', 'too_slow') THEN CASE WHEN cost >= 3 THEN 'linear' ELSE 'tree' END WHEN failure_type = 'wrong_model_family' THEN new_family ELSE own_family END AS family FROM a),
+c AS (SELECT b.*, (SELECT min_by(f.model, f.pos) FROM fam f WHERE f.family = b.family AND f.pos < 99) AS plan_model, {', '.join(f'{_entry(n)} AS p_{n}' for n in NAMES)} FROM b),
+e AS (SELECT c.*, EXISTS (SELECT 1 FROM rw h WHERE h.run = c.run AND h.model = c.plan_model AND h.pipeline = c.pipeline AND h.tuned = c.tuned
+        AND {_signature('h.model', lambda n: {'max_depth': 'CAST(2 + h.depth AS VARCHAR)', 'max_iter': 'CAST(h.rounds AS VARCHAR)'}.get(n, "''"))} = {_signature('c.plan_model', lambda n: f'c.p_{n}')}) AS repeated FROM c),
+g AS (SELECT e.*, (SELECT min_by(f.model, f.pos) FROM fam f WHERE f.pos < 99 AND f.model NOT IN (SELECT h.model FROM t h WHERE h.run = e.run)) AS untried FROM e)
+SELECT run, iteration + 1 AS iteration, failure_type AS answers, CASE WHEN repeated AND untried IS NULL THEN 'new_rounds' WHEN repeated THEN 'new_model' WHEN proposed IS NOT NULL THEN 'weight' ELSE failure_type END AS origin,
+ CASE WHEN repeated THEN coalesce(untried, plan_model) ELSE plan_model END AS model, repeated, {', '.join(f"nullif(p_{n}, '') AS {n}" for n in NAMES)} FROM g"""
+
+
+@query("t6_next_attempt", NEXT_SQL.replace("{weights}", "WITH " + WEIGHTS))
+def next_attempt(spark, folder):
+    rows = trials(spark, folder).withColumn("params", F.expr(
+        "map('max_depth', CAST(2 + depth AS STRING), 'max_iter', CAST(100 + (CAST(weight * 2 AS INT) % 3) * 50 AS STRING))"))
+    plans = P.next_attempts(rows, M.PARAMS)
+    return plans.select("run", "iteration", "answers", "origin", "model", "repeated", *[F.expr(f"try_element_at(params, '{n}')").alias(n) for n in NAMES])

@@ -1,19 +1,26 @@
-"""Prepare, fit candidates in turn, keep the best on validation, score the winner once on test."""
+"""Prepare, fit candidates in turn or as their ledger asks, keep the best on validation, score the winner once on test.
+
+All attempts of a search read one encoded table. Preprocessing steps are fitted once for each content (step list, family needs,
+rows they learn from) and kept; they are projections, so an attempt writes no table of its own but its narrow scores, which
+are removed once they are summed.
+"""
 
 from __future__ import annotations
 
+import json
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed
-from plumbline.operators import cuts, metrics, ranking, splits, steps
+from plumbline.operators import cuts, metrics, policy, ranking, splits, steps
+from plumbline.operators import trials as ledger_rules
 from plumbline.operators.encoding import Layout, apply_encoding, fit_encoding
 from plumbline.plans import fits
-from plumbline.session import stage
+from plumbline.session import discard, stage
 
 
 @dataclass
@@ -27,6 +34,13 @@ class Prepared:
     classes: int
     group: str | None = None
     seed: int = 42
+    kept: dict = field(default_factory=dict)
+
+    def once(self, key: tuple, make: Callable):
+        """What ``make`` returned the first time for this content."""
+        if key not in self.kept:
+            self.kept[key] = make()
+        return self.kept[key]
 
     def part(self, split: str) -> DataFrame:
         return self.rows.where(F.col("split") == split)
@@ -82,26 +96,32 @@ def run_trial(data: Prepared, iteration: int, model: str, params: dict, spec: Se
     try:
         name = fits.resolve_name(model, data.task)
         rows = data.rows
-        cut_rows = None
+        cut_rows, rest, stop = None, ("all",), ("none",)
         train = data.part("train")
+        params = dict(params)
+        share = params.pop("train_subsample", None)
+        by_class = "y" if data.task == fixed.CLASSIFICATION else None
         if tune_cut and data.task == fixed.CLASSIFICATION and data.classes == 2:
-            marked = stage(splits.hold_back(rows, data.keys, fixed.CUT_FRACTION, "cut", data.group, data.seed, "y"), "cut-rows")
-            held = marked.where("held").count()
+            marked, held = data.once(("cut",), lambda: _held(splits.hold_back(rows, data.keys, fixed.CUT_FRACTION, "cut", data.group, data.seed, "y"), "cut-rows"))
             if cuts.cut_refusal(metric, data.task, data.classes, held) is None:
-                cut_rows, train = marked.where("held").drop("held"), marked.where("NOT held").drop("held")
+                cut_rows, train, rest = marked.where("held").drop("held"), marked.where("NOT held").drop("held"), ("cut",)
+        if share is not None and 0 < float(share) < 1:
+            train = data.once((*rest, "share", float(share)), lambda: stage(
+                splits.train_subsample(train.withColumn("split", F.lit("train")), data.keys, float(share), data.seed), "train-share"))
+            rest = (*rest, float(share))
         if name in fixed.NATIVE_MISSING and stops_early(params):
-            marked = splits.hold_back(train.withColumn("split", F.lit("train")), data.keys, fixed.STOP_FRACTION, "stop", data.group, data.seed, "y" if data.task == fixed.CLASSIFICATION else None)
-            marked = stage(marked, "stop-rows")
-            if marked.where("held").count() >= fixed.STOP_MIN_ROWS:
-                train = marked
+            marked, held = data.once((*rest, "stop"), lambda: _held(splits.hold_back(
+                train.withColumn("split", F.lit("train")), data.keys, fixed.STOP_FRACTION, "stop", data.group, data.seed, by_class), "stop-rows"))
+            if held >= fixed.STOP_MIN_ROWS:
+                train, stop = marked, ("stop",)
         columns = data.layout.columns
         # Fills and scales come from the rows the family learns from, never from those that stop it.
-        prepared = steps.fit_steps(
-            train.where("NOT held") if "held" in train.columns else train, spec, columns, native_missing=name in fixed.NATIVE_MISSING,
-            scale_sensitive=name in fixed.SCALE_SENSITIVE)
-        ready = stage(prepared.apply(train), "train")
-        trial.fit = fits.fit(ready, name, data.task, prepared_features(prepared, columns), params=params, seed=data.seed)
-        trial.steps, trial.applied, trial.dropped = prepared, prepared.applied, trial.fit.dropped
+        native, sensitive = name in fixed.NATIVE_MISSING, name in fixed.SCALE_SENSITIVE
+        learn = train.where("NOT held").drop("held") if "held" in train.columns else train
+        prepared = data.once(("steps", *rest, *stop, json.dumps(list(spec), sort_keys=True), native and bool(spec), sensitive), lambda: steps.fit_steps(
+            learn, spec, columns, native_missing=native, scale_sensitive=sensitive))
+        trial.fit = fits.fit(prepared.apply(train), name, data.task, prepared_features(prepared, columns), params=params, seed=data.seed)
+        trial.steps, trial.applied, trial.dropped = prepared, [*prepared.applied, *([f"train_subsample({share})"] if len(rest) > 1 else [])], trial.fit.dropped
         if cut_rows is not None:
             held_pred = predict(trial, cut_rows, ["y"])
             best = cuts.sweep_cuts(held_pred, "y", "proba", metric).first() if "proba" in held_pred.columns else None
@@ -110,12 +130,18 @@ def run_trial(data: Prepared, iteration: int, model: str, params: dict, spec: Se
         long = score_predictions(scored, data.task, data.classes, ["split"])
         for row in long.collect():
             trial.metrics[row["metric"] if row["split"] == "val" else f"train_{row['metric']}"] = float(row["value"])
+        discard(scored)
     except Exception as problem:  # noqa: BLE001 - an attempt that fails is a result; the loop goes on
         trial.status, trial.error_type, trial.error = "error", error_kind(problem), str(problem)[:500]
     trial.wall_sec = time.time() - started
     return trial
 
 
+def _held(marked: DataFrame, label: str) -> tuple[DataFrame, int]:
+    rows = stage(marked, label)
+    return rows, rows.where("held").count()
+
+
 def stops_early(params: dict) -> bool:
     """Early stopping is asked for by a flag or by a number of rounds above 0."""
     asked = params.get("early_stopping", params.get("early_stopping_rounds"))
@@ -200,30 +226,87 @@ def search(
         else:
             continue
         break
-    holdout = {}
-    if best is not None:
-        tested = predict(best, data.part("test"), [*data.keys, "y"])
-        holdout = {r["metric"]: float(r["value"]) for r in score_predictions(stage(tested, "tested"), data.task, data.classes).collect()}
-    return Outcome(trials, best, reason, holdout)
+    return Outcome(trials, best, reason, holdout_scores(data, best))
 
 
-def trial_table(spark, outcome: Outcome, run: str, metric: str, bar: float | None = None, imbalance: float | None = None) -> DataFrame:
-    """The attempts as a table for the ledger and its rules: one row each, driver-sized by the iteration limit."""
+def holdout_scores(data: Prepared, best: Trial | None) -> dict:
+    """The winner on the test rows, which nothing has read before."""
+    if best is None:
+        return {}
+    tested = stage(predict(best, data.part("test"), [*data.keys, "y"]), "tested")
+    scores = {r["metric"]: float(r["value"]) for r in score_predictions(tested, data.task, data.classes).collect()}
+    discard(tested)
+    return scores
+
+
+TRIAL_SCHEMA = (
+    "run string, iteration int, model string, metric string, direction string, score double, status string, error_type string, "
+    "recall double, specificity double, roc_auc double, ceiling double, headroom double, train_score double, train_val_gap double, bar double, weight double, "
+    "imbalance double, params map<string, string>, ran map<string, string>, wall_sec double, pipeline string, tuned boolean, origin string")
+
+
+def trial_row(t: Trial, run: str, metric: str, bar: float | None = None, imbalance: float | None = None, origin: str = "given") -> tuple:
+    """An attempt as a row of the ledger. ``params`` is what was asked for and has a meaning here, ``ran`` what the fit used."""
     direction = fixed.METRICS[metric][1]
     sign = -1.0 if direction == fixed.MINIMIZE else 1.0
-    rows = []
-    for t in outcome.trials:
-        m = t.metrics
-        score, train, ceiling = m.get(metric), m.get(f"train_{metric}"), m.get("best_cut_ceiling")
-        weight = t.params.get("scale_pos_weight")
-        if isinstance(t.params.get("class_weight"), dict):
-            weight = t.params["class_weight"].get(1, t.params["class_weight"].get("1"))
-        kept = {k: str(v) for k, v in t.params.items() if k not in (t.dropped or ())}
-        rows.append((
-            run, t.iteration, t.model, metric, direction, score, t.status, t.error_type, m.get("recall"), m.get("specificity"), m.get("roc_auc"), ceiling,
-            None if ceiling is None or metric != "balanced_accuracy" or score is None else ceiling - score, train,
-            None if score is None or train is None else round(sign * (train - score), 6), bar, float(weight or 1.0), imbalance, kept, float(t.wall_sec), "; ".join(t.applied), t.cut is not None))
-    return spark.createDataFrame(rows, (
-        "run string, iteration int, model string, metric string, direction string, score double, status string, error_type string, "
-        "recall double, specificity double, roc_auc double, ceiling double, headroom double, train_score double, train_val_gap double, bar double, weight double, "
-        "imbalance double, params map<string, string>, wall_sec double, pipeline string, tuned boolean"))
+    m = t.metrics
+    score, train, ceiling = m.get(metric), m.get(f"train_{metric}"), m.get("best_cut_ceiling")
+    weight, named = t.params.get("scale_pos_weight"), t.params.get("class_weight")
+    if isinstance(named, dict):
+        weight = named.get(1, named.get("1"))
+    elif named == "balanced":
+        weight = imbalance
+    asked = {k: v for k, v in t.params.items() if k not in (t.dropped or ())}
+    return (
+        run, t.iteration, t.model, metric, direction, score, t.status, t.error_type, m.get("recall"), m.get("specificity"), m.get("roc_auc"), ceiling,
+        None if ceiling is None or metric != "balanced_accuracy" or score is None else ceiling - score, train,
+        None if score is None or train is None else round(sign * (train - score), 6), bar, float(weight or 1.0), imbalance, policy.as_text(asked),
+        policy.as_text(t.fit.applied) if t.fit else None, float(t.wall_sec), "; ".join(t.applied), t.cut is not None, origin)
+
+
+def trial_table(spark, outcome: Outcome, run: str, metric: str, bar: float | None = None, imbalance: float | None = None) -> DataFrame:
+    """The attempts as a table for the ledger and its rules: one row each, driver-sized by the iteration limit."""
+    return spark.createDataFrame([trial_row(t, run, metric, bar, imbalance) for t in outcome.trials], TRIAL_SCHEMA)
+
+
+def imbalance_ratio(data: Prepared) -> float | None:
+    """Commonest over rarest class, for the first step of the weight search."""
+    if data.task != fixed.CLASSIFICATION:
+        return None
+    row = data.rows.groupBy("y").count().agg(F.round(F.max("count") / F.min("count"), 4).alias("r")).first()
+    return row["r"]
+
+
+def closed_search(
+    data: Prepared, start: tuple[str, dict], metric: str, bar: float | None, path: str, run: str = "run",
+    spec: Sequence[dict] = (), max_iterations: int = fixed.MAX_ITERATIONS, stall_limit: int = fixed.STALL_LIMIT,
+    total_sec: float = fixed.TIME_BUDGET_SEC, tune_cut: bool = False,
+) -> Outcome:
+    """A search that plans itself: one given attempt, every later one as the ledger below ``path`` asks.
+
+    Each attempt is appended to the ledger as soon as it ends. The stop reason and the next attempt are then read from the table
+    (``trials.stop_reasons``, ``policy.next_attempts``), so a search that breaks off goes on from what is written there.
+    """
+    spark = data.rows.sparkSession
+    ratio = imbalance_ratio(data)
+    done: list[Trial] = []
+    model, params, origin, iteration = start[0], dict(start[1]), "given", 1
+    reason = None
+    while reason is None:
+        trial = run_trial(data, iteration, model, params, spec, metric, tune_cut)
+        done.append(trial)
+        spark.createDataFrame([trial_row(trial, run, metric, bar, ratio, origin)], TRIAL_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        history = read_ledger(spark, path).where(F.col("run") == run)
+        reason = ledger_rules.stop_reasons(history, total_sec, max_iterations, stall_limit).first()["reason"]
+        if reason is None:
+            plan = policy.next_attempts(history, fits.PARAMS, data.task).first()
+            model, params, origin, iteration = plan["model"], policy.typed(plan["params"]), plan["origin"], plan["iteration"]
+    best = None
+    for trial in done:
+        if better(trial.metrics.get(metric), best.metrics.get(metric) if best else None, metric):
+            best = trial
+    return Outcome(done, best, reason, holdout_scores(data, best))
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    return spark.read.schema(TRIAL_SCHEMA).parquet(path)
