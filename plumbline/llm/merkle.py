@@ -5,9 +5,11 @@ children's hashes in order, its hash, and a link to its own parent. ``climb`` is
 starts at a leaf, follows the link, appends the siblings found there, and folds the tampered hash with them.
 
 * Leaf positions come from ranges, not from a window over a language, so one language may hold most rows.
-* Nodes with at least 1/``CROWN`` of all leaves below them would be hot keys of the climb's join. At each depth there are at
-  most ``CROWN`` of them, and a tree of 2**63 leaves is 21 levels deep below 21 more: ``42 * CROWN`` rows of 650 bytes at the very most, so
-  they are broadcast. The climb runs twice with the same text: over the other nodes by a shuffle, then over these.
+* Nodes with at least 1/``CROWN`` of all leaves below them would be hot keys of the climb's join. There are at most ``CROWN`` of
+  them at each depth, a few thousand rows of 650 bytes in all, so they are broadcast. Leaves climb below this crown by a
+  shuffle, and through it by the broadcast.
+* A path through the crown is shared by all leaves that enter it at one place. Its siblings are appended by a climb from
+  that place, once, not again for each leaf; only the folded hash goes up per leaf.
 * A step's row has only that step's siblings, as 32 bytes each; the steps of a leaf are put in a row at the end. What the
   climb moves is therefore in proportion to leaves times levels.
 
@@ -22,7 +24,7 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.keys import join_on
@@ -124,19 +126,20 @@ WITH RECURSIVE climb(tree, pos, step, up, slot, folded, siblings, moved) AS (
   SELECT tree, pos, step, up, slot, folded, CAST('' AS BINARY), false FROM {start}
   UNION ALL
   SELECT %s c.tree, c.pos, c.step + 1, n.up, n.slot,
-         sha2(concat_ws('', transform(n.children, (x, i) -> if(i = c.slot, c.folded, x))), 256),
-         unhex(concat_ws('', filter(n.children, (x, i) -> i <> c.slot))), true
+         sha2(concat_ws('', transform(n.children, (x, i) -> if(i = c.slot, c.folded, x))), 256), %s, true
   FROM climb c JOIN {nodes} n ON c.up = n.node
 )
 SELECT * FROM climb"""
+APPEND = "unhex(concat_ws('', filter(n.children, (x, i) -> i <> c.slot)))"
+NOTHING = "CAST('' AS BINARY)"
 
 
-def climb(start: DataFrame, nodes: DataFrame, hint: str = "") -> DataFrame:
+def climb(start: DataFrame, nodes: DataFrame, hint: str = "", siblings: str = APPEND) -> DataFrame:
     """Every step of every climbing row over ``nodes``; ``moved`` is false for the rows it starts from.
 
     Spark keeps each round in shuffle files and starts the next from them. Run it under ``unlimited_rows``.
     """
-    return start.sparkSession.sql(CLIMB % hint, start=start, nodes=nodes)
+    return start.sparkSession.sql(CLIMB % (hint, siblings), start=start, nodes=nodes)
 
 
 @contextmanager
@@ -163,7 +166,9 @@ def manifest(docs: DataFrame, crown: int = CROWN) -> DataFrame:
         F.when(F.col("width") > 1, _name("tree", 1, F.floor(F.col("pos") / FAN))).otherwise(F.col("over")).alias("up"),
         F.when(F.col("width") > 1, F.col("pos") % FAN).otherwise(F.col("tree") % FAN).cast("int").alias("slot"),
         F.coalesce("offered", "leaf").alias("folded"))
-    hot = nodes.where(shared).select("node", "up", "slot", "children")
+    # A few thousand rows, so one window over them is small.
+    number = F.row_number().over(Window.orderBy("node")).cast("long")
+    hot = stage(nodes.where(shared).select("node", "up", "slot", "children", number.alias("number")), "merkle-crown")
     cold = nodes.where(~shared).select("node", "up", "slot", "children")
     with unlimited_rows(docs.sparkSession):
         proofs = _proofs(start, cold, hot)
@@ -173,13 +178,31 @@ def manifest(docs: DataFrame, crown: int = CROWN) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
 
 
+def _joined(path: str) -> Column:
+    """The siblings of a row's steps in order, as hex text."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", path))), lambda s: F.lower(F.hex(s[path]))), "")
+
+
+def _crown_paths(hot: DataFrame) -> DataFrame:
+    """up, slot, above: the siblings from each child of a crown node up to the root."""
+    entries = hot.select(F.explode(F.sequence(F.lit(0), F.size("children") - 1)).alias("slot"), "number", F.col("node").alias("up"), "children")
+    start = entries.select(F.lit(0).cast("long").alias("tree"), (F.col("number") * FAN + F.col("slot")).alias("pos"), F.lit(0).alias("step"), "up", "slot",
+                           F.get("children", F.col("slot")).alias("folded"))
+    steps = climb(start, hot, "/*+ BROADCAST(n) */").groupBy("pos").agg(_joined("siblings").alias("above"))
+    keys = hot.select("number", F.col("node").alias("up"))
+    return steps.join(keys, F.floor(F.col("pos") / FAN) == F.col("number")).select("up", (F.col("pos") % FAN).cast("int").alias("slot"), "above")
+
+
 def _proofs(start: DataFrame, cold: DataFrame, hot: DataFrame) -> DataFrame:
     """tree, pos, folded_root and proof_sha256, written."""
+    above = small_side(stage(_crown_paths(hot), "merkle-crown-paths"))
     lower = stage(climb(start, cold), "merkle-climb")
     # A row goes on here where its next node is in the crown; one whose next node is not has gone on already.
     edge = lower.join(F.broadcast(hot.select(F.col("node").alias("up"))), "up", "left_semi").select("tree", "pos", "step", "up", "slot", "folded")
-    upper = climb(edge, hot, "/*+ BROADCAST(n) */").where("moved")
-    steps = lower.unionByName(upper)
-    last = F.max(F.struct("step", "folded"))["folded"]
-    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "siblings"))), lambda s: F.lower(F.hex(s["siblings"]))), "")
-    return stage(steps.groupBy("tree", "pos").agg(last.alias("folded_root"), F.sha2(path, 256).alias("proof_sha256")), "merkle-proofs")
+    upper = climb(edge, hot, "/*+ BROADCAST(n) */", NOTHING).where("moved AND up IS NULL")
+    own = lower.unionByName(upper).groupBy("tree", "pos").agg(
+        F.max(F.struct("step", "folded"))["folded"].alias("folded_root"), _joined("siblings").alias("below"),
+        F.max(F.when(F.col("up").isNotNull(), F.struct("step", "up", "slot"))).alias("entry"))
+    own = own.select("tree", "pos", "folded_root", "below", F.col("entry.up").alias("up"), F.col("entry.slot").alias("slot"))
+    whole = own.join(above, ["up", "slot"], "left")
+    return stage(whole.select("tree", "pos", "folded_root", F.sha2(F.concat("below", F.coalesce("above", F.lit(""))), 256).alias("proof_sha256")), "merkle-proofs")
