@@ -55,7 +55,7 @@ def row_bootstrap(spark, folder):
 
 
 RANK_DRAWS = f"""{WITH_LINES}, {draws_sql('l_suppkey', 400)},
-k AS (SELECT l_suppkey, CAST(floor(proba * 4096) AS INTEGER) AS b, y, count(*) AS n FROM base GROUP BY ALL),
+k AS (SELECT l_suppkey, proba AS b, y, count(*) AS n FROM base GROUP BY ALL),
 t AS (SELECT r, b, CAST(sum(CASE WHEN y = 1 THEN n * w ELSE 0 END) AS DOUBLE) AS pos, CAST(sum(CASE WHEN y = 0 THEN n * w ELSE 0 END) AS DOUBLE) AS neg FROM k JOIN weights ON l_suppkey = u GROUP BY r, b),
 x AS (SELECT *, sum(pos) OVER v AS tp, sum(neg) OVER v AS fp FROM t WINDOW v AS (PARTITION BY r ORDER BY b DESC ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT r, sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) AS auc, sum(CASE WHEN pos > 0 THEN pos * tp / (tp + fp) ELSE 0 END) / sum(pos) AS ap FROM x GROUP BY r),

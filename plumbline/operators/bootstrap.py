@@ -19,7 +19,8 @@ from plumbline import fixed
 from plumbline.functions.columns import metric_constant
 from plumbline.operators.keys import beside, join_on, quoted
 from plumbline.operators.metrics import confusion, label_scores, long_scores
-from plumbline.operators.ranking import BUCKETS
+from plumbline.operators.ranking import score_edges, with_ranges
+from plumbline.session import stage
 
 PRIME = 2**31 - 1
 LABEL_METRICS = ("accuracy", "f1", "precision", "recall", "balanced_accuracy")
@@ -119,28 +120,125 @@ def label_draws(
     return long_scores(label_scores(cells, [*by, "r"], binary), LABEL_METRICS, [*by, "r"])
 
 
+# Distinct rows whose weights a task holds at a time: this many times the draws, in doubles.
+WEIGHT_BLOCK = 2048
+
+
+def _poisson_block(u, n, unit: bool, seed: int, resamples: int):
+    """Weight totals (rows x draws) of rows with ``n`` occurrences and the unit number ``u``.
+
+    A named unit weighs all its rows alike: n times its Poisson(1). Unnamed rows have one each, so n of them sum to
+    Poisson(n); a single one takes the hashed weight, more are drawn by a generator seeded with ``u``.
+    """
+    import numpy as np
+
+    a = np.array([_hex_number(f"a|{seed}|{r}") + 1 for r in range(resamples)], np.int64)
+    b = np.array([_hex_number(f"b|{seed}|{r}") for r in range(resamples)], np.int64)
+    w = np.searchsorted(np.array(poisson_steps()), (u[:, None] * a + b) % PRIME, side="right").astype(float)
+    if unit:
+        return w * n[:, None]
+    for i in np.flatnonzero(n > 1):
+        w[i] = np.random.Generator(np.random.PCG64(int(u[i]))).poisson(n[i], resamples)
+    return w
+
+
+def _curve_sums(rows, start_tp, start_fp, unit: bool, seed: int, resamples: int):
+    """Running weighted totals down the scores of one range, one slot per draw: (tp, fp, area, steps) at its end.
+
+    ``rows`` has score, y, u, n. Blocks end between scores, so a tie is never cut.
+    """
+    import numpy as np
+
+    rows = rows.sort_values("score", ascending=False, kind="stable")
+    score, y, u, n = (rows[c].to_numpy() for c in ("score", "y", "u", "n"))
+    tp, fp = start_tp.copy(), start_fp.copy()
+    area, steps = np.zeros(resamples), np.zeros(resamples)
+    bounds = np.concatenate([[0], np.flatnonzero(score[1:] != score[:-1]) + 1, [len(score)]])
+    at = 0
+    while at < len(bounds) - 1:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + WEIGHT_BLOCK, side="right")) - 1)
+        pos, neg = np.zeros((end - at, resamples)), np.zeros((end - at, resamples))
+        # One score may hold more rows than a block: its rows are weighed block by block.
+        for lo in range(bounds[at], bounds[end], WEIGHT_BLOCK):
+            hi = min(lo + WEIGHT_BLOCK, bounds[end])
+            w = _poisson_block(u[lo:hi], n[lo:hi], unit, seed, resamples)
+            slot = np.searchsorted(bounds, np.arange(lo, hi), side="right") - 1 - at
+            for side, mine in ((pos, y[lo:hi] == 1), (neg, y[lo:hi] != 1)):
+                np.add.at(side, slot[mine], w[mine])
+        tps, fps = tp + np.cumsum(pos, 0), fp + np.cumsum(neg, 0)
+        area += (neg * (tps - pos / 2)).sum(0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            steps += np.where(pos > 0, pos * (tps / (tps + fps)), 0.0).sum(0)
+        tp, fp, at = tps[-1], fps[-1], end
+    return tp, fp, area, steps
+
+
 def ranking_draws(
     df: DataFrame, label: str, proba: str, by: Sequence[str] = (), unit: str | None = None,
     seed: int = 42, resamples: int = fixed.RESAMPLES,
 ) -> DataFrame:
-    """Rows (by..., r, metric, value) for roc_auc and pr_auc; scores inside one of 4,096 buckets count as tied."""
-    bucket = F.expr(f"CAST(floor({proba} * {BUCKETS}) AS INT) AS b")
-    y = F.col(label).cast("int").alias("y")
-    if unit is None:
-        cells = df.groupBy(*by, bucket, y).agg(F.count(F.lit(1)).alias("n"))
-        drawn = _draw_cells(cells, ["b", "y"], by, seed, resamples)
+    """Rows (by..., r, metric, value) for roc_auc and pr_auc of every draw, on the exact scores.
+
+    Rows are dealt into ranges of scores of bounded share. A first pass gives each range its weighted totals, one slot per
+    draw; added up from the top they are the ranges' starting points; a second pass runs down each range from there. No
+    draw is ever a row of its own before the sums, and a task holds one range (or a segment's part of it).
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys, unnamed = list(by), unit is None
+    known = df.where(F.col(proba).isNotNull()).select(*[F.col(c) for c in keys], F.col(proba).cast("double").alias("score"), F.col(label).cast("int").alias("y"),
+                                                      (F.lit(None).cast("string") if unnamed else F.col(unit).cast("string")).alias("unit_name"))
+    cells = with_ranges(known, "score", score_edges(df, proba)).groupBy(*keys, "b", "score", "y", "unit_name").agg(F.count(F.lit(1)).alias("n"))
+    if unnamed:
+        number = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in keys], "score", "y"), F.lit(PRIME))
     else:
-        own = df.groupBy(*by, unit, bucket, y).agg(F.count(F.lit(1)).alias("n"))
-        drawn = weighted(own, quoted(unit), seed, resamples).groupBy(*by, "r", "b", "y").agg(F.expr("sum(n * w) AS n"))
-    from pyspark.sql import Window
-
-    table = drawn.groupBy(*by, "r", "b").agg(F.expr("sum(IF(y = 1, n, 0)) AS pos"), F.expr("sum(IF(y = 1, 0, n)) AS neg"))
-    # At most 4,097 buckets per draw.
-    run = Window.partitionBy(*by, "r").orderBy(F.desc("b"))
-    table = table.withColumn("tp", F.sum("pos").over(run)).withColumn("fp", F.sum("neg").over(run))
-    out = table.groupBy(*by, "r").agg(
-        F.expr("try_divide(sum(neg * (tp - pos / 2D)), CAST(sum(pos) AS DOUBLE) * sum(neg)) AS roc_auc"),
-        F.expr("try_divide(sum(IF(pos > 0, pos * (tp / (tp + fp)), 0D)), sum(pos)) AS pr_auc"))
+        number = F.expr(unit_number("unit_name", seed))
+    cells = stage(cells.select(*keys, "b", "score", "y", number.alias("u"), "n").where("u IS NOT NULL"), "draw-cells")
+    named = [f"__k{i}" for i, _ in enumerate(keys)]
+    cells = cells.select(*[F.col(c).alias(k) for c, k in zip(keys, named)], "b", "score", "y", "u", "n")
+    key_fields = [T.StructField(k, cells.schema[k].dataType) for k in named]
+    slots = T.ArrayType(T.DoubleType())
+    with_b = [*key_fields, T.StructField("b", T.DoubleType())]
+
+    def schema(fields: list, *names: str) -> T.StructType:
+        return T.StructType([*fields, *[T.StructField(n, slots) for n in names]])
+
+    def keyed(key: tuple, **columns) -> pd.DataFrame:
+        return pd.DataFrame({**dict(zip([*named, "b"], [[k] for k in key])), **{c: [v] for c, v in columns.items()}})
+
+    def totals(key, rows):
+        pos, neg = np.zeros(resamples), np.zeros(resamples)
+        for lo in range(0, len(rows), WEIGHT_BLOCK):
+            part = rows.iloc[lo:lo + WEIGHT_BLOCK]
+            w = _poisson_block(part["u"].to_numpy(), part["n"].to_numpy(), not unnamed, seed, resamples)
+            one = part["y"].to_numpy() == 1
+            pos, neg = pos + w[one].sum(0), neg + w[~one].sum(0)
+        return keyed(key, pos=pos, neg=neg)
+
+    def starts(rows):
+        rows = rows.sort_values("b", ascending=False)
+        out = rows[[*named, "b"]].copy()
+        for c in ("pos", "neg"):
+            values = np.stack(rows[c].to_list())
+            ends = np.cumsum(values, 0)
+            out[f"{c}_off"], out[f"{c}_all"] = list(ends - values), [ends[-1]] * len(rows)
+        return out
+
+    def curve(key, rows, offset):
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in [*named, "b", "area", "steps", "pos_all", "neg_all"]})
+        o = offset.iloc[0]
+        _, _, area, steps = _curve_sums(rows, np.asarray(o["pos_off"]), np.asarray(o["neg_off"]), not unnamed, seed, resamples)
+        return keyed(key, area=area, steps=steps, pos_all=np.asarray(o["pos_all"]), neg_all=np.asarray(o["neg_all"]))
+
+    sums = cells.groupBy(*named, "b").applyInPandas(totals, schema(with_b, "pos", "neg"))
+    # At most one row a range and segment, RANGES of them in a group.
+    offsets = sums.groupBy(*named).applyInPandas(starts, schema(with_b, "pos_off", "pos_all", "neg_off", "neg_all"))
+    parts = cells.groupBy(*named, "b").cogroup(offsets.groupBy(*named, "b")).applyInPandas(curve, schema(with_b, "area", "steps", "pos_all", "neg_all"))
+    slotted = parts.select(*named, F.posexplode(F.arrays_zip("area", "steps", "pos_all", "neg_all")).alias("r", "x"))
+    out = slotted.groupBy(*named, "r").agg(F.sum("x.area").alias("area"), F.sum("x.steps").alias("steps"), F.max("x.pos_all").alias("p"), F.max("x.neg_all").alias("n"))
+    out = out.select(*[F.col(k).alias(c) for c, k in zip(keys, named)], "r", F.expr("try_divide(area, p * n) AS roc_auc"), F.expr("try_divide(steps, p) AS pr_auc"))
     return long_scores(out, ("roc_auc", "pr_auc"), [*by, "r"])
 
 

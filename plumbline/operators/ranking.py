@@ -1,54 +1,60 @@
 """Ranking metrics from one cumulative table over distinct scores.
 
-Scores lie in [0, 1]. They fall into 4,096 coarse and 4,096 fine buckets each; running totals are kept
-per coarse bucket, per fine bucket and per score, so no task ever sorts all scores of a model.
+A sketch of the scores gives ``RANGES`` ranges that hold about the same number of rows each, wherever the scores lie. Totals
+per range (at most ``RANGES`` rows a segment) give every range its offset; running totals inside a range do the rest. So
+no task ever sorts all scores of a model, also when nearly all of them lie close to 0 or 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.keys import join_on
+from plumbline.operators.keys import join_on, quoted
 
-BUCKETS = 4096
+RANGES = 512
+SKETCH_ACCURACY = 20_000
+
+
+def score_edges(df: DataFrame, proba: str) -> list[float]:
+    """Rising bounds between ranges of about equal share of the rows; fewer where scores repeat."""
+    shares = [k / RANGES for k in range(1, RANGES)]
+    row = df.where(F.col(proba).isNotNull()).agg(F.percentile_approx(F.col(proba).cast("double"), shares, SKETCH_ACCURACY).alias("edges")).first()
+    return sorted(set(row["edges"] or []))
+
+
+def with_ranges(df: DataFrame, proba: str, edges: Sequence[float], name: str = "b") -> DataFrame:
+    """Adds ``name``: how many edges lie at or below the score."""
+    if not edges:
+        return df.withColumn(name, F.lit(0.0))
+    return Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=proba, outputCol=name, handleInvalid="keep").transform(df)
 
 
 def score_counts(df: DataFrame, label: str, proba: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """Rows (by..., b1, b2, score, pos, neg) per distinct score."""
+    """Rows (by..., b, score, pos, neg) per distinct score; ``b`` rises with the score."""
     w = weight or "1"
-    return df.where(F.col(proba).isNotNull()).groupBy(
-        *by,
-        F.expr(f"CAST(floor({proba} * {BUCKETS}) AS INT) AS b1"),
-        F.expr(f"CAST(floor({proba} * {BUCKETS * BUCKETS}) - floor({proba} * {BUCKETS}) * {BUCKETS} AS INT) AS b2"),
-        F.col(proba).alias("score"),
-    ).agg(F.expr(f"sum(IF({label} = 1, {w}, 0)) AS pos"), F.expr(f"sum(IF({label} = 1, 0, {w})) AS neg"))
+    known = df.where(F.col(proba).isNotNull()).withColumn("__score", F.col(proba).cast("double"))
+    ranged = with_ranges(known, "__score", score_edges(df, proba), "__b")
+    return ranged.groupBy(*by, F.col("__b").alias("b"), F.col(proba).alias("score")).agg(
+        F.expr(f"sum(IF({quoted(label)} = 1, {w}, 0)) AS pos"), F.expr(f"sum(IF({quoted(label)} = 1, 0, {w})) AS neg"))
 
 
 def cumulative(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Adds tp, fp (rows at or above the score) and total_pos, total_neg."""
-    fine = counts.groupBy(*by, "b1", "b2").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    coarse = fine.groupBy(*by, "b1").agg(F.sum("p").alias("p1"), F.sum("n").alias("n1"))
-    # At most 4,097 coarse rows per segment, and 4,096 fine rows per coarse bucket.
+    sums = counts.groupBy(*by, "b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    # At most RANGES rows per segment.
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    above = whole.orderBy(F.desc("b1")).rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select(
-        *by, "b1", F.coalesce(F.sum("p1").over(above), F.lit(0)).alias("p_off"),
-        F.coalesce(F.sum("n1").over(above), F.lit(0)).alias("n_off"),
-        F.sum("p1").over(whole).alias("total_pos"), F.sum("n1").over(whole).alias("total_neg"))
-    within = Window.partitionBy(*by, "b1").orderBy(F.desc("b2")).rowsBetween(Window.unboundedPreceding, -1)
-    fine = fine.select(
-        *by, "b1", "b2", F.coalesce(F.sum("p").over(within), F.lit(0)).alias("p_in"),
-        F.coalesce(F.sum("n").over(within), F.lit(0)).alias("n_in"))
-    offsets = join_on(fine, coarse, [*by, "b1"])
-    own = Window.partitionBy(*by, "b1", "b2").orderBy(F.desc("score"))
+    above = whole.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *by, "b", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p_off"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_off"),
+        F.sum("p").over(whole).alias("total_pos"), F.sum("n").over(whole).alias("total_neg"))
+    own = Window.partitionBy(*by, "b").orderBy(F.desc("score"))
     leaf = counts.withColumn("p_own", F.sum("pos").over(own)).withColumn("n_own", F.sum("neg").over(own))
-    joined = join_on(leaf, offsets, [*by, "b1", "b2"])
-    return joined.select(
-        *by, "score", "pos", "neg", F.expr("p_off + p_in + p_own AS tp"), F.expr("n_off + n_in + n_own AS fp"),
-        "total_pos", "total_neg")
+    return join_on(leaf, offsets, [*by, "b"]).select(
+        *by, "score", "pos", "neg", F.expr("p_off + p_own AS tp"), F.expr("n_off + n_own AS fp"), "total_pos", "total_neg")
 
 
 def ranking(df: DataFrame, label: str, proba: str, by: Sequence[str] = ()) -> DataFrame:
