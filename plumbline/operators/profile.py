@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from plumbline import fixed
 from plumbline.functions.columns import bucket
 from plumbline.operators.keys import (
-    attach, clean, column_kinds, join_on, quoted, rows_from, rows_of, staged_stats, text_literal,
+    attach, beside, clean, column_kinds, join_on, quoted, rows_from, rows_of, staged_stats, text_literal,
 )
-from plumbline.operators.quantiles import exact_quantiles, wide_quantiles
+from plumbline.operators.quantiles import exact_quantiles, sketch, wide_quantiles
 from plumbline.operators.sentinels import detect_sentinels
 from plumbline.session import stage
 
@@ -21,9 +21,9 @@ from plumbline.session import stage
 EXACT_BELOW = 200
 
 
-def missing_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def missing_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), states: DataFrame | None = None) -> DataFrame:
     """Rows (by..., name, n_rows, n_missing, missing_rate) from one wide aggregate."""
-    wide = clean(df, [*by, *columns]).groupBy(*by).agg(
+    wide = states if states is not None else clean(df, [*by, *columns]).groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), *[F.expr(f"count({quoted(c)}) AS c{i}") for i, c in enumerate(columns)]
     )
     return wide.select(*by, rows_from([
@@ -31,12 +31,36 @@ def missing_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     ])).withColumn("missing_rate", F.expr("IF(n_rows > 0, round(n_missing / n_rows, 4), 0D)"))
 
 
+def profile_states(df: DataFrame, columns: Sequence[str], countable: Sequence[str], numeric: Sequence[str], target: str | None, by: Sequence[str] = ()) -> DataFrame:
+    """One scan for everything that needs no other result first, one staged row per segment.
+
+    c<i> present rows and d<i> distinct estimate of each column; k<i> moments, and s<2i>, s<2i+1> the quantile sketches of the
+    numeric column and of its size (whole tables only).
+    """
+    values = clean(df, [*by, *dict.fromkeys([*columns, *countable, *numeric, *([target] if target else [])])])
+    aggs = ["count(1) AS __n", *[f"count({quoted(c)}) AS c{i}" for i, c in enumerate(columns)]]
+    aggs += [f"{_distinct_state(c)} AS d{i}" for i, c in enumerate(countable)]
+    for i, c in enumerate(numeric):
+        aggs.append(f"{_moments(c, target)} AS k{i}")
+        if not by:
+            x = f"CAST({quoted(c)} AS DOUBLE)"
+            aggs += [f"{sketch(x, (0.25, 0.75))} AS s{2 * i}", f"{sketch(f'abs({x})', (0.5,))} AS s{2 * i + 1}"]
+    return staged_stats(values, by, aggs, "profile-states")
+
+
+def _distinct_state(column: str) -> str:
+    return f"coalesce(hll_sketch_estimate(hll_sketch_agg(CASE WHEN {quoted(column)} IS NOT NULL THEN xxhash64({quoted(column)}) END, 12)), 0)"
+
+
+def _moments(column: str, target: str | None) -> str:
+    x, y = f"CAST({quoted(column)} AS DOUBLE)", f"CAST({quoted(target)} AS DOUBLE)" if target else "CAST(NULL AS DOUBLE)"
+    return (f"struct({text_literal(column)} AS name, count({x}) AS present, CASE WHEN count({x}) > 2 THEN "
+            f"skewness({x}) * sqrt(CAST(count({x}) AS DOUBLE) * (count({x}) - 1)) / (count({x}) - 2) END AS skew_value, corr({x}, {y}) AS corr)")
+
+
 def distinct_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Staged one-row-per-segment table with a ``d<i>`` distinct estimate per column."""
-    return staged_stats(df, by, [
-        f"coalesce(hll_sketch_estimate(hll_sketch_agg(CASE WHEN {quoted(c)} IS NOT NULL THEN xxhash64({quoted(c)}) END, 12)), 0) AS d{i}"
-        for i, c in enumerate(columns)
-    ], "distinct")
+    return staged_stats(df, by, [f"{_distinct_state(c)} AS d{i}" for i, c in enumerate(columns)], "distinct")
 
 
 def low_frequencies(
@@ -57,10 +81,10 @@ def low_frequencies(
     ])).groupBy(*by, "name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), stats: DataFrame | None = None) -> DataFrame:
     """Rows (by..., name, distinct_count, exact): exact below the limit, else the estimate."""
     values = clean(df, [*by, *columns])
-    stats = distinct_stats(values, columns, by)
+    stats = distinct_stats(values, columns, by) if stats is None else stats
     counted = low_frequencies(values, columns, by, stats=stats).groupBy(*by, "name").agg(
         F.count(F.lit(1)).alias("counted")
     )
@@ -82,23 +106,18 @@ def kind_column(numeric: Column, integer: Column, distinct: Column) -> Column:
     )
 
 
-def shape(df: DataFrame, columns: Sequence[str], target: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+def shape(df: DataFrame, columns: Sequence[str], target: str | None = None, by: Sequence[str] = (), states: DataFrame | None = None) -> DataFrame:
     """Rows (by..., name, present, skew_value, median_abs, q1, q3, outlier_rate, corr) per numeric column."""
     values = clean(df, [*by, *columns, *([target] if target and target not in columns else [])])
-    y = f"CAST({quoted(target)} AS DOUBLE)" if target else "CAST(NULL AS DOUBLE)"
-    aggs, measures, probs, wanted = [], {}, {}, []
+    states = profile_states(df, [], [], columns, target, by) if states is None else states
+    measures, probs, wanted = {}, {}, []
     for i, c in enumerate(columns):
-        x = f"CAST({quoted(c)} AS DOUBLE)"
-        aggs.append(
-            f"struct({text_literal(c)} AS name, count({x}) AS present, CASE WHEN count({x}) > 2 THEN "
-            f"skewness({x}) * sqrt(CAST(count({x}) AS DOUBLE) * (count({x}) - 1)) / (count({x}) - 2) END AS skew_value, "
-            f"corr({x}, {y}) AS corr) AS s{i}")
         measures[f"x{i}"], probs[f"x{i}"] = quoted(c), (0.25, 0.75)
         measures[f"a{i}"], probs[f"a{i}"] = f"abs({quoted(c)})", (0.5,)
         wanted += [(f"x{i}", 0.25, f"q1_{i}"), (f"x{i}", 0.75, f"q3_{i}"), (f"a{i}", 0.5, f"ma_{i}")]
-    moments = values.groupBy(*by).agg(*[F.expr(a) for a in aggs]).select(
-        *by, rows_from([f"s{i}" for i, _ in enumerate(columns)]))
-    fences = stage(wide_quantiles(exact_quantiles(values, measures, probs, by), wanted, by), "fences")
+    moments = states.select(*by, rows_from([f"k{i}" for i, _ in enumerate(columns)]))
+    sketches = None if by else states.select(*[f"s{i}" for i in range(2 * len(columns))])
+    fences = stage(wide_quantiles(exact_quantiles(values, measures, probs, by, sketches), wanted, by), "fences")
     joined, stat = attach(values, fences, by)
     outside = []
     for i, c in enumerate(columns):
@@ -125,8 +144,10 @@ def profile_columns(
     features = [c for c in df.columns if c not in by and c != target]
     countable = [c for c in features if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
     keys = [*by, "name"]
-    base = missing_rates(df, features, by)
-    base = join_on(base, distinct_counts(df, countable, by), keys, "left")
+    shaped = [c for c in features if kinds[c] == "numeric"]
+    states = profile_states(df, features, countable, shaped, target, by)
+    base = missing_rates(df, features, by, states)
+    base = join_on(base, distinct_counts(df, countable, by, states), keys, "left")
     facts = F.create_map(*[x for c in features for x in (F.lit(c), F.struct(
         F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.lit(kinds[c]).alias("kind"),
         F.lit(isinstance(df.schema[c].dataType, T.IntegralType)).alias("integer")))])
@@ -141,10 +162,9 @@ def profile_columns(
         )).alias("usable_by_executor"),
         kind_column(numeric, F.col("__f.integer"), distinct).alias("kind"),
     )
-    shaped = [c for c in features if kinds[c] == "numeric"]
     if shaped:
         enough = F.col("present") >= fixed.SHAPE_MIN_ROWS
-        base = join_on(base, shape(df, shaped, target, by), keys, "left").select(
+        base = join_on(base, shape(df, shaped, target, by, states), keys, "left").select(
             *base.columns,
             F.when(enough, bucket(F.col("median_abs"), fixed.MAGNITUDE_EDGES, fixed.MAGNITUDE_LAST)).alias("magnitude"),
             F.when(enough, bucket(F.abs(F.coalesce(F.nanvl("skew_value", F.lit(0.0)), F.lit(0.0))), fixed.SKEW_EDGES, fixed.SKEW_LAST)).alias("skew"),
@@ -163,8 +183,9 @@ def profile_columns(
 def class_balance(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per segment: shares sorted descending (4 decimals), class count, imbalance ratio."""
     counts = df.where(F.col(target).isNotNull()).groupBy(*by, target).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
-    shares = counts.withColumn("share", F.round(F.col("n") / total, 4))
+    counts = stage(counts, "class-counts")
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    shares = beside(counts, totals, by).withColumn("share", F.round(F.col("n") / F.col("total"), 4))
     shares = shares.groupBy(*by).agg(
         F.sort_array(F.collect_list("share"), asc=False).alias("class_balance"),
         F.sum("n").alias("n_rows"),

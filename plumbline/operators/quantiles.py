@@ -1,7 +1,8 @@
 """Exact interpolated quantiles without holding a column in one task.
 
-A sketch brackets each wanted rank, further scans count the rows below each bracket and the distinct
-values inside it, and the rank is read off that small frequency table.
+A sketch brackets each wanted rank. A scan counts the rows below and inside each bracket: one that missed its rank is
+widened, one that holds too many rows is sketched again from inside, until each is small. A last scan counts the distinct
+values inside, and the rank is read off that table, whose size ``FEW`` bounds.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.keys import attach, join_on, rows_from, rows_of, staged_stats, text_literal
+from plumbline.operators.keys import attach, join_on, number_literal, rows_from, rows_of, staged_stats, text_literal
 from plumbline.session import small_side, stage
 
 ACCURACY = 20_000
@@ -19,6 +20,9 @@ ACCURACY = 20_000
 MARGIN = 2.0 / ACCURACY
 # Groups up to this size count all their distinct values; above it the margin is at least four ranks.
 SMALL = int(4 / MARGIN)
+# A bracket with more rows is refined; a refinement cuts it into this many cells.
+FEW = 100_000
+GRID = 32
 
 
 def _edges(probs: Sequence[float]) -> str:
@@ -27,17 +31,18 @@ def _edges(probs: Sequence[float]) -> str:
 
 
 def exact_quantiles(
-    df: DataFrame, measures: Mapping[str, str], probs: Mapping[str, Sequence[float]], by: Sequence[str] = ()
+    df: DataFrame, measures: Mapping[str, str], probs: Mapping[str, Sequence[float]], by: Sequence[str] = (), stats: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (by..., measure, prob, n, value): linear interpolation at rank ``prob * (n - 1)``.
 
     ``measures`` maps a name to SQL text over ``df``. Segments up to ``SMALL`` rows use the built-in
-    exact percentile, whose value map their size bounds; larger ones go through brackets.
+    exact percentile, whose value map their size bounds; larger ones go through brackets. ``stats`` may hold the
+    measures' states (``sketch``) as s0, s1... of the whole table, if a scan has made them already.
     """
     names = list(measures)
     wide = df.select(*by, *[F.expr(f"CAST({measures[m]} AS DOUBLE) AS m{i}") for i, m in enumerate(names)])
     if not by:
-        return _bracketed(wide, names, probs, by)
+        return _bracketed(wide, names, probs, by, stats)
     sizes = stage(wide.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")), "sizes")
     large = sizes.where(F.col("__rows") > SMALL)
     if large.isEmpty():
@@ -59,45 +64,110 @@ def _direct(wide: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[
     ])).where("n > 0")
 
 
-def _bracketed(wide: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[float]], by: Sequence[str]) -> DataFrame:
-    stats = staged_stats(wide, by, [
-        f"struct(count(m{i}) AS n, min(m{i}) AS lo, max(m{i}) AS hi, "
-        f"percentile_approx(m{i}, {_edges(probs[m])}, {ACCURACY}) AS e) AS s{i}"
-        for i, m in enumerate(names)
-    ], "brackets")
-    if not by and max(stats.first()[f"s{i}"]["n"] for i, _ in enumerate(names)) <= SMALL:
+def sketch(column: str, probs: Sequence[float]) -> str:
+    """SQL: the state that brackets ``column``; one scan may hold it beside any other aggregates."""
+    return f"struct(count({column}) AS n, min({column}) AS lo, max({column}) AS hi, percentile_approx({column}, {_edges(probs)}, {ACCURACY}) AS e)"
+
+
+def _literal(row) -> str:
+    """A bracket state as SQL text."""
+    listed = lambda values: f"array({', '.join(map(number_literal, values))})"
+    return (f"struct({row['n']}L AS n, {number_literal(row['lo'])} AS lo, {number_literal(row['hi'])} AS hi, "
+            f"{listed(row['l'])} AS l, {listed(row['h'])} AS h)")
+
+
+def _first_brackets(stats: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[float]], by: Sequence[str]) -> DataFrame:
+    """by..., b<i>: count, least and largest value, and the two ends of the bracket around every wanted rank."""
+    states = []
+    for i, m in enumerate(names):
+        low = ", ".join(f"if(s{i}.n <= {SMALL}, s{i}.lo, s{i}.e[{2 * j}])" for j, _ in enumerate(probs[m]))
+        high = ", ".join(f"if(s{i}.n <= {SMALL}, s{i}.hi, s{i}.e[{2 * j + 1}])" for j, _ in enumerate(probs[m]))
+        states.append(f"struct(s{i}.n AS n, s{i}.lo AS lo, s{i}.hi AS hi, array({low}) AS l, array({high}) AS h) AS b{i}")
+    return stage(stats.select(*by, *[F.expr(x) for x in states]), "quantile-brackets")
+
+
+def _counted(wide: DataFrame, brackets: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[float]], by: Sequence[str], fine: bool) -> DataFrame:
+    """One scan: b<i> again, and r<i>_<j>: rows below and inside each bracket, with a sketch of the inside if ``fine``."""
+    joined, stat = attach(wide, brackets, by)
+    grid = f"array({', '.join(repr(k / GRID) for k in range(GRID + 1))})"
+    aggs = []
+    for i, m in enumerate(names):
+        for j, _ in enumerate(probs[m]):
+            low, high = stat(f"b{i}.l[{j}]"), stat(f"b{i}.h[{j}]")
+            inside = f"m{i} >= {low} AND m{i} <= {high}"
+            inner = f"percentile_approx(CASE WHEN {inside} THEN m{i} END, {grid}, {GRID * 100})" if fine else "CAST(NULL AS ARRAY<DOUBLE>)"
+            aggs.append(f"struct(count_if(m{i} < {low}) AS below, count_if({inside}) AS inside, {inner} AS g) AS r{i}_{j}")
+    carried = [f"any_value(b{i}) AS b{i}" for i, _ in enumerate(names)] if by else []
+    out = joined.groupBy(*by).agg(*[F.expr(x) for x in [*aggs, *carried]])
+    if not by:
+        row = brackets.first()
+        out = out.select("*", *[F.expr(f"{_literal(row[f'b{i}'])} AS b{i}") for i, _ in enumerate(names)])
+    return stage(out, "quantile-counts")
+
+
+def _next(names: Sequence[str], probs: Mapping[str, Sequence[float]], fine: bool) -> tuple[list[str], str]:
+    """SQL of the next brackets, and of the number that must be counted again.
+
+    A rank outside its bracket widens it to the end of the values; a bracket with more than ``FEW`` rows shrinks to the
+    cells of its sketch around the rank. One that holds a single value, or that no longer shrinks, stays.
+    """
+    states, open_ones = [], []
+    for i, m in enumerate(names):
+        lows, highs = [], []
+        for j, p in enumerate(probs[m]):
+            r, b = f"r{i}_{j}", f"b{i}"
+            low, high = f"{b}.l[{j}]", f"{b}.h[{j}]"
+            rank = f"{p!r}D * ({b}.n - 1)"
+            under, over = f"{r}.below > floor({rank})", f"{r}.below + {r}.inside <= ceil({rank})"
+            big = f"({r}.inside > {FEW} AND {low} < {high} AND NOT ({under}) AND NOT ({over}))"
+            cell = lambda where, step: f"{r}.g[CAST(greatest(0, least({GRID}, {where}((({rank}) - {r}.below) / {r}.inside * {GRID}) + {step})) AS INT)]"
+            new_low = f"CASE WHEN {under} THEN {b}.lo WHEN {big} THEN coalesce(greatest({low}, {cell('floor', -1)}), {low}) ELSE {low} END"
+            new_high = f"CASE WHEN {over} THEN {b}.hi WHEN {big} THEN coalesce(least({high}, {cell('ceil', 1)}), {high}) ELSE {high} END"
+            lows.append(new_low)
+            highs.append(new_high)
+            shrinks = f"({new_low} > {low} OR {new_high} < {high})" if fine else "true"
+            open_ones.append(f"if(coalesce({under} OR {over} OR ({big} AND {shrinks}), false), 1, 0)")
+        states.append(f"struct(b{i}.n AS n, b{i}.lo AS lo, b{i}.hi AS hi, array({', '.join(lows)}) AS l, array({', '.join(highs)}) AS h) AS b{i}")
+    return states, " + ".join(open_ones)
+
+
+def _bracketed(
+    wide: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[float]], by: Sequence[str], stats: DataFrame | None = None,
+) -> DataFrame:
+    """Brackets from the sketch, counted, and refined until every wanted rank lies in a small one."""
+    if stats is None:
+        stats = staged_stats(wide, by, [f"{sketch(f'm{i}', probs[m])} AS s{i}" for i, m in enumerate(names)], "quantile-sketch")
+    most = stats.agg(F.greatest(F.lit(0), *[F.max(f"s{i}.n") for i, _ in enumerate(names)])).first()[0] or 0
+    if not by and most <= SMALL:
         return _direct(wide, names, probs, by)
-    joined, stat = attach(wide, stats, by)
-    elements, inside, below, wanted = [], [], [], []
+    brackets, fine = _first_brackets(stats, names, probs, by), 2 * MARGIN * most > FEW
+    while True:
+        counted = _counted(wide, brackets, names, probs, by, fine)
+        states, open_ones = _next(names, probs, fine)
+        if not counted.agg(F.sum(F.expr(open_ones))).first()[0]:
+            break
+        brackets, fine = stage(counted.select(*by, *[F.expr(x) for x in states]), "quantile-brackets"), True
+    joined, stat = attach(wide, brackets, by)
+    elements, inside, wanted = [], [], []
     for i, m in enumerate(names):
         for j, p in enumerate(probs[m]):
-            small = f"{stat(f's{i}.n')} <= {SMALL}"
-            low = f"if({small}, {stat(f's{i}.lo')}, {stat(f's{i}.e[{2 * j}]')})"
-            high = f"if({small}, {stat(f's{i}.hi')}, {stat(f's{i}.e[{2 * j + 1}]')})"
-            within = f"m{i} >= {low} AND m{i} <= {high}"
+            within = f"m{i} >= {stat(f'b{i}.l[{j}]')} AND m{i} <= {stat(f'b{i}.h[{j}]')}"
             inside.append(f"({within})")
             elements.append(f"CASE WHEN {within} THEN struct({i} AS m, {j} AS j, m{i} AS v) END")
-            below.append(f"count_if(m{i} < {low}) AS b{i}_{j}")
-            wanted.append(f"struct({i} AS m, {j} AS j, {text_literal(m)} AS measure, {p!r}D AS prob, n{i} AS n, b{i}_{j} AS below)")
-    sizes = [f"count(m{i}) AS n{i}" for i, _ in enumerate(names)]
-    requests = joined.groupBy(*by).agg(*[F.expr(x) for x in [*sizes, *below]]).select(*by, rows_from(wanted)).where("n > 0")
+            wanted.append(f"struct({i} AS m, {j} AS j, {text_literal(m)} AS measure, {p!r}D AS prob, b{i}.n AS n, r{i}_{j}.below AS below)")
+    requests = counted.select(*by, rows_from(wanted)).where("n > 0")
     # The filter keeps the rows of the brackets only; the generator then runs on those.
     counts = joined.where(" OR ".join(inside)).select(*by, rows_of(elements)).groupBy(*by, "m", "j", "v").agg(
         F.count(F.lit(1)).alias("k"))
+    # At most FEW distinct values in a bracket.
     running = Window.partitionBy(*by, "m", "j").orderBy("v")
     counts = counts.withColumn("run", F.sum("k").over(running))
     picked = join_on(counts, requests, [*by, "m", "j"]).withColumn("cum", F.col("below") + F.col("run")).groupBy(
         *by, "measure", "prob", "n").agg(
-        F.expr("max(below) AS below"),
         F.expr("min(CASE WHEN cum > floor(prob * (n - 1)) THEN struct(cum, v) END) AS a"),
         F.expr("min(CASE WHEN cum > ceil(prob * (n - 1)) THEN struct(cum, v) END) AS b"),
     )
-    value = F.expr(
-        "CASE WHEN a.v IS NULL OR b.v IS NULL OR below > floor(prob * (n - 1)) "
-        "THEN CAST(raise_error('a quantile fell outside its sketch bracket') AS DOUBLE) "
-        "ELSE a.v + (b.v - a.v) * (prob * (n - 1) - floor(prob * (n - 1))) END AS value"
-    )
-    return picked.select(*by, "measure", "prob", "n", value)
+    return picked.select(*by, "measure", "prob", "n", F.expr("a.v + (b.v - a.v) * (prob * (n - 1) - floor(prob * (n - 1))) AS value"))
 
 
 def wide_quantiles(quantiles: DataFrame, wanted: Sequence[tuple[str, float, str]], by: Sequence[str]) -> DataFrame:

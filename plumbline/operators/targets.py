@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 from plumbline import fixed
 from plumbline.operators.keys import clean, column_kinds
 from plumbline.operators.profile import distinct_counts
+from plumbline.operators.ranges import positions
 from plumbline.session import small_side, stage
 
+# Up to so many distinct labels one task numbers them; more are numbered by ranges.
+FEW_CLASSES = 100_000
+
 
 def target_tasks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows (name, distinct_count, has_fraction, task); ``task`` is ``unusable`` below two values."""
@@ -59,8 +63,9 @@ def apply_missing_policy(df: DataFrame, target: str, policy: str = "reject") ->
 
 def class_levels(df: DataFrame, target: str) -> DataFrame:
     """Staged (label, code) table: codes follow the sorted distinct labels."""
-    distinct = df.where(F.col(target).isNotNull()).select(F.col(target).alias("label")).distinct()
-    # One row per class: a classification target has few, and labels are distinct here.
+    distinct = stage(df.where(F.col(target).isNotNull()).select(F.col(target).alias("label")).distinct(), "labels")
+    if distinct.limit(FEW_CLASSES + 1).count() > FEW_CLASSES:
+        return stage(positions(distinct, [F.col("label")], name="code", label="levels"), "levels")
     order = Window.partitionBy(F.lit(1)).orderBy("label")
     return stage(distinct.withColumn("code", (F.row_number().over(order) - 1).cast("bigint")), "levels")
 
