@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ from plumbline.session import stage
 EXACT_BELOW = 200
 
 
-def missing_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), states: DataFrame | None = None) -> DataFrame:
+def missing_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), states: States | None = None) -> DataFrame:
     """Rows (by..., name, n_rows, n_missing, missing_rate) from one wide aggregate."""
-    wide = states if states is not None else clean(df, [*by, *columns]).groupBy(*by).agg(
+    wide = states.sums if states is not None else clean(df, [*by, *columns]).groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), *[F.expr(f"count({quoted(c)}) AS c{i}") for i, c in enumerate(columns)]
     )
     return wide.select(*by, rows_from([
@@ -31,21 +32,27 @@ def missing_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     ])).withColumn("missing_rate", F.expr("IF(n_rows > 0, round(n_missing / n_rows, 4), 0D)"))
 
 
-def profile_states(df: DataFrame, columns: Sequence[str], countable: Sequence[str], numeric: Sequence[str], target: str | None, by: Sequence[str] = ()) -> DataFrame:
-    """One scan for everything that needs no other result first, one staged row per segment.
+@dataclass(frozen=True)
+class States:
+    """What a profile reads first, one staged row per segment each.
 
-    c<i> present rows and d<i> distinct estimate of each column; k<i> moments, and s<2i>, s<2i+1> the quantile sketches of the
-    numeric column and of its size (whole tables only).
+    ``sums``: __n, c<i> present rows of each column, k<i> moments of each numeric one: plain sums, in generated code.
+    ``sketches``: d<i> distinct estimates; for whole tables s<2i>, s<2i+1> rank sketches of a numeric column and of its size.
     """
+
+    sums: DataFrame
+    sketches: DataFrame
+
+
+def profile_states(df: DataFrame, columns: Sequence[str], countable: Sequence[str], numeric: Sequence[str], target: str | None, by: Sequence[str] = ()) -> States:
+    """Two scans for everything that needs no other result first: sums, and sketches, which would keep sums out of generated code."""
     values = clean(df, [*by, *dict.fromkeys([*columns, *countable, *numeric, *([target] if target else [])])])
-    aggs = ["count(1) AS __n", *[f"count({quoted(c)}) AS c{i}" for i, c in enumerate(columns)]]
-    aggs += [f"{_distinct_state(c)} AS d{i}" for i, c in enumerate(countable)]
-    for i, c in enumerate(numeric):
-        aggs.append(f"{_moments(c, target)} AS k{i}")
-        if not by:
-            x = f"CAST({quoted(c)} AS DOUBLE)"
-            aggs += [f"{sketch(x, (0.25, 0.75))} AS s{2 * i}", f"{sketch(f'abs({x})', (0.5,))} AS s{2 * i + 1}"]
-    return staged_stats(values, by, aggs, "profile-states")
+    sums = ["count(1) AS __n", *[f"count({quoted(c)}) AS c{i}" for i, c in enumerate(columns)], *[f"{_moments(c, target)} AS k{i}" for i, c in enumerate(numeric)]]
+    sketches = [f"{_distinct_state(c)} AS d{i}" for i, c in enumerate(countable)]
+    for i, c in enumerate(numeric if not by else []):
+        x = f"CAST({quoted(c)} AS DOUBLE)"
+        sketches += [f"{sketch(x, (0.25, 0.75))} AS s{2 * i}", f"{sketch(f'abs({x})', (0.5,))} AS s{2 * i + 1}"]
+    return States(staged_stats(values, by, sums, "profile-sums"), staged_stats(values, by, sketches or ["0 AS none"], "profile-sketches"))
 
 
 def _distinct_state(column: str) -> str:
@@ -106,7 +113,7 @@ def kind_column(numeric: Column, integer: Column, distinct: Column) -> Column:
     )
 
 
-def shape(df: DataFrame, columns: Sequence[str], target: str | None = None, by: Sequence[str] = (), states: DataFrame | None = None) -> DataFrame:
+def shape(df: DataFrame, columns: Sequence[str], target: str | None = None, by: Sequence[str] = (), states: States | None = None) -> DataFrame:
     """Rows (by..., name, present, skew_value, median_abs, q1, q3, outlier_rate, corr) per numeric column."""
     values = clean(df, [*by, *columns, *([target] if target and target not in columns else [])])
     states = profile_states(df, [], [], columns, target, by) if states is None else states
@@ -115,8 +122,8 @@ def shape(df: DataFrame, columns: Sequence[str], target: str | None = None, by:
         measures[f"x{i}"], probs[f"x{i}"] = quoted(c), (0.25, 0.75)
         measures[f"a{i}"], probs[f"a{i}"] = f"abs({quoted(c)})", (0.5,)
         wanted += [(f"x{i}", 0.25, f"q1_{i}"), (f"x{i}", 0.75, f"q3_{i}"), (f"a{i}", 0.5, f"ma_{i}")]
-    moments = states.select(*by, rows_from([f"k{i}" for i, _ in enumerate(columns)]))
-    sketches = None if by else states.select(*[f"s{i}" for i in range(2 * len(columns))])
+    moments = states.sums.select(*by, rows_from([f"k{i}" for i, _ in enumerate(columns)]))
+    sketches = None if by else states.sketches.select(*[f"s{i}" for i in range(2 * len(columns))])
     fences = stage(wide_quantiles(exact_quantiles(values, measures, probs, by, sketches), wanted, by), "fences")
     joined, stat = attach(values, fences, by)
     outside = []
@@ -147,7 +154,7 @@ def profile_columns(
     shaped = [c for c in features if kinds[c] == "numeric"]
     states = profile_states(df, features, countable, shaped, target, by)
     base = missing_rates(df, features, by, states)
-    base = join_on(base, distinct_counts(df, countable, by, states), keys, "left")
+    base = join_on(base, distinct_counts(df, countable, by, states.sketches), keys, "left")
     facts = F.create_map(*[x for c in features for x in (F.lit(c), F.struct(
         F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.lit(kinds[c]).alias("kind"),
         F.lit(isinstance(df.schema[c].dataType, T.IntegralType)).alias("integer")))])

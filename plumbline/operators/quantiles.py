@@ -15,19 +15,24 @@ from pyspark.sql import functions as F
 from plumbline.operators.keys import attach, join_on, number_literal, rows_from, rows_of, staged_stats, text_literal
 from plumbline.session import small_side, stage
 
-ACCURACY = 20_000
-# Twice the sketch's rank error on each side of the wanted rank.
-MARGIN = 2.0 / ACCURACY
-# Groups up to this size count all their distinct values; above it the margin is at least four ranks.
-SMALL = int(4 / MARGIN)
+# Size of the rank sketch. Its ranks are off by some 0.13 % of the rows; brackets reach more than twice as far on each side.
+SKETCH_SIZE = 4096
+MARGIN = 0.003
+# Groups up to this size are ranked as they are.
+SMALL = 40_000
 # A bracket with more rows is refined; a refinement cuts it into this many cells.
-FEW = 100_000
-GRID = 32
+FEW = 2_000_000
+GRID = 256
 
 
-def _edges(probs: Sequence[float]) -> str:
-    edges = [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
-    return f"array({', '.join(map(repr, edges))})"
+def _edges(probs: Sequence[float]) -> list[float]:
+    return [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+
+
+def _quantiles_of(column: str, ranks: Sequence[float]) -> str:
+    """SQL: sketched quantiles of a column, NULL where it has no value."""
+    at = f"array({', '.join(f'{r!r}D' for r in ranks)})"
+    return f"IF(count({column}) > 0, kll_sketch_get_quantile_double(kll_sketch_agg_double({column}, {SKETCH_SIZE}), {at}), NULL)"
 
 
 def exact_quantiles(
@@ -65,8 +70,8 @@ def _direct(wide: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[
 
 
 def sketch(column: str, probs: Sequence[float]) -> str:
-    """SQL: the state that brackets ``column``; one scan may hold it beside any other aggregates."""
-    return f"struct(count({column}) AS n, min({column}) AS lo, max({column}) AS hi, percentile_approx({column}, {_edges(probs)}, {ACCURACY}) AS e)"
+    """SQL: the state that brackets a double ``column``; one scan may hold it beside any other aggregates."""
+    return f"struct(count({column}) AS n, {_quantiles_of(column, [0.0, 1.0, *_edges(probs)])} AS e)"
 
 
 def _literal(row) -> str:
@@ -80,22 +85,22 @@ def _first_brackets(stats: DataFrame, names: Sequence[str], probs: Mapping[str,
     """by..., b<i>: count, least and largest value, and the two ends of the bracket around every wanted rank."""
     states = []
     for i, m in enumerate(names):
-        low = ", ".join(f"if(s{i}.n <= {SMALL}, s{i}.lo, s{i}.e[{2 * j}])" for j, _ in enumerate(probs[m]))
-        high = ", ".join(f"if(s{i}.n <= {SMALL}, s{i}.hi, s{i}.e[{2 * j + 1}])" for j, _ in enumerate(probs[m]))
-        states.append(f"struct(s{i}.n AS n, s{i}.lo AS lo, s{i}.hi AS hi, array({low}) AS l, array({high}) AS h) AS b{i}")
+        low = ", ".join(f"if(s{i}.n <= {SMALL}, s{i}.e[0], s{i}.e[{2 * j + 2}])" for j, _ in enumerate(probs[m]))
+        high = ", ".join(f"if(s{i}.n <= {SMALL}, s{i}.e[1], s{i}.e[{2 * j + 3}])" for j, _ in enumerate(probs[m]))
+        states.append(f"struct(s{i}.n AS n, s{i}.e[0] AS lo, s{i}.e[1] AS hi, array({low}) AS l, array({high}) AS h) AS b{i}")
     return stage(stats.select(*by, *[F.expr(x) for x in states]), "quantile-brackets")
 
 
 def _counted(wide: DataFrame, brackets: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[float]], by: Sequence[str], fine: bool) -> DataFrame:
     """One scan: b<i> again, and r<i>_<j>: rows below and inside each bracket, with a sketch of the inside if ``fine``."""
     joined, stat = attach(wide, brackets, by)
-    grid = f"array({', '.join(repr(k / GRID) for k in range(GRID + 1))})"
+    grid = [k / GRID for k in range(GRID + 1)]
     aggs = []
     for i, m in enumerate(names):
         for j, _ in enumerate(probs[m]):
             low, high = stat(f"b{i}.l[{j}]"), stat(f"b{i}.h[{j}]")
             inside = f"m{i} >= {low} AND m{i} <= {high}"
-            inner = f"percentile_approx(CASE WHEN {inside} THEN m{i} END, {grid}, {GRID * 100})" if fine else "CAST(NULL AS ARRAY<DOUBLE>)"
+            inner = _quantiles_of(f"CASE WHEN {inside} THEN m{i} END", grid) if fine else "CAST(NULL AS ARRAY<DOUBLE>)"
             aggs.append(f"struct(count_if(m{i} < {low}) AS below, count_if({inside}) AS inside, {inner} AS g) AS r{i}_{j}")
     carried = [f"any_value(b{i}) AS b{i}" for i, _ in enumerate(names)] if by else []
     out = joined.groupBy(*by).agg(*[F.expr(x) for x in [*aggs, *carried]])
@@ -120,7 +125,7 @@ def _next(names: Sequence[str], probs: Mapping[str, Sequence[float]], fine: bool
             rank = f"{p!r}D * ({b}.n - 1)"
             under, over = f"{r}.below > floor({rank})", f"{r}.below + {r}.inside <= ceil({rank})"
             big = f"({r}.inside > {FEW} AND {low} < {high} AND NOT ({under}) AND NOT ({over}))"
-            cell = lambda where, step: f"{r}.g[CAST(greatest(0, least({GRID}, {where}((({rank}) - {r}.below) / {r}.inside * {GRID}) + {step})) AS INT)]"
+            cell = lambda where, step: f"{r}.g[CAST(greatest(0, least({GRID}, {where}((({rank}) - {r}.below) / {r}.inside * {GRID}) + {step})) AS INT)]"
             new_low = f"CASE WHEN {under} THEN {b}.lo WHEN {big} THEN coalesce(greatest({low}, {cell('floor', -1)}), {low}) ELSE {low} END"
             new_high = f"CASE WHEN {over} THEN {b}.hi WHEN {big} THEN coalesce(least({high}, {cell('ceil', 1)}), {high}) ELSE {high} END"
             lows.append(new_low)
@@ -148,17 +153,19 @@ def _bracketed(
             break
         brackets, fine = stage(counted.select(*by, *[F.expr(x) for x in states]), "quantile-brackets"), True
     joined, stat = attach(wide, brackets, by)
-    elements, inside, wanted = [], [], []
+    elements, inside, wanted, single = [], [], [], []
     for i, m in enumerate(names):
         for j, p in enumerate(probs[m]):
-            within = f"m{i} >= {stat(f'b{i}.l[{j}]')} AND m{i} <= {stat(f'b{i}.h[{j}]')}"
+            low, high = stat(f"b{i}.l[{j}]"), stat(f"b{i}.h[{j}]")
+            within = f"{low} < {high} AND m{i} >= {low} AND m{i} <= {high}"
             inside.append(f"({within})")
             elements.append(f"CASE WHEN {within} THEN struct({i} AS m, {j} AS j, m{i} AS v) END")
             wanted.append(f"struct({i} AS m, {j} AS j, {text_literal(m)} AS measure, {p!r}D AS prob, b{i}.n AS n, r{i}_{j}.below AS below)")
+            single.append(f"CASE WHEN b{i}.l[{j}] = b{i}.h[{j}] THEN struct({i} AS m, {j} AS j, b{i}.l[{j}] AS v, r{i}_{j}.inside AS k) END")
     requests = counted.select(*by, rows_from(wanted)).where("n > 0")
-    # The filter keeps the rows of the brackets only; the generator then runs on those.
+    # The filter keeps the rows of the brackets only; the generator then runs on those. A bracket of one value is counted already.
     counts = joined.where(" OR ".join(inside)).select(*by, rows_of(elements)).groupBy(*by, "m", "j", "v").agg(
-        F.count(F.lit(1)).alias("k"))
+        F.count(F.lit(1)).alias("k")).unionByName(counted.select(*by, rows_of(single)))
     # At most FEW distinct values in a bracket.
     running = Window.partitionBy(*by, "m", "j").orderBy("v")
     counts = counts.withColumn("run", F.sum("k").over(running))
