@@ -371,3 +371,12 @@ def nearest(spark, folder):
 @query("f10_knn_vote", f"{KNN_SQL}, v AS (SELECT vec_id, label, count(*) AS n FROM k GROUP BY ALL) SELECT vec_id, min_by(label, -n * 1000 + label) AS prediction FROM v GROUP BY vec_id")
 def knn_vote(spark, folder):
     return N.vote(_neighbors(spark, folder), "vec_id")
+
+
+@query("f10_hashed_recall")
+def hashed_recall(spark, folder):
+    """Neighbours among rows that share a projection bucket, per rank of the exact answer."""
+    rows = stage(L.assign_splits(table(spark, folder, "embeddings"), ["vec_id"], label="label"), "vectors")
+    reference, queries = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    found = N.nearest_hashed(reference, queries, "vec_id", "embedding", "label", 5).select("vec_id", "neighbor", F.lit(True).alias("found"))
+    return _neighbors(spark, folder).select("vec_id", "rank", "neighbor").join(found, ["vec_id", "neighbor"], "left").fillna(False, ["found"])

@@ -1,64 +1,134 @@
-"""Exact nearest neighbours: bounded query blocks meet the spread-out reference rows."""
+"""Nearest neighbours: exact by blocks of both sides, or among rows that share a projection hash.
 
-from __future__ import annotations
+Both sides are dealt into blocks of bounded size by a hash of their key. Each pair of blocks meets in one group, where one
+matrix product ranks the pairs and keeps k a query; a window over the blocks' bests ends it. Nothing goes through the driver.
+The approximate path compares a query only with rows that agree with it in one of several sets of random projections;
+``recall`` tells what that lost.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Query vectors sent to every task at once; more queries run in further blocks.
-BLOCK = 20_000
+# Rows of a block, and queries whose distances to a block are held at a time.
+BLOCK_ROWS = 10_000
+QUERIES_AT_ONCE = 500
+# Projections in a set (2**bits buckets), and sets.
+BITS, TABLES = 6, 12
 
 
-def nearest(reference: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
-    """Rows (key, neighbor, label, distance, rank) of the k nearest reference rows per query.
+def _blocks(df: DataFrame) -> int:
+    return max(1, -(-df.count() // BLOCK_ROWS))
+
+
+def _dealt(df: DataFrame, key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
+
+
+def _best(names, labels, rows, ids, points, k: int):
+    """The k nearest rows of each point: (point, row, squared distance), ties to the smaller name.
 
-    Each task keeps only its own k best per query, so the shuffle carries k rows per query and task.
+    The product only chooses candidates, with room for its rounding; their distances are taken again term by term.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // BLOCK))
-    out = None
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block) if blocks > 1 else queries
-        found = _block(reference, part, key, vector, label, k)
-        out = found if out is None else out.unionByName(found)
+    import numpy as np
+
+    order = np.argsort(names, kind="stable")
+    names, labels, rows = names[order], labels[order], rows[order]
+    sizes = (rows ** 2).sum(1)
+    out = []
+    for lo in range(0, len(ids), QUERIES_AT_ONCE):
+        part = points[lo:lo + QUERIES_AT_ONCE]
+        own = (part ** 2).sum(1)
+        near = sizes[None, :] - 2 * part @ rows.T + own[:, None]
+        kept = min(k, len(rows))
+        bound = np.partition(near, kept - 1, axis=1)[:, kept - 1] + 1e-9 * (own + sizes.max() + 1)
+        for i, (point, limit) in enumerate(zip(part, bound)):
+            at = np.flatnonzero(near[i] <= limit)
+            gaps = ((rows[at] - point) ** 2).sum(1)
+            take = np.argsort(gaps, kind="stable")[:k]
+            out += [(ids[lo + i], names[at[t]], labels[at[t]], float(np.sqrt(gaps[t]))) for t in take]
     return out
 
 
-def _block(reference: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:
-    import numpy as np
+def _searched(key: str, vector: str, label: str, k: int):
+    def search(stored, asked):
+        import numpy as np
+        import pandas as pd
+
+        columns = [key, "neighbor", "label", "distance"]
+        if not len(stored) or not len(asked):
+            return pd.DataFrame({c: [] for c in columns})
+        matrix = lambda df: np.stack(df[vector].to_list()).astype("float64")
+        found = _best(stored[key].to_numpy(), stored[label].to_numpy(), matrix(stored), asked[key].to_numpy(), matrix(asked), k)
+        return pd.DataFrame(found, columns=columns)
+
+    return search
+
 
-    # At most about BLOCK rows by construction.
-    held = queries.select(key, vector).toPandas()
-    ids = held[key].to_numpy()
-    points = np.stack(held[vector].to_numpy()).astype("float64") if len(held) else np.zeros((0, 1))
-    shared = reference.sparkSession.sparkContext.broadcast((ids, points))
+def _met(stored: DataFrame, asked: DataFrame, groups: list[str], reference: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:
     schema = T.StructType([
         T.StructField(key, reference.schema[key].dataType), T.StructField("neighbor", reference.schema[key].dataType),
         T.StructField("label", reference.schema[label].dataType), T.StructField("distance", T.DoubleType())])
+    apart = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # both sides may come from one table
+    near = stored.groupBy(*groups).cogroup(apart.groupBy(*groups)).applyInPandas(_searched(key, vector, label, k), schema)
+    order = Window.partitionBy(key).orderBy("distance", "neighbor")
+    return near.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    def search(batches: Iterator) -> Iterator:
-        import pandas as pd
 
-        ids, points = shared.value
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            batch = batch.sort_values(key)
-            rows = np.stack(batch[vector].to_numpy()).astype("float64")
-            names, labels = batch[key].to_numpy(), batch[label].to_numpy()
-            for name, point in zip(ids, points):
-                gaps = ((rows - point) ** 2).sum(axis=1)
-                # Stable on rows in key order: ties go to the smaller key, never more than k rows.
-                take = np.argsort(gaps, kind="stable")[:k]
-                yield pd.DataFrame({
-                    key: name, "neighbor": names[take], "label": labels[take], "distance": np.sqrt(gaps[take])})
-
-    near = reference.select(key, vector, label).mapInPandas(search, schema)
-    order = Window.partitionBy(key).orderBy("distance", "neighbor")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def nearest(reference: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
+    """Rows (key, neighbor, label, distance, rank) of the k nearest reference rows per query.
+
+    Each pair of blocks keeps k rows a query, so the last shuffle carries k rows per query and block of the reference.
+    """
+    rows, asks = _blocks(reference), _blocks(queries)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    stored = reference.select(key, vector, label, _dealt(reference, key, rows).alias("__r"), every(asks).alias("__q"))
+    asked = queries.select(key, vector, _dealt(queries, key, asks).alias("__q"), every(rows).alias("__r"))
+    return _met(stored, asked, ["__r", "__q"], reference, key, vector, label, k)
+
+
+def projection_buckets(df: DataFrame, vector: str, width: int, bits: int = BITS, tables: int = TABLES, seed: int = 42) -> Column:
+    """Array of bucket numbers, one per set: the signs of ``bits`` random projections of the vector."""
+    import numpy as np
+
+    normals = np.round(np.random.default_rng(seed).normal(size=(tables, bits, width)), 6)
+    dot = lambda normal: F.aggregate(
+        F.zip_with(F.col(vector).cast("array<double>"), F.lit([float(v) for v in normal]), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    return F.array(*[sum((F.when(dot(n) >= 0, F.lit(1 << b)).otherwise(F.lit(0)) for b, n in enumerate(table)), F.lit(0)) for table in normals])
+
+
+def nearest_hashed(
+    reference: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int = 5, bits: int = BITS, tables: int = TABLES, seed: int = 42,
+) -> DataFrame:
+    """As ``nearest``, among reference rows that share a bucket with the query; other neighbours are missed.
+
+    A bucket with more than ``BLOCK_ROWS`` rows is dealt into blocks, so a hot bucket spreads.
+    """
+    first = reference.select(F.size(vector).alias("w")).first()
+    if first is None:
+        return nearest(reference, queries, key, vector, label, k)
+
+    def bucketed(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select(*columns, F.posexplode(projection_buckets(df, vector, first["w"], bits, tables, seed)).alias("__t", "__b"))
+
+    stored, asked = bucketed(reference, key, vector, label), bucketed(queries, key, vector)
+    sizes = stored.groupBy("__t", "__b").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("__n"))
+    # At most tables * 2**bits rows.
+    sizes = F.broadcast(sizes)
+    stored = stored.join(sizes, ["__t", "__b"]).withColumn("__r", F.pmod(F.xxhash64(F.col(key)), F.col("__n")).cast("int")).drop("__n")
+    asks = _blocks(queries)
+    asked = asked.join(sizes, ["__t", "__b"]).select(key, vector, "__t", "__b", _dealt(queries, key, asks).alias("__q"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__r"))
+    stored = stored.withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+    return _met(stored, asked, ["__t", "__b", "__r", "__q"], reference, key, vector, label, k)
+
+
+def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
+    """One row: queries' true neighbours, how many were found, and the share."""
+    hit = found.select(key, "neighbor", F.lit(1).alias("__hit"))
+    both = exact.select(key, "neighbor").join(hit, [key, "neighbor"], "left")
+    return both.agg(F.count("*").alias("neighbors"), F.count("__hit").alias("found"), F.try_divide(F.count("__hit"), F.count("*")).alias("recall"))
 
 
 def vote(neighbors: DataFrame, key: str, by_distance: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ def _edges(probs: Sequence[float]) -> list[float]:
     return [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
 
 
-def _quantiles_of(column: str, ranks: Sequence[float]) -> str:
+def quantiles_of(column: str, ranks: Sequence[float]) -> str:
     """SQL: sketched quantiles of a column, NULL where it has no value."""
     at = f"array({', '.join(f'{r!r}D' for r in ranks)})"
     return f"IF(count({column}) > 0, kll_sketch_get_quantile_double(kll_sketch_agg_double({column}, {SKETCH_SIZE}), {at}), NULL)"
@@ -71,7 +71,7 @@ def _direct(wide: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[
 
 def sketch(column: str, probs: Sequence[float]) -> str:
     """SQL: the state that brackets a double ``column``; one scan may hold it beside any other aggregates."""
-    return f"struct(count({column}) AS n, {_quantiles_of(column, [0.0, 1.0, *_edges(probs)])} AS e)"
+    return f"struct(count({column}) AS n, {quantiles_of(column, [0.0, 1.0, *_edges(probs)])} AS e)"
 
 
 def _literal(row) -> str:
@@ -100,7 +100,7 @@ def _counted(wide: DataFrame, brackets: DataFrame, names: Sequence[str], probs:
         for j, _ in enumerate(probs[m]):
             low, high = stat(f"b{i}.l[{j}]"), stat(f"b{i}.h[{j}]")
             inside = f"m{i} >= {low} AND m{i} <= {high}"
-            inner = _quantiles_of(f"CASE WHEN {inside} THEN m{i} END", grid) if fine else "CAST(NULL AS ARRAY<DOUBLE>)"
+            inner = quantiles_of(f"CASE WHEN {inside} THEN m{i} END", grid) if fine else "CAST(NULL AS ARRAY<DOUBLE>)"
             aggs.append(f"struct(count_if(m{i} < {low}) AS below, count_if({inside}) AS inside, {inner} AS g) AS r{i}_{j}")
     carried = [f"any_value(b{i}) AS b{i}" for i, _ in enumerate(names)] if by else []
     out = joined.groupBy(*by).agg(*[F.expr(x) for x in [*aggs, *carried]])

@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.keys import join_on, quoted
+from plumbline.operators.quantiles import quantiles_of
 
 RANGES = 512
-SKETCH_ACCURACY = 20_000
 
 
 def score_edges(df: DataFrame, proba: str) -> list[float]:
     """Rising bounds between ranges of about equal share of the rows; fewer where scores repeat."""
     shares = [k / RANGES for k in range(1, RANGES)]
-    row = df.where(F.col(proba).isNotNull()).agg(F.percentile_approx(F.col(proba).cast("double"), shares, SKETCH_ACCURACY).alias("edges")).first()
+    row = df.agg(F.expr(f"{quantiles_of(f'CAST({quoted(proba)} AS DOUBLE)', shares)} AS edges")).first()
     return sorted(set(row["edges"] or []))
 
 
