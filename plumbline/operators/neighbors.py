@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 # Rows of a block, and queries whose distances to a block are held at a time.
 BLOCK_ROWS = 10_000
 QUERIES_AT_ONCE = 500
-# Projections in a set (2**bits buckets), and sets.
-BITS, TABLES = 6, 12
+# Sets of projections, and the rows that a bucket of a set should hold; it has 2 to 2**16 buckets.
+TABLES, BUCKET_ROWS, MOST_BITS = 8, 500, 16
 
 
 def _blocks(df: DataFrame) -> int:
@@ -89,7 +89,7 @@ def nearest(reference: DataFrame, queries: DataFrame, key: str, vector: str, lab
     return _met(stored, asked, ["__r", "__q"], reference, key, vector, label, k)
 
 
-def projection_buckets(df: DataFrame, vector: str, width: int, bits: int = BITS, tables: int = TABLES, seed: int = 42) -> Column:
+def projection_buckets(df: DataFrame, vector: str, width: int, bits: int, tables: int = TABLES, seed: int = 42) -> Column:
     """Array of bucket numbers, one per set: the signs of ``bits`` random projections of the vector."""
     import numpy as np
 
@@ -100,7 +100,7 @@ def projection_buckets(df: DataFrame, vector: str, width: int, bits: int = BITS,
 
 
 def nearest_hashed(
-    reference: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int = 5, bits: int = BITS, tables: int = TABLES, seed: int = 42,
+    reference: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int = 5, bits: int | None = None, tables: int = TABLES, seed: int = 42,
 ) -> DataFrame:
     """As ``nearest``, among reference rows that share a bucket with the query; other neighbours are missed.
 
@@ -109,6 +109,7 @@ def nearest_hashed(
     first = reference.select(F.size(vector).alias("w")).first()
     if first is None:
         return nearest(reference, queries, key, vector, label, k)
+    bits = bits or max(1, min(MOST_BITS, (reference.count() // BUCKET_ROWS).bit_length()))
 
     def bucketed(df: DataFrame, *columns: str) -> DataFrame:
         return df.select(*columns, F.posexplode(projection_buckets(df, vector, first["w"], bits, tables, seed)).alias("__t", "__b"))
