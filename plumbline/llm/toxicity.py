@@ -6,12 +6,12 @@ likelihood of the noisy-or is maximised, and the sentences that caused a score c
 
 1. ``CANDIDATES`` features that most toxic training documents share are gathered (counts combined before the shuffle).
 2. They are counted in all training documents; of those bound to the label beyond chance (log-likelihood ratio of
-   ``LEAST_BOUND``), the ``FEATURES`` strongest stay.
+   ``LEAST_BOUND``, or ``LEAST_SHARE`` of the strongest ratio if that is less, as with few labels), the ``FEATURES`` strongest stay.
 3. Training documents become short lists (sentence, feature), and the driver fits the weights on at most ``FIT_ROWS``
    documents, taken by hash. Corpus-wide work is scoring alone, which reads each whole text once and moves nothing.
 
 Defined results: texts without words score 0. Without usable labels (none, or one kind) every score is 0, or 1 if all
-labels are 1. Rows without ``doc_id`` are scored and never learned from. Repeated rows get equal scores. Other columns
+labels are 1. An id whose labels contradict each other is not learned from. Rows without ``doc_id`` are scored and never learned from. Repeated rows get equal scores. Other columns
 are ignored.
 """
 
@@ -32,7 +32,8 @@ FIT_ROWS = 30_000
 CANDIDATES = 50_000
 FEATURES = 1_024
 LEAST_DOCS = 3
-LEAST_BOUND = 30.0
+# A feature must reach this log-likelihood ratio, or this share of the strongest one where labels are few.
+LEAST_BOUND, LEAST_SHARE = 30.0, 0.25
 PREFIXES = (4, 5)
 FOLDS, HELD = 3, 1
 LEAST_SCORE = 0.7
@@ -187,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
     total = known.count()
     if total > fit_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * fit_rows / total))
-    known = stage(known.dropDuplicates(["doc_id"]), "toxicity-labels")
+    agreed = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("doc_id", "y")
+    known = stage(agreed, "toxicity-labels")
     rows = stage(id_and_text(docs).where("doc_id is not null").join(F.broadcast(known), "doc_id").select("text", "y"), "toxicity-fit")
     kinds = {r["y"] for r in rows.select("y").distinct().collect()}
     if kinds != {0, 1}:
@@ -200,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
     clean, toxic, i = (np.array([r[c] for r in counts], np.int64) for c in ("clean", "toxic", "i"))
     bound = _association(toxic, clean, size[1], size[0])
     best = np.argsort(-bound, kind="stable")[:FEATURES]
-    keys = np.sort(keys[i[best[bound[best] >= LEAST_BOUND]]])
+    least = min(LEAST_BOUND, LEAST_SHARE * bound.max(initial=0))
+    keys = np.sort(keys[i[best[(bound[best] >= least) & (bound[best] > 0)]]])
     lists = rows.mapInArrow(_lists(keys), "y double, sentences long, at array<long>, feature array<long>").toArrow()
     at, feature = lists.column("at").combine_chunks(), lists.column("feature").combine_chunks()
     doc = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))

@@ -206,6 +206,21 @@ def corpus(spark, n=900):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels_of(spark, marks[: n * 4 // 5]), {m[0]: m for m in marks}
 
 
+def test_toxicity_learns_from_few_labels_and_leaves_contradictions_out(spark):
+    rows = [(i, f"{LOREM} w{i}. {'You are vermin and should rot' if i % 8 == 0 else 'Nice to see you'} n{i * 7 % 31}. {LOREM}") for i in range(87)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, 1, int(i % 8 == 0)) for i in range(87)]
+    model = toxicity.fit(docs, labels_of(spark, marks))
+    assert len(model.keys) > 0
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, labels_of(spark, marks)).collect()}
+    assert got == {i: t for i, _, t in marks}
+    twisted = marks + [(i, 1, 1 - t) for i, _, t in marks]
+    assert len(toxicity.fit(docs, labels_of(spark, twisted)).keys) == 0
+    a, b = (sorted(map(tuple, toxicity.toxicity_scores(docs, labels_of(spark, m)).select("doc_id", "predicted").collect())) for m in (
+        marks + [(8, 1, 0)], [(8, 1, 0)] + marks[::-1]))
+    assert a == b
+
+
 def test_quality_and_toxicity_generalise(spark):
     docs, labels, truth = corpus(spark)
     for make, column, folds, held in ((quality.quality_scores, 1, 5, 0), (toxicity.toxicity_scores, 2, 3, 1)):
