@@ -36,8 +36,13 @@ FROM events"""
 
 
 def defects(spark: SparkSession, folder: str) -> DataFrame:
+    return with_defects(table(spark, folder, "events"))
+
+
+def with_defects(events: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, with the planted defects."""
     e, user = F.col("event_id"), F.col("user_id").cast("string")
-    return table(spark, folder, "events").select(
+    return events.select(
         "event_id", "user_id", "event_type", "ts",
         F.when(e % 17 == 0, F.lit(None)).when(e % 50 == 0, F.lit(-9999.0)).when(e % 70 == 0, F.lit(-999.0))
         .otherwise(F.col("value")).alias("amount"),

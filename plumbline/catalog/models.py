@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.catalog import query
-from plumbline.catalog.base import DEFECTS_SQL, DOCS_SQL, ORDERS_SQL, defects, orders_customers, scored_docs
+from plumbline.catalog.base import DEFECTS_SQL, DOCS_SQL, ORDERS_SQL, defects, orders_customers, scored_docs, with_defects
+from plumbline.catalog.batch import HALF, fitted_layout
 from plumbline.catalog.prepare import SPLIT_SQL
 from plumbline.catalog.profile import DEFECT_PROFILE
 from plumbline.catalog.scores import rounded
+from plumbline.operators import drift as D
 from plumbline.operators import policy
 from plumbline.operators import trials as T
 from plumbline.plans import card as K
@@ -25,13 +27,15 @@ from plumbline.streaming import batch_stream as B
 DOC_FEATURES = ["n_chars", "words", "digits", "lang", "source"]
 
 
-def doc_features(spark, folder):
-    """All documents with features computed from their whole texts."""
-    text = table(spark, folder, "documents").select(
-        "doc_id", F.size(F.split("text", r"\s+")).alias("words"),
+def featured(rows):
+    """Documents, of a table or a stream, with features computed from their whole texts: one projection."""
+    return rows.select(
+        "doc_id", "n_chars", "lang", "source", F.size(F.split("text", r"\s+")).alias("words"),
         (F.length(F.regexp_replace("text", "[^0-9]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("digits"))
-    docs = table(spark, folder, "documents").select("doc_id", "n_chars", "lang", "source")
-    return docs.join(text, "doc_id")
+
+
+def doc_features(spark, folder):
+    return featured(table(spark, folder, "documents"))
 
 
 def doc_table(spark, folder):
@@ -196,6 +200,15 @@ def batch_predict(spark, folder):
     return P.predict(doc_features(spark, folder), saved_model(spark, folder), "doc_id")
 
 
+@query("f16_prediction_contract", "SELECT doc_id, true AS known, true AS adds_to_one, true AS likeliest FROM documents")
+def prediction_contract(spark, folder):
+    """What holds for every saved model: known classes, probabilities that add up to 1, the likelier class predicted."""
+    out = P.predict(doc_features(spark, folder), saved_model(spark, folder), "doc_id")
+    return out.select(
+        "doc_id", F.col("prediction").isin("0", "1").alias("known"), (F.abs(F.col("proba_0") + F.col("proba_1") - 1) < 1e-9).alias("adds_to_one"),
+        ((F.col("prediction") == "1") == (F.col("proba_1") > F.col("proba_0"))).alias("likeliest"))
+
+
 @query("m17_batch_scoring", f"""WITH b AS (SELECT CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'other' ELSE CAST(quality AS VARCHAR) END AS label, CASE WHEN proba >= 0.5 THEN '1' ELSE '0' END AS pred FROM ({DOCS_SQL}))
 SELECT 'rows_missing' AS metric, CAST(count(*) AS DOUBLE) AS value FROM b WHERE label IS NULL UNION ALL SELECT 'rows_unknown', count(*) FROM b WHERE label = 'other' UNION ALL SELECT 'rows_scored', count(*) FROM b WHERE label IN ('0', '1')
 UNION ALL SELECT 'accuracy', round(avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0.0 END), 6) FROM b WHERE label IN ('0', '1')
@@ -264,9 +277,42 @@ def quality_stream(spark, folder):
     return B.latest_rows(spark, f"{path}/out", ["start"])
 
 
-@query("x11_score_stream", "SELECT event_id, CASE WHEN value >= 50 THEN 1 ELSE 0 END AS pred FROM events")
-def score_events(spark, folder):
-    events = table(spark, folder, "events")
+# A stream scored by the saved model gives every document the answer that a batch gives it.
+@query("x11_score_stream", "SELECT doc_id, true AS known, true AS agrees FROM documents")
+def score_documents(spark, folder):
+    saved = saved_model(spark, folder)
+    docs = table(spark, folder, "documents")
     path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
-    B.score_stream(B.file_stream(spark, f"{folder}/events*.parquet", events.schema), lambda rows: rows.select("event_id", (F.col("value") >= 50).cast("int").alias("pred")), f"{path}/out", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/out").select("event_id", "pred")
+    stream = B.file_stream(spark, f"{folder}/documents*.parquet", docs.schema)
+    B.score_stream(stream, lambda rows: P.predict(featured(rows), saved, "doc_id"), f"{path}/out", f"{path}/checkpoint")
+    batch = P.predict(featured(docs), saved, "doc_id").select("doc_id", F.col("prediction").alias("own"), F.col("proba_1").alias("p"))
+    both = spark.read.parquet(f"{path}/out").join(batch, "doc_id")
+    return both.select("doc_id", F.col("prediction").isin("0", "1").alias("known"), ((F.col("prediction") == F.col("own")) & (F.abs(F.col("proba_1") - F.col("p")) < 1e-12)).alias("agrees"))
+
+
+# Days of the later half against the statistics of the first one.
+DRIFT_SQL = f"""WITH f AS (SELECT * FROM ({DEFECTS_SQL}) WHERE {HALF}), b AS (SELECT ts, CASE WHEN event_id % 9 = 0 THEN NULL ELSE amount END AS amount, kind_text FROM ({DEFECTS_SQL}) WHERE NOT ({HALF})),
+fit_ AS (SELECT 'amount' AS "column", round(1 - count(amount) / CAST(count(*) AS DOUBLE), 4) AS fit FROM f UNION ALL SELECT 'kind_text', round(1 - count(kind_text) / CAST(count(*) AS DOUBLE), 4) FROM f),
+d AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS rows, 1 - count(amount) / CAST(count(*) AS DOUBLE) AS a, 1 - count(kind_text) / CAST(count(*) AS DOUBLE) AS k FROM b GROUP BY 1),
+l AS (SELECT start, 'amount' AS "column", a AS now, rows FROM d UNION ALL SELECT start, 'kind_text', k, rows FROM d)
+SELECT start, "column", fit, round(now, 4) AS now, rows, abs(now - fit) >= 0.05 AND abs(now - fit) >= 2 * sqrt(greatest(now, fit) * (1 - greatest(now, fit)) / rows) AS moved FROM l JOIN fit_ USING ("column")"""
+
+
+def _later(rows):
+    return rows.where(f"NOT ({HALF})").select("ts", F.when(F.col("event_id") % 9 == 0, F.lit(None)).otherwise(F.col("amount")).alias("amount"), "kind_text")
+
+
+@query("x11_drift_windows", DRIFT_SQL)
+def drift_windows(spark, folder):
+    stats = D.stats_frame(spark, fitted_layout(spark, folder))
+    return B.missing_shifts(_later(defects(spark, folder)), "ts", stats, ["amount", "kind_text"])
+
+
+@query("x11_drift_stream", DRIFT_SQL)
+def drift_stream(spark, folder):
+    stats = D.stats_frame(spark, fitted_layout(spark, folder))
+    events = table(spark, folder, "events")
+    rows = _later(with_defects(B.file_stream(spark, f"{folder}/events*.parquet", events.schema)))
+    path = f"{shared_folder(spark)}/drift-{uuid.uuid4().hex}"
+    B.raise_shifts(B.missing_shifts(rows, "ts", stats, ["amount", "kind_text"]), path, f"{path}/checkpoint")
+    return B.latest_rows(spark, f"{path}/windows", ["start", "column"])

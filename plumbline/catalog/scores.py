@@ -278,7 +278,7 @@ def cut_sweep_by(spark, folder):
 SELECT source, rows, k < 2 OR rows < 200 AS refused FROM n""")
 def cut_refusal(spark, folder):
     rows = scored_docs(spark, folder).groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("quality").alias("k"))
-    return rows.select("source", "rows", ((F.col("k") < 2) | (F.col("rows") < fixed.CUT_MIN_ROWS)).alias("refused"))
+    return rows.select("source", "rows", D.refused("f1", fixed.CLASSIFICATION, F.col("k"), F.col("rows")).isNotNull().alias("refused"))
 
 
 @query("d3_fixed_cut", f"{WITH_LINES} SELECT y, CASE WHEN proba >= 0.35 THEN 1 ELSE 0 END AS pred, count(*) AS n FROM base GROUP BY ALL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
@@ -34,6 +34,14 @@ def cut_refusal(metric: str, task: str, n_classes: int, held_rows: int) -> str |
     return None
 
 
+def refused(metric: str, task: str, n_classes: Column, held_rows: Column) -> Column:
+    """``cut_refusal`` for many fits at once: its reason per row, or NULL."""
+    if cut_refusal(metric, task, 2, fixed.CUT_MIN_ROWS):
+        return F.lit(cut_refusal(metric, task, 2, fixed.CUT_MIN_ROWS))
+    few = F.concat(held_rows.cast("string"), F.lit(f" held-back rows, {fixed.CUT_MIN_ROWS} needed"))
+    return F.when(n_classes != 2, cut_refusal(metric, task, 0, 0)).when(held_rows < fixed.CUT_MIN_ROWS, few)
+
+
 def score_quantiles(curve: DataFrame, by: Sequence[str] = (), parts: int = 100) -> DataFrame:
     """Rows (by..., k, value): the k/parts quantiles, k = 1..parts-1, read off the cumulative table.
 

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from plumbline import fixed
+from plumbline.functions.columns import rate_changed
+from plumbline.operators.keys import rows_of, text_literal
+
 WATERMARK = "10 minutes"
 
 
@@ -32,10 +36,37 @@ def quality_windows(rows: DataFrame, time: str, columns: Sequence[str], codes: d
         "rows", *[f"missing_{c}" for c in columns], *[f"code_{c}" for c in codes])
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what is there, write parquet with exactly-once files, then stop."""
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def missing_shifts(rows: DataFrame, time: str, stats: DataFrame, columns: Sequence[str], every: str = "1 day") -> DataFrame:
+    """Rows (start, column, fit, now, rows, moved): each window's missing rates beside those at fit; the same plan for a stream and a batch.
+
+    ``stats`` is the saved table (name, fit) of a layout, one row per column: a static side that is broadcast.
+    """
+    counted = quality_windows(rows, time, columns, {}, every)
+    long = counted.select("start", "rows", rows_of([f"struct({text_literal(c)} AS name, missing_{c} AS gone)" for c in columns]))
+    rate = F.coalesce(F.try_divide("gone", "rows"), F.lit(0.0))
+    return long.join(F.broadcast(stats), "name").select(
+        "start", F.col("name").alias("column"), "fit", F.round(rate, 4).alias("now"), "rows",
+        rate_changed(F.col("fit"), rate, F.col("rows"), fixed.MISSING_RATE_SHIFT).alias("moved"))
+
+
+def raise_shifts(shifts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run the stream of ``missing_shifts``: every window's last state goes below ``path``/windows, and a column's first shift
+    below ``path``/alerts, once however often it moves later. The alerts written so far are the state; a retried batch
+    looks only at those of earlier batches and overwrites its own.
+    """
+    spark, schema = shifts.sparkSession, shifts.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        batch.write.mode("overwrite").parquet(f"{path}/windows/batch={number}")
+        moved = batch.where("moved").groupBy("column").agg(F.min_by(F.struct(*[c for c in schema.names if c != "column"]), "start").alias("r")).select("column", "r.*")
+        if number:
+            raised = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, batch int").parquet(f"{path}/alerts")
+            moved = moved.join(raised.where(F.col("batch") < number).select("column"), "column", "left_anti")
+        moved.select(*schema.names).write.mode("overwrite").parquet(f"{path}/alerts/batch={number}")
+        batch.unpersist()
+
+    query = shifts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
