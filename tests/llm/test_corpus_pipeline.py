@@ -72,5 +72,5 @@ def test_queries_and_twins():
     import __spark_entry__ as entry
 
     named = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES} and "pipeline" in named
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES} and "pipeline" in named
     assert set(queries.QUERIES) <= set(named) and set(queries.SQL) <= set(entry.oracle_sql())
