@@ -7,8 +7,9 @@ size of input. From them the driver makes a plan:
 1. long pieces are dealt into ``groups`` groups of equal cardinality, and count as long as the longest of their group;
 2. for these few sizes the configurations of a sequence are optimised: a linear program over all configurations, whose
    columns a knapsack generates, rounded down;
-3. actual lengths take the place of the rounded ones, longest first; a sequence that they leave more than a 128th of empty
-   is given up again;
+3. actual lengths take the place of the rounded ones: each slot takes the longest piece left that its size covers, the last
+   slot the longest that fits, so what rounding left loose is used; a configuration ends where that leaves more than a 512th
+   of a sequence empty, and the pieces then left are grouped and configured again, ``ROUNDS`` times at most;
 4. what is left, and all short pieces, go best-fit in decreasing length into the room there is.
 
 The plan says, in runs, which ranks of a length go to which sequences and offset. Its rows depend on the number of lengths
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +39,8 @@ from plumbline.session import stage
 CAPACITY = 2048
 END_ID = 0
 GROUPS = 32
-TIGHT = 128
+TIGHT = 512
+ROUNDS = 8
 PIECES_PER_RANKING = 100_000
 CACHE_WORDS = 400_000
 
@@ -124,25 +126,14 @@ def _piece_batch(rows) -> pa.RecordBatch:
 
 def configurations(sizes: list[int], demands: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """Configurations of a few sizes and how often to use each: the linear program's optimum, rounded down."""
-    k, s = len(sizes), np.array(sizes)
+    k = len(sizes)
     basis = np.diag([capacity // x for x in sizes]).astype(float)
     need = np.array(demands, float)
     for _ in range(40 * k):
         worth = np.linalg.solve(basis.T, np.ones(k))
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(s.min()), capacity + 1):
-            fits = np.where(s <= c, best[np.maximum(c - s, 0)] + worth, -1.0)
-            g = int(fits.argmax())
-            best[c], pick[c] = (fits[g], g) if fits[g] > best[c - 1] + 1e-12 else (best[c - 1], -1)
-        if best[capacity] <= 1 + 1e-7:
+        column = _knapsack(sizes, worth, capacity)
+        if column @ worth <= 1 + 1e-7:
             break
-        column, c = np.zeros(k), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-            else:
-                column[pick[c]] += 1
-                c -= sizes[pick[c]]
         along, level = np.linalg.solve(basis, column), np.linalg.solve(basis, need)
         ratio = np.where(along > 1e-9, np.maximum(level, 0) / np.where(along > 1e-9, along, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
@@ -150,13 +141,100 @@ def configurations(sizes: list[int], demands: list[int], capacity: int) -> list[
     return [(basis[:, j].astype(int), int(uses[j])) for j in range(k) if uses[j] > 0]
 
 
+def _knapsack(sizes: list[int], worth: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each size make the most worth in one sequence."""
+    best = np.zeros(capacity + 1)
+    pick = np.full(capacity + 1, -1)
+    for g, size in enumerate(sizes):
+        for _ in range(capacity // size):
+            more = best[:-size] + worth[g]
+            better = more > best[size:] + 1e-12
+            if not better.any():
+                break
+            best[size:][better] = more[better]
+            pick[size:][better] = g
+    column, c = np.zeros(len(sizes)), capacity
+    while pick[c] >= 0:
+        column[pick[c]] += 1
+        c -= sizes[pick[c]]
+    return column
+
+
+def group_sizes(long_ones: list[tuple[int, int]], groups: int) -> tuple[list[int], list[int]]:
+    """Longest length and cardinality of each of ``groups`` groups of equal cardinality; groups of one length are one."""
+    total = sum(n for _, n in long_ones)
+    k = min(groups, total)
+    bounds = [total * (g + 1) // k for g in range(k)] if k else []
+    grouped: dict[int, int] = {}
+    seen, g, longest = 0, 0, None
+    for length, n in long_ones:
+        while n:
+            longest = longest or length
+            take = min(n, bounds[g] - seen)
+            grouped[longest] = grouped.get(longest, 0) + take
+            seen, n = seen + take, n - take
+            if seen == bounds[g]:
+                g, longest = g + 1, None
+    return list(grouped), list(grouped.values())
+
+
+def substituted(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]], int]:
+    """What configurations place: runs as in ``make_plan``, (room, first sequence, sequences) and the number of sequences."""
+    runs: list[tuple[int, int, int, int, int]] = []
+    rooms: list[tuple[int, int, int]] = []
+    used: dict[int, int] = dict.fromkeys(counts, 0)
+    sequences = counts.get(capacity, 0)
+    if sequences:
+        runs.append((capacity, 0, sequences, 0, 0))
+    placed_before = -1
+    for _ in range(ROUNDS):
+        long_ones = sorted(((x, n - used[x]) for x, n in counts.items() if n > used[x] and capacity // 8 < x < capacity), reverse=True)
+        if not long_ones or len(rooms) == placed_before:
+            break
+        placed_before = len(rooms)
+        sizes, demands = group_sizes(long_ones, groups)
+        open_lengths = sorted(x for x, _ in long_ones)
+        for shape, times in configurations(sizes, demands, capacity):
+            slots = [size for size, n in zip(sizes, shape) for _ in range(n)]
+            while times and open_lengths:
+                # Each slot takes the longest piece left that its rounded size covers. Rounding leaves room, so the last slot
+                # takes the longest piece that fits, and further ones follow while any long piece does.
+                chosen: dict[int, int] = {}
+                order: list[int] = []
+                free = capacity
+                for slot in [*slots[:-1], *[capacity] * (capacity // open_lengths[0])]:
+                    i = bisect_right(open_lengths, min(slot, free)) - 1
+                    while i >= 0 and counts[open_lengths[i]] - used[open_lengths[i]] <= chosen.get(open_lengths[i], 0):
+                        i -= 1
+                    if i >= 0:
+                        x = open_lengths[i]
+                        chosen[x] = chosen.get(x, 0) + 1
+                        order.append(x)
+                        free -= x
+                if free > capacity // TIGHT:
+                    break
+                step = min(times, *((counts[x] - used[x]) // n for x, n in chosen.items()))
+                offset = 0
+                for x in order:
+                    runs.append((x, used[x], step, sequences, offset))
+                    used[x] += step
+                    offset += x
+                rooms.append((free, sequences, step))
+                sequences, times = sequences + step, times - step
+                for x in chosen:
+                    if used[x] == counts[x]:
+                        open_lengths.pop(bisect_left(open_lengths, x))
+    return runs, rooms, sequences
+
+
 def make_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Runs (length, first rank, pieces, first sequence, offset) that place all pieces, and the number of sequences."""
-    runs: list[tuple[int, int, int, int, int]] = []
     used: dict[int, int] = dict.fromkeys(counts, 0)
     room: dict[int, list[tuple[int, int]]] = {}
     rooms: list[int] = []
-    sequences = 0
+    runs, configured, sequences = substituted(counts, capacity, groups)
+    for length, _, n, _, _ in runs:
+        used[length] += n
 
     def place(length: int, n: int, sequence: int, offset: int) -> None:
         runs.append((length, used[length], n, sequence, offset))
@@ -169,60 +247,8 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GR
                 insort(rooms, free)
             room[free].append((sequence, n))
 
-    if counts.get(capacity):
-        place(capacity, counts[capacity], 0, 0)
-        sequences = counts[capacity]
-    long_ones = sorted(((x, n) for x, n in counts.items() if capacity // 8 < x < capacity), reverse=True)
-    total = sum(n for _, n in long_ones)
-    k = min(groups, total)
-    dealt: list[list[list[int]]] = []
-    if k:
-        quota, bounds = 0, [total * (g + 1) // k for g in range(k)]
-        dealt, g = [[] for _ in range(k)], 0
-        for x, n in long_ones:
-            while n:
-                take = min(n, bounds[g] - quota)
-                if take:
-                    dealt[g].append([x, take])
-                    quota, n = quota + take, n - take
-                if quota == bounds[g] and g < k - 1:
-                    g += 1
-        for shape, times in configurations([d[0][0] for d in dealt], [sum(n for _, n in d) for d in dealt], capacity):
-            slots = [g for g in range(k) for _ in range(shape[g])]
-            # Each slot takes the next ``times`` pieces of its group; sequences are split where a slot's length changes.
-            queues = []
-            for g in slots:
-                left, queue = times, []
-                while left and dealt[g]:
-                    x, n = dealt[g][0]
-                    take = min(n, left)
-                    queue.append((x, take))
-                    left -= take
-                    dealt[g][0][1] -= take
-                    if not dealt[g][0][1]:
-                        dealt[g].pop(0)
-                queues.append(queue)
-            filled = [0] * len(slots)
-            at = [0] * len(slots)
-            done = 0
-            while done < times:
-                here = [q[i][0] if i < len(q) else 0 for q, i in zip(queues, at)]
-                step = min([q[i][1] - f for q, i, f in zip(queues, at, filled) if i < len(q)] + [times - done])
-                # Only sequences that the actual lengths fill stay; what rounding left loose is packed again below.
-                if capacity - sum(here) <= capacity // TIGHT:
-                    offset = 0
-                    for x in here:
-                        if x:
-                            place(x, step, sequences, offset)
-                            offset += x
-                    leave(capacity - offset, sequences, step)
-                    sequences += step
-                for j, q in enumerate(queues):
-                    if at[j] < len(q):
-                        filled[j] += step
-                        if filled[j] == q[at[j]][1]:
-                            at[j], filled[j] = at[j] + 1, 0
-                done += step
+    for free, sequence, n in configured:
+        leave(free, sequence, n)
     for length in sorted((x for x in counts if x < capacity), reverse=True):
         left = counts[length] - used[length]
         while left:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -330,6 +331,24 @@ def test_packing_is_gapless_and_whole(spark, docs, nothing, capacity):
     assert packing.packed(nothing, BPE).count() == 0
 
 
+def test_configurations_place_most_long_pieces():
+    encode = packing.tokenizer(BPE)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    counts = collections.Counter()
+    for t in texts:
+        n = len(encode(t or "")) // 4 + 1
+        counts[(n - 1) % 2048 + 1] += 1
+        counts[2048] += (n - 1) // 2048
+    for times in (1, 1000):
+        many = {x: n * times for x, n in counts.items()}
+        long_ones = sum(n for x, n in many.items() if 256 < x < 2048)
+        runs, rooms, _ = packing.substituted(many)
+        assert sum(n for x, _, n, _, _ in runs if x < 2048) > 0.75 * long_ones
+        assert all(free <= 4 for free, _, _ in rooms)
+        assert packing.make_plan(many)[1] <= 1.002 * -(-sum(x * n for x, n in many.items()) // 2048)
+    assert packing.substituted({}) == ([], [], 0) and packing.substituted({2048: 3, 5: 2})[2] == 3
+
+
 def test_plan_nears_the_lower_bound():
     rng = np.random.default_rng(3)
     for sizes in (rng.integers(1, 2049, 4000), np.minimum(rng.geometric(1 / 500, 5000), 2048), rng.integers(700, 1400, 3000), np.full(100, 1024)):
