@@ -299,6 +299,59 @@ def test_site_templates_go_and_copies_stay(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+def test_quotes_comments_and_names():
+    assert html_text.main_text("<article><p data-x=it's>Text don't stop</p><p>Two</p></article>") == "Text don't stop\nTwo"
+    assert html_text.main_text('<p class="a"b">X</p>') == "X"
+    assert html_text.main_text('<article><p>Main</p></article><article class="comment"><p>me too</p></article>') == "Main"
+    assert html_text.main_text('<div class="share-price">Up 3</div><div class="share-buttons">no</div><div id="social-security">Law</div><p class="ad">no</p>') == "Up 3\nLaw"
+    story = "A long story. " * 20
+    assert html_text.main_text(f"<div>{story}</div><article>Teaser</article>") == f"{story.strip()}\nTeaser"
+    assert html_text.main_text(f"<div>Teaser</div><article>{story}</article>") == story.strip()
+
+
+def plain_texts(rows):
+    """Texts by counting subtrees in plain loops, and what became of the blocks."""
+    host = lambda url: m.group(1).lower() if (m := re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")) else ""
+    once = collections.defaultdict(dict)
+    for url, page in rows:
+        found = html_text.blocks(page or "")
+        sets = tuple(sorted({x for _, _, i, chain in found if i == inside for x in chain}) for inside in (False, True))
+        content = html_text.main_text(page)
+        once[host(url)][content] = min(sets, once[host(url)].get(content, sets))
+    texts, fates = [], collections.Counter()
+    for url, page in rows:
+        seen = list(once[host(url)].values()) if host(url) else []
+        drops = []
+        for k, (least, share) in enumerate((html_text.OUTSIDE, html_text.INSIDE)):
+            n = collections.Counter(x for sets in seen for x in sets[k])
+            drops.append(frozenset(x for x, c in n.items() if c >= max(least, share * len(seen))))
+        texts.append(html_text.main_text(page, *drops))
+        fates.update(fate for _, fate in html_text.judged(page, *drops))
+    return texts, fates
+
+
+def test_templates_are_counted_outside_the_article_too(spark):
+    menu = "<nav><ul><li>Home</li><li>News</li></ul></nav>"
+    rows = [(i, "http://a.example/", f"<body>{menu}<div><p>Join us</p></div><article><p>Own {i}</p><ul><li>Home</li></ul><div><p>By us</p></div></article><footer>f {i}</footer></body>") for i in range(12)]
+    rows += [(100 + i, "http://b.example/", f"<body>{menu}<article><p>Own {i}</p><div><p>By us</p></div></article></body>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in html_text.extracted(pages).collect()}
+    # A list line of the menu is no template of the article's own list unless it recurs there too, as here on a.example.
+    assert text[3] == "Own 3" and text[103] == "Own 3\nBy us"
+    want, fates = plain_texts([r[1:] for r in rows])
+    assert [text[r[0]] for r in rows] == want
+    assert {r["fate"]: r["blocks"] for r in html_text.removed(pages).collect()} == dict(fates)
+    assert fates["template"] == 12 * 5 + 5 * 2 and fates["tag"] == 12
+
+
+def test_pages_equal_the_plain_count(spark):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    want, fates = plain_texts([r[1:] for r in rows])
+    assert {r["page_id"]: r["text"] for r in html_text.extracted(pages).collect()} == dict(zip([r[0] for r in rows], want))
+    assert {r["fate"]: r["blocks"] for r in html_text.removed(pages).collect()} == dict(fates)
+
+
 # ---- 6 ----
 
 def test_ids_equal_the_tokenizers_library():
