@@ -309,6 +309,22 @@ def private_terms(spark, folder):
     return table(spark, folder, "documents").select("doc_id", S.holds_private(F.col("text"), TERMS).alias("held"))
 
 
+# 10,000 registered strings by a rule: two syllables of a consonant and a vowel.
+SYLLABLES = [c + v for c in "bcdfghjklmnpqrstvwxz" for v in "aeiou"]
+MANY_TERMS = [a + b for a in SYLLABLES for b in SYLLABLES]
+MANY_SQL = """WITH p AS (SELECT doc_id, text, unnest(generate_series(1, length(text) - 3)) AS i FROM documents),
+h AS (SELECT doc_id, count(DISTINCT s) AS n, min(s) AS low, max(s) AS high FROM (SELECT doc_id, substr(text, i, 4) AS s FROM p)
+WHERE regexp_full_match(s, '([bcdfghjklmnpqrstvwxz][aeiou]){2}') GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_found, low AS first_found, high AS last_found, coalesce(n, 0) > 0 AS held FROM documents d LEFT JOIN h USING (doc_id)"""
+
+
+@query("x9_many_terms", MANY_SQL)
+def many_terms(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", S.term_hits(F.col("text"), MANY_TERMS).alias("hits"), S.holds_private(F.col("text"), MANY_TERMS).alias("held"))
+    return docs.select("doc_id", F.coalesce(F.size("hits").cast("long"), F.lit(0).cast("long")).alias("n_found"), F.array_min("hits").alias("first_found"),
+                       F.array_max("hits").alias("last_found"), F.coalesce("held", F.lit(False)).alias("held"))
+
+
 # Common words of the prose as phrase, cue and denial, so that every branch is met many times.
 SCAN = {"phrase": "there", "cues": ("the ", "and "), "denials": (" of", " in")}
 CLASS = r"[.;:!?,()\[\]\n]"

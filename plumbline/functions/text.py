@@ -1,10 +1,13 @@
-"""Text rules: path redaction, log scrubbing, phrase scan with negation. One regular expression each."""
+"""Text rules: path redaction, log scrubbing, phrase scan with negation (one regular expression each), scan for many strings."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,9 +82,53 @@ def private_forms(terms: Sequence[str]) -> list[str]:
     return sorted(f for f in forms if len(f) >= fixed.PRIVATE_MIN_CHARS)
 
 
+# Up to this many strings are looked for one by one in generated code; more go through one automaton. Results are the same.
+FEW_TERMS = 8
+# The registered list travels with every task: a longer one (characters of all strings) is refused.
+MOST_TERM_CHARS = 50_000_000
+
+
+@lru_cache(maxsize=2)
+def _automaton(forms: tuple[str, ...]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for form in forms:
+        found.add_word(form, form)
+    found.make_automaton()
+    return found
+
+
+def _checked_forms(terms: Sequence[str]) -> tuple[str, ...]:
+    forms = tuple(private_forms(terms))
+    if sum(map(len, forms)) > MOST_TERM_CHARS:
+        raise ValueError(f"registered strings of more than {MOST_TERM_CHARS} characters")
+    return forms
+
+
+def term_hits(text: Column, terms: Sequence[str]) -> Column:
+    """Registered strings that the text contains, distinct and sorted (null for a null text).
+
+    One pass over the text for any number of strings, overlapping and nested ones included.
+    """
+    forms = _checked_forms(terms)
+
+    def hits(texts: pa.Array) -> pa.Array:
+        scan = _automaton(forms)
+        return pa.array([None if (t := x.as_py()) is None else sorted({form for _, form in scan.iter(t)}) if forms else [] for x in texts], pa.list_(pa.string()))
+
+    return F.arrow_udf(hits, "array<string>")(text)
+
+
 def holds_private(text: Column, terms: Sequence[str]) -> Column:
-    """True when a registered string is contained. The list is what one process registered: short."""
+    """True when a registered string is contained (null for a null text, if any string is registered)."""
+    forms = _checked_forms(terms)
+    if len(forms) > FEW_TERMS:
+
+        def any_hit(texts: pa.Array) -> pa.Array:
+            scan = _automaton(forms)
+            return pa.array([None if (t := x.as_py()) is None else next(scan.iter(t), None) is not None for x in texts], pa.bool_())
+
+        return F.arrow_udf(any_hit, "boolean")(text)
     out = F.lit(False)
-    for form in private_forms(terms):
+    for form in forms:
         out = out | F.contains(text, F.lit(form))
     return out

@@ -128,3 +128,13 @@ def test_claims(spark, text, expected):
 def test_private_terms_take_their_file_name(spark):
     df = spark.createDataFrame([("see b.csv",), ("nothing",)], "t string")
     assert [r[0] for r in df.select(X.holds_private(F.col("t"), ["C:\\a\\b.csv", "abc"])).collect()] == [True, False]
+
+
+def test_many_strings_are_found_like_one_by_one(spark):
+    terms = [f"{a}{b}{c}x" for a in "abc" for b in "abc" for c in "abc"] + ["abax and", "bax a", "C:\\d\\secret.csv", "abc", "größe", "😀😀😀😀"]
+    texts = ["abax and more", "no hits", "", None, "in C:/d/secret.csv and secret.csv", "aaax" * 3, "die größe", "x" * 20000 + "cccx", "😀😀😀😀😀"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.term_hits(F.col("t"), terms).alias("hits"), X.holds_private(F.col("t"), terms).alias("held"))
+    forms = X.private_forms(terms)
+    want = [None if t is None else [f for f in forms if f in t] for t in texts]
+    assert [(r["hits"], r["held"]) for r in df.collect()] == [(w, None if w is None else bool(w)) for w in want]
+    assert [r[0] for r in spark.createDataFrame([("a",)], "t string").select(X.term_hits(F.col("t"), [])).collect()] == [[]]
