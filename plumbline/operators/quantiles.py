@@ -3,6 +3,7 @@
 A sketch brackets each wanted rank. A scan counts the rows below and inside each bracket: one that missed its rank is
 widened, one that holds too many rows is sketched again from inside, until each is small. A last scan counts the distinct
 values inside, and the rank is read off that table, whose size ``FEW`` bounds.
+A measure without values has no quantile and no row; it keeps no scan going.
 """
 
 from __future__ import annotations
@@ -131,7 +132,8 @@ def _next(names: Sequence[str], probs: Mapping[str, Sequence[float]], fine: bool
             lows.append(new_low)
             highs.append(new_high)
             shrinks = f"({new_low} > {low} OR {new_high} < {high})" if fine else "true"
-            open_ones.append(f"if(coalesce({under} OR {over} OR ({big} AND {shrinks}), false), 1, 0)")
+            # A measure without values has no rank to look for.
+            open_ones.append(f"if(coalesce({b}.n > 0 AND ({under} OR {over} OR ({big} AND {shrinks})), false), 1, 0)")
         states.append(f"struct(b{i}.n AS n, b{i}.lo AS lo, b{i}.hi AS hi, array({', '.join(lows)}) AS l, array({', '.join(highs)}) AS h) AS b{i}")
     return states, " + ".join(open_ones)
 

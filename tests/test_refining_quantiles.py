@@ -96,3 +96,27 @@ def test_many_classes_are_numbered_by_ranges(spark, monkeypatch):
     monkeypatch.setattr(targets, "FEW_CLASSES", 50)
     codes = {r["label"]: r["code"] for r in targets.class_levels(df, "label").collect()}
     assert codes == {f"c{i:04d}": i for i in range(500)}
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_a_column_without_values_ends_beside_a_large_one(spark, table, monkeypatch, by):
+    x, df = table
+    scans = []
+    counted = quantiles._counted
+
+    def limited(*a):
+        scans.append(a[-1])
+        assert len(scans) < 5, "the scans do not end"
+        return counted(*a)
+
+    monkeypatch.setattr(quantiles, "_counted", limited)
+    monkeypatch.setattr(quantiles, "SMALL", 100)
+    rows = df.withColumn("empty", F.lit(None).cast("double")).withColumn("part", F.when(F.col("g") == "a", F.col("x")))
+    names = ("empty", "x", "part")
+    found = quantiles.exact_quantiles(rows, {c: c for c in names}, {c: (0.5,) for c in names}, by).collect()
+    g = np.array(["a" if i % 3 else "b" for i in range(len(x))])
+    if by:
+        want = {("a", "x"): np.median(x[g == "a"]), ("b", "x"): np.median(x[g == "b"]), ("a", "part"): np.median(x[g == "a"])}
+        assert {(r["g"], r["measure"]): r["value"] for r in found} == pytest.approx(want)
+    else:
+        assert {r["measure"]: r["value"] for r in found} == pytest.approx({"x": np.median(x), "part": np.median(x[g == "a"])})
