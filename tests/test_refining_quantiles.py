@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import profile, quantiles, targets
+from plumbline.operators import profile, quantiles, steps, targets
 
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
 
@@ -120,3 +120,20 @@ def test_a_column_without_values_ends_beside_a_large_one(spark, table, monkeypat
         assert {(r["g"], r["measure"]): r["value"] for r in found} == pytest.approx(want)
     else:
         assert {r["measure"]: r["value"] for r in found} == pytest.approx({"x": np.median(x), "part": np.median(x[g == "a"])})
+
+
+def test_steps_drop_an_empty_column_of_many_rows(spark, table, monkeypatch):
+    x, df = table
+    scans = []
+    counted = quantiles._counted
+
+    def limited(*a):
+        scans.append(a[-1])
+        assert len(scans) < 5, "the scans do not end"
+        return counted(*a)
+
+    monkeypatch.setattr(quantiles, "_counted", limited)
+    rows = df.select("x", F.lit(None).cast("double").alias("empty"))
+    fitted = steps.fit_steps(rows, [{"step": "impute"}, {"step": "scale"}], ["x", "empty"])
+    assert fitted.log == ["impute: no present value in ['empty'], dropped"]
+    assert fitted.columns == ["x"] and fitted.steps[0].values == {"x": pytest.approx(np.median(x))}
