@@ -113,9 +113,10 @@ def ceiling_spread(spark, folder):
 CLAMP = "round(least(greatest({0}, 0.001), 1000), 3)"
 
 
+# The points nearest to no skew, the earliest attempt on ties: compared in turn, since one packed number would lose digits of the skew.
 WEIGHTS = f"""p AS (SELECT a.run, a.iteration, a.weight, a.recall - a.specificity AS skew, a.imbalance, h.weight AS hw, h.recall - h.specificity AS hs, h.iteration AS hi
   FROM df a JOIN t h ON h.run = a.run AND h.model = a.model AND h.iteration <= a.iteration WHERE a.rule = 'skew'),
-x AS (SELECT run, iteration, weight, skew, imbalance, min_by(hw, hs * 1000 + hi / 1000.0) FILTER (hs > 0) AS aw, min(hs) FILTER (hs > 0) AS ahs, max_by(hw, hs * 1000 - hi / 1000.0) FILTER (hs < 0) AS bw, max(hs) FILTER (hs < 0) AS bhs FROM p GROUP BY ALL),
+x AS (SELECT run, iteration, weight, skew, imbalance, min_by(hw, {{'skew': hs, 'i': hi}}) FILTER (hs > 0) AS aw, min(hs) FILTER (hs > 0) AS ahs, max_by(hw, {{'skew': hs, 'i': -hi}}) FILTER (hs < 0) AS bw, max(hs) FILTER (hs < 0) AS bhs FROM p GROUP BY ALL),
 y AS (SELECT run, iteration, weight, {CLAMP.format('bw + (aw - bw) * (-bhs) / (ahs - bhs)')} AS crossing, {CLAMP.format("CASE WHEN skew < 0 AND weight = 1 THEN greatest(1.5, imbalance) WHEN skew < 0 THEN weight * 1.5 ELSE weight / 1.5 END")} AS step, bw < aw AS bracket FROM x)
 SELECT run, iteration, CASE WHEN bracket AND crossing <> {CLAMP.format('weight')} THEN crossing ELSE step END AS proposed_weight FROM y"""
 
