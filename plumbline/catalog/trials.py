@@ -32,7 +32,8 @@ W = f"WITH t AS ({TRIALS_SQL})"
 
 
 def trials(spark, folder):
-    rows = spark.sql(_TRIALS.format(d="D", lines="{lines}"), lines=table(spark, folder, "lineitem"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+    rows = spark.sql(_TRIALS.format(d="D", lines="{lines}"), lines=T.by_run(lines, "l_orderkey"))
     return rows.withColumn("params", F.expr("map('depth', CAST(depth AS STRING), 'weight', CAST(CAST(weight * 10 AS INT) AS STRING))"))
 
 

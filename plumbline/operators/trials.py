@@ -7,6 +7,7 @@ limit; runs spread over the cluster.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -19,6 +20,18 @@ UPTO = "OVER (PARTITION BY run ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDI
 MINIMIZE = f"direction = '{fixed.MINIMIZE}'"
 
 
+# Rows of attempts, or of what they are made of, in one task.
+TASK_ROWS = 400_000
+
+
+def by_run(rows: DataFrame, run: str = "run") -> DataFrame:
+    """Deals rows by their run, once: the windows, groupings and joins on the run that follow need no other shuffle.
+
+    The tasks grow in number with the rows, so none holds more at a larger size.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / TASK_ROWS)), run)
+
+
 def scored(trials: DataFrame) -> DataFrame:
     """A failed attempt has no score."""
     return trials.withColumn("score", F.expr("CASE WHEN status = 'error' OR isnan(score) THEN NULL ELSE score END"))
@@ -192,13 +205,12 @@ def novelty(plans: DataFrame, history: DataFrame, task: str = fixed.CLASSIFICATI
 
     When every model was tried it stays NULL and ``next_params`` holds a halved learning rate and more rounds.
     """
-    seen = history.select(F.col("run").alias("__run"), signature().alias("__sig")).distinct()
-    tried = history.groupBy(F.col("run").alias("__r2")).agg(F.collect_set("model").alias("__tried"), F.count(F.lit(1)).alias("__attempts"))
+    # A run's attempts are bounded by its iteration limit.
+    tried = history.withColumn("__sig", signature()).groupBy(F.col("run").alias("__run")).agg(
+        F.collect_set("__sig").alias("__sigs"), F.collect_set("model").alias("__tried"), F.count(F.lit(1)).alias("__attempts"))
     order = ", ".join(f"'{m}'" for m in candidate_order(task))
-    joined = plans.withColumn("signature", signature()).join(
-        seen, (F.col("run") == F.col("__run")) & (F.col("signature") == F.col("__sig")), "left")
-    joined = joined.withColumn("repeated", F.col("__sig").isNotNull()).drop("__run", "__sig").join(
-        tried, F.col("run") == F.col("__r2"), "left").drop("__r2")
+    joined = plans.withColumn("signature", signature()).join(tried, F.col("run") == F.col("__run"), "left").withColumn(
+        "repeated", F.expr("coalesce(array_contains(__sigs, signature), false)")).drop("__run", "__sigs")
     joined = joined.withColumn("next_model", F.expr(
         f"IF(repeated, try_element_at(filter(array({order}), m -> NOT array_contains(__tried, m)), 1), model)"))
     return joined.withColumn("next_params", F.expr(
