@@ -145,22 +145,26 @@ def predictions(spark, folder):
     return spark.read.parquet(path)
 
 
-def _histories(spark, folder):
-    """Run histories as JSON lines: one run per order, built from the derived trials."""
+def _nested(spark, folder):
+    """Run histories as rows: one run per order, built from the derived trials."""
     from plumbline.catalog.trials import trials
     from plumbline.operators.trials import diagnose
 
     t = diagnose(trials(spark, folder))
-    nested = t.groupBy(F.col("run").cast("string").alias("run")).agg(
+    return t.groupBy("run").agg(
         F.expr("struct(any_value(metric) AS metric) AS goal"), F.expr("CAST(count(1) AS INT) AS iterations"),
         F.expr("IF(count(1) >= 5, 'max_iterations', 'stalled') AS stop_reason"),
         F.expr("struct(any_value(run) % 2 = 0 AS dry_run, any_value(run) % 3 = 0 AS no_planner, 7 AS max_iterations) AS config"),
         F.expr("struct(max_by(iteration, score) AS iteration, max(score) AS score) AS best"),
         F.expr("struct(IF(any_value(run) % 5 = 0, 'error', 'ok') AS status, map(any_value(metric), min(score)) AS metrics) AS holdout"),
         F.expr("collect_list(struct(iteration, model, params AS hyperparams, status, error_type, map(metric, score, 'roc_auc', roc_auc) AS metrics, failure_type)) AS history"),
-        F.expr("1700000000000 + any_value(run) AS modified"))
+        F.expr("1700000000000 + any_value(run) AS modified")).withColumn("run", F.col("run").cast("string"))
+
+
+def _histories(spark, folder):
+    """The run histories as JSON lines."""
     path = f"{shared_folder(spark)}/histories-{uuid.uuid4().hex}"
-    nested.write.mode("overwrite").json(path)
+    _nested(spark, folder).write.mode("overwrite").json(path)
     return runs.read_histories(spark, path)
 
 

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check import normal
+from plumbline.catalog import batch
 from plumbline.operators import trials as T
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -47,3 +48,9 @@ def test_a_plan_without_history_or_with_a_null_in_it_is_new(spark):
     told = {r["run"]: (r["repeated"], r["next_model"]) for r in T.novelty(plans, history).collect()}
     assert told["a"] == told["b"] == (False, "logreg")
     assert told["c"][0] and told["c"][1] != "logreg"
+
+
+@pytest.mark.parametrize("name", ["s8_run_registry", "s9_attempts"])
+def test_histories_are_built_by_one_shuffle(spark, name):
+    assert shuffles(batch._nested(spark, SMALLEST)) == 1
+    against_sql(spark, name)
