@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows of a block, and queries whose distances to a block are held at a time.
+# Rows of a block, and queries whose distances to a block are held at a time (8 MB of them). A task holds two blocks, at any size of the tables.
 BLOCK_ROWS = 10_000
-QUERIES_AT_ONCE = 500
+QUERIES_AT_ONCE = 100
 # Sets of projections, and the rows that a bucket of a set should hold; it has 2 to 2**16 buckets.
 TABLES, BUCKET_ROWS, MOST_BITS = 8, 500, 16
 
@@ -27,42 +27,58 @@ def _dealt(df: DataFrame, key: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
 
 
-def _best(names, labels, rows, ids, points, k: int):
-    """The k nearest rows of each point: (point, row, squared distance), ties to the smaller name.
+def _best(names, rows, points, k: int):
+    """The k nearest rows of each point: numbers of the points, numbers of the rows, distances; ties to the smaller name.
 
     The product only chooses candidates, with room for its rounding; their distances are taken again term by term.
     """
     import numpy as np
 
     order = np.argsort(names, kind="stable")
-    names, labels, rows = names[order], labels[order], rows[order]
+    rows = rows[order]
     sizes = (rows ** 2).sum(1)
-    out = []
-    for lo in range(0, len(ids), QUERIES_AT_ONCE):
+    kept = min(k, len(rows))
+    asked, found, distance = (np.empty((len(points), kept), kind) for kind in (np.int64, np.int64, np.float64))
+    for lo in range(0, len(points), QUERIES_AT_ONCE):
         part = points[lo:lo + QUERIES_AT_ONCE]
         own = (part ** 2).sum(1)
-        near = sizes[None, :] - 2 * part @ rows.T + own[:, None]
-        kept = min(k, len(rows))
-        bound = np.partition(near, kept - 1, axis=1)[:, kept - 1] + 1e-9 * (own + sizes.max() + 1)
-        for i, (point, limit) in enumerate(zip(part, bound)):
+        near = part @ rows.T
+        near *= -2
+        near += sizes
+        near += own[:, None]
+        for i, point in enumerate(part):
+            limit = np.partition(near[i], kept - 1)[kept - 1] + 1e-9 * (own[i] + sizes.max() + 1)
             at = np.flatnonzero(near[i] <= limit)
             gaps = ((rows[at] - point) ** 2).sum(1)
-            take = np.argsort(gaps, kind="stable")[:k]
-            out += [(ids[lo + i], names[at[t]], labels[at[t]], float(np.sqrt(gaps[t]))) for t in take]
-    return out
+            take = np.argsort(gaps, kind="stable")[:kept]
+            asked[lo + i], found[lo + i], distance[lo + i] = lo + i, order[at[take]], np.sqrt(gaps[take])
+    return asked.ravel(), found.ravel(), distance.ravel()
+
+
+def _matrix(vectors):
+    """An Arrow column of lists as one matrix; vectors must be as long as each other and hold no null."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    flat = pc.list_flatten(vectors)
+    if vectors.null_count or flat.null_count or len(set(pc.list_value_length(vectors).unique().to_pylist())) != 1:
+        raise ValueError("vectors must be present, without nulls, and of one length")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
 
 
 def _searched(key: str, vector: str, label: str, k: int):
     def search(stored, asked):
-        import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        columns = [key, "neighbor", "label", "distance"]
-        if not len(stored) or not len(asked):
-            return pd.DataFrame({c: [] for c in columns})
-        matrix = lambda df: np.stack(df[vector].to_list()).astype("float64")
-        found = _best(stored[key].to_numpy(), stored[label].to_numpy(), matrix(stored), asked[key].to_numpy(), matrix(asked), k)
-        return pd.DataFrame(found, columns=columns)
+        names = stored.column(key)
+        if not stored.num_rows or not asked.num_rows:
+            none = names.slice(0, 0)
+            return pa.table({key: none, "neighbor": none, "label": stored.column(label).slice(0, 0), "distance": pa.array([], pa.float64())})
+        points, rows, distance = _best(names.to_numpy(), _matrix(stored.column(vector)), _matrix(asked.column(vector)), k)
+        return pa.table({key: asked.column(key).take(pa.array(points)), "neighbor": names.take(pa.array(rows)),
+                         "label": stored.column(label).take(pa.array(rows)), "distance": pa.array(distance)})
 
     return search
 
@@ -72,7 +88,7 @@ def _met(stored: DataFrame, asked: DataFrame, groups: list[str], reference: Data
         T.StructField(key, reference.schema[key].dataType), T.StructField("neighbor", reference.schema[key].dataType),
         T.StructField("label", reference.schema[label].dataType), T.StructField("distance", T.DoubleType())])
     apart = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # both sides may come from one table
-    near = stored.groupBy(*groups).cogroup(apart.groupBy(*groups)).applyInPandas(_searched(key, vector, label, k), schema)
+    near = stored.groupBy(*groups).cogroup(apart.groupBy(*groups)).applyInArrow(_searched(key, vector, label, k), schema)
     order = Window.partitionBy(key).orderBy("distance", "neighbor")
     return near.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -1,6 +1,9 @@
 """Nearest neighbours by blocks and by projection hashing."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.operators import neighbors
@@ -47,3 +50,27 @@ def test_hashed_search_finds_most_and_spreads_hot_buckets(spark, monkeypatch, bl
     told = neighbors.recall(found, exact, "id").first()
     assert told["neighbors"] == 300 and told["recall"] > 0.9
     assert found.groupBy("id").count().where("count > 5").count() == 0
+
+
+def test_a_pair_of_blocks_takes_little_memory():
+    rng = np.random.default_rng(2)
+    block = lambda n: pa.table({"id": np.arange(n), "v": pa.array(list(rng.normal(size=(n, 64)).astype("float32"))), "c": np.arange(n) % 3})
+    stored, asked = block(neighbors.BLOCK_ROWS), block(600)
+    tracemalloc.start()
+    found = neighbors._searched("id", "v", "c", 5)(stored, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 3000
+    assert peak < 48 << 20
+
+
+@pytest.mark.parametrize("vectors", [[[1.0], None], [[1.0], [1.0, 2.0]], [[1.0], [None]]])
+def test_vectors_that_cannot_be_compared_are_refused(vectors):
+    with pytest.raises(ValueError):
+        neighbors._matrix(pa.chunked_array([pa.array(vectors, pa.list_(pa.float64()))]))
+
+
+def test_names_and_labels_keep_their_types(spark):
+    df = spark.createDataFrame([("b", [0.0, 1.0], None), ("a", [0.0, 1.0], "x"), ("c", [5.0, 5.0], "y")], "id string, v array<float>, c string")
+    found = [(r["neighbor"], r["label"]) for r in neighbors.nearest(df, df.where("id = 'c'"), "id", "v", "c", 3).orderBy("rank").collect()]
+    assert found == [("c", "y"), ("a", "x"), ("b", None)]
