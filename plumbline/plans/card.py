@@ -65,6 +65,8 @@ def build_card(
     notes: Sequence[str] = (), policy: str = "reject", with_baseline: bool = True, seed: int = 42,
 ) -> DataFrame:
     """One row: rates, buckets and counts only. ``keys`` identify rows and are no features."""
+    # A dozen scans read the table; what made it, a join or features of whole texts, runs once.
+    df = stage(df, "card-rows")
     task = targets.detect_task(df, target)
     rows, gone = targets.apply_missing_policy(df, target, policy)
     coded = targets.encode_target(rows, target, task, "__y")
