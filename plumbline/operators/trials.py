@@ -131,7 +131,8 @@ def propose_weight(trials: DataFrame) -> DataFrame:
     step = clamp(
         f"CASE WHEN __skew < 0 AND weight = 1 THEN greatest({fixed.WEIGHT_STEP}D, imbalance) "
         f"WHEN __skew < 0 THEN weight * {fixed.WEIGHT_STEP}D ELSE weight / {fixed.WEIGHT_STEP}D END")
-    crossing = clamp("__below.weight + (__above.weight - __below.weight) * try_divide(-__below.skew, __above.skew - __below.skew)")
+    # Multiplied before it is divided: the other order rounds to another thousandth on some skews.
+    crossing = clamp("__below.weight + try_divide((__above.weight - __below.weight) * -__below.skew, __above.skew - __below.skew)")
     t = t.withColumn("proposed_weight", F.expr(
         f"CASE WHEN rule = 'skew' THEN CASE WHEN __below.weight < __above.weight AND {crossing} <> {clamp('weight')} "
         f"THEN {crossing} ELSE {step} END END"))
