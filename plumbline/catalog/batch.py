@@ -162,9 +162,9 @@ def _nested(spark, folder):
 
 
 def _histories(spark, folder):
-    """The run histories as JSON lines."""
+    """The run histories as compressed JSON lines: field names and metrics recur in every attempt. A file holds one task's runs."""
     path = f"{shared_folder(spark)}/histories-{uuid.uuid4().hex}"
-    _nested(spark, folder).write.mode("overwrite").json(path)
+    _nested(spark, folder).write.mode("overwrite").option("compression", "gzip").json(path)
     return runs.read_histories(spark, path)
 
 

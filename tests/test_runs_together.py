@@ -54,3 +54,10 @@ def test_a_plan_without_history_or_with_a_null_in_it_is_new(spark):
 def test_histories_are_built_by_one_shuffle(spark, name):
     assert shuffles(batch._nested(spark, SMALLEST)) == 1
     against_sql(spark, name)
+
+
+def test_histories_are_written_compact(spark):
+    found = batch._histories(spark, SMALLEST)
+    path = spark._jvm.org.apache.hadoop.fs.Path(found.inputFiles()[0].rsplit("/", 1)[0])
+    written = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    assert written < 100 * found.selectExpr("sum(size(history))").first()[0]
