@@ -633,3 +633,29 @@ def test_seating_matches_the_exact_law():
     n, fresh, d = 4000, 0.7, 0.4
     _, mean = pitman_yor.expected_tables(np.full(n, 2), np.full(n, fresh), d, 40, np.random.default_rng(2))
     assert mean.mean() == pytest.approx(1 + fresh / (1 - d + fresh), abs=0.03)
+
+
+def test_word_order_counts_in_the_model(spark):
+    """The same words in the order of the training rows are likelier; contexts give each word but the rest of its probability."""
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [(i, "one two three four five six") for i in range(60) if i not in held] + [(held[0], "one two three four five six"), (held[1], "six four two five three one")]
+    got = {r["doc_id"]: r for r in pitman_yor.model_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and got[held[0]]["held_out"] and got[held[1]]["held_out"]
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 2
+
+
+def test_next_words_are_a_distribution(spark):
+    """Held-out documents of one word each: what follows the start sums to less than 1, with the end and unknown words to about 1."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    free = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 != 0][:300]
+    rows = [(i, " ".join(rng.choice(vocabulary, 12, p=np.arange(40, 0, -1) / 820))) for i in train]
+    asked = dict(zip(free, vocabulary))
+    # With a word after it that no training row has, the rest of the text costs the same after every word but for its context.
+    rows += [(i, w) for i, w in asked.items()] + [(free[50], ""), (free[51], "w0")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = {r["doc_id"]: 10 ** r["score"] for r in pitman_yor.model_scores(table).collect()}
+    assert 0 < sum(scored[i] for i in asked) + scored[free[50]] < 1
+    assert scored[free[51]] == pytest.approx(scored[free[0]], rel=1e-5)
