@@ -3,7 +3,8 @@
 A sketch brackets each wanted rank. A scan counts the rows below and inside each bracket: one that missed its rank is
 widened, one that holds too many rows is sketched again from inside, until each is small. A last scan counts the distinct
 values inside, and the rank is read off that table, whose size ``FEW`` bounds.
-A measure without values has no quantile and no row; it keeps no scan going.
+A measure without values has no quantile and no row; it keeps no scan going. NaN counts as the greatest value, as in the
+built-in percentile; no bracket reaches it, so a rank among the NaN is not looked for.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ def _edges(probs: Sequence[float]) -> list[float]:
 
 
 def quantiles_of(column: str, ranks: Sequence[float]) -> str:
-    """SQL: sketched quantiles of a column, NULL where it has no value."""
+    """SQL: sketched quantiles of a column without its NaN, NULL where it has no value."""
     at = f"array({', '.join(f'{r!r}D' for r in ranks)})"
-    return f"IF(count({column}) > 0, kll_sketch_get_quantile_double(kll_sketch_agg_double({column}, {SKETCH_SIZE}), {at}), NULL)"
+    return f"IF(count(nanvl({column}, NULL)) > 0, kll_sketch_get_quantile_double(kll_sketch_agg_double({column}, {SKETCH_SIZE}), {at}), NULL)"
 
 
 def exact_quantiles(
@@ -72,13 +73,18 @@ def _direct(wide: DataFrame, names: Sequence[str], probs: Mapping[str, Sequence[
 
 def sketch(column: str, probs: Sequence[float]) -> str:
     """SQL: the state that brackets a double ``column``; one scan may hold it beside any other aggregates."""
-    return f"struct(count({column}) AS n, {quantiles_of(column, [0.0, 1.0, *_edges(probs)])} AS e)"
+    return f"struct(count({column}) AS n, count_if(isnan({column})) AS nans, {quantiles_of(column, [0.0, 1.0, *_edges(probs)])} AS e)"
+
+
+def _among_nans(p: float, state: str) -> str:
+    """SQL: does a state's rank ``p`` need one of its NaN, which are its last values?"""
+    return f"(ceil({p!r}D * ({state}.n - 1)) >= {state}.n - {state}.nans)"
 
 
 def _literal(row) -> str:
     """A bracket state as SQL text."""
     listed = lambda values: f"array({', '.join(map(number_literal, values))})"
-    return (f"struct({row['n']}L AS n, {number_literal(row['lo'])} AS lo, {number_literal(row['hi'])} AS hi, "
+    return (f"struct({row['n']}L AS n, {row['nans']}L AS nans, {number_literal(row['lo'])} AS lo, {number_literal(row['hi'])} AS hi, "
             f"{listed(row['l'])} AS l, {listed(row['h'])} AS h)")
 
 
@@ -86,9 +92,12 @@ def _first_brackets(stats: DataFrame, names: Sequence[str], probs: Mapping[str,
     """by..., b<i>: count, least and largest value, and the two ends of the bracket around every wanted rank."""
     states = []
     for i, m in enumerate(names):
-        low = ", ".join(f"if(s{i}.n <= {SMALL}, s{i}.e[0], s{i}.e[{2 * j + 2}])" for j, _ in enumerate(probs[m]))
-        high = ", ".join(f"if(s{i}.n <= {SMALL}, s{i}.e[1], s{i}.e[{2 * j + 3}])" for j, _ in enumerate(probs[m]))
-        states.append(f"struct(s{i}.n AS n, s{i}.e[0] AS lo, s{i}.e[1] AS hi, array({low}) AS l, array({high}) AS h) AS b{i}")
+        # A rank among the NaN gets a bracket of one value, which stays.
+        low = ", ".join(f"if(s{i}.n <= {SMALL} OR {_among_nans(p, f's{i}')}, s{i}.e[0], s{i}.e[{2 * j + 2}])" for j, p in enumerate(probs[m]))
+        high = ", ".join(
+            f"CASE WHEN {_among_nans(p, f's{i}')} THEN s{i}.e[0] WHEN s{i}.n <= {SMALL} THEN s{i}.e[1] ELSE s{i}.e[{2 * j + 3}] END"
+            for j, p in enumerate(probs[m]))
+        states.append(f"struct(s{i}.n AS n, s{i}.nans AS nans, s{i}.e[0] AS lo, s{i}.e[1] AS hi, array({low}) AS l, array({high}) AS h) AS b{i}")
     return stage(stats.select(*by, *[F.expr(x) for x in states]), "quantile-brackets")
 
 
@@ -124,7 +133,8 @@ def _next(names: Sequence[str], probs: Mapping[str, Sequence[float]], fine: bool
             r, b = f"r{i}_{j}", f"b{i}"
             low, high = f"{b}.l[{j}]", f"{b}.h[{j}]"
             rank = f"{p!r}D * ({b}.n - 1)"
-            under, over = f"{r}.below > floor({rank})", f"{r}.below + {r}.inside <= ceil({rank})"
+            sought = f"NOT {_among_nans(p, b)}"
+            under, over = f"({sought} AND {r}.below > floor({rank}))", f"({sought} AND {r}.below + {r}.inside <= ceil({rank}))"
             big = f"({r}.inside > {FEW} AND {low} < {high} AND NOT ({under}) AND NOT ({over}))"
             cell = lambda where, step: f"{r}.g[CAST(greatest(0, least({GRID}, {where}((({rank}) - {r}.below) / {r}.inside * {GRID}) + {step})) AS INT)]"
             new_low = f"CASE WHEN {under} THEN {b}.lo WHEN {big} THEN coalesce(greatest({low}, {cell('floor', -1)}), {low}) ELSE {low} END"
@@ -134,7 +144,7 @@ def _next(names: Sequence[str], probs: Mapping[str, Sequence[float]], fine: bool
             shrinks = f"({new_low} > {low} OR {new_high} < {high})" if fine else "true"
             # A measure without values has no rank to look for.
             open_ones.append(f"if(coalesce({b}.n > 0 AND ({under} OR {over} OR ({big} AND {shrinks})), false), 1, 0)")
-        states.append(f"struct(b{i}.n AS n, b{i}.lo AS lo, b{i}.hi AS hi, array({', '.join(lows)}) AS l, array({', '.join(highs)}) AS h) AS b{i}")
+        states.append(f"struct(b{i}.n AS n, b{i}.nans AS nans, b{i}.lo AS lo, b{i}.hi AS hi, array({', '.join(lows)}) AS l, array({', '.join(highs)}) AS h) AS b{i}")
     return states, " + ".join(open_ones)
 
 
@@ -162,8 +172,8 @@ def _bracketed(
             within = f"{low} < {high} AND m{i} >= {low} AND m{i} <= {high}"
             inside.append(f"({within})")
             elements.append(f"CASE WHEN {within} THEN struct({i} AS m, {j} AS j, m{i} AS v) END")
-            wanted.append(f"struct({i} AS m, {j} AS j, {text_literal(m)} AS measure, {p!r}D AS prob, b{i}.n AS n, r{i}_{j}.below AS below)")
-            single.append(f"CASE WHEN b{i}.l[{j}] = b{i}.h[{j}] THEN struct({i} AS m, {j} AS j, b{i}.l[{j}] AS v, r{i}_{j}.inside AS k) END")
+            wanted.append(f"struct({i} AS m, {j} AS j, {text_literal(m)} AS measure, {p!r}D AS prob, b{i}.n AS n, {_among_nans(p, f'b{i}')} AS nan, r{i}_{j}.below AS below)")
+            single.append(f"CASE WHEN b{i}.l[{j}] <=> b{i}.h[{j}] THEN struct({i} AS m, {j} AS j, b{i}.l[{j}] AS v, r{i}_{j}.inside AS k) END")
     requests = counted.select(*by, rows_from(wanted)).where("n > 0")
     # The filter keeps the rows of the brackets only; the generator then runs on those. A bracket of one value is counted already.
     counts = joined.where(" OR ".join(inside)).select(*by, rows_of(elements)).groupBy(*by, "m", "j", "v").agg(
@@ -172,11 +182,12 @@ def _bracketed(
     running = Window.partitionBy(*by, "m", "j").orderBy("v")
     counts = counts.withColumn("run", F.sum("k").over(running))
     picked = join_on(counts, requests, [*by, "m", "j"]).withColumn("cum", F.col("below") + F.col("run")).groupBy(
-        *by, "measure", "prob", "n").agg(
+        *by, "measure", "prob", "n", "nan").agg(
         F.expr("min(CASE WHEN cum > floor(prob * (n - 1)) THEN struct(cum, v) END) AS a"),
         F.expr("min(CASE WHEN cum > ceil(prob * (n - 1)) THEN struct(cum, v) END) AS b"),
     )
-    return picked.select(*by, "measure", "prob", "n", F.expr("a.v + (b.v - a.v) * (prob * (n - 1) - floor(prob * (n - 1))) AS value"))
+    return picked.select(*by, "measure", "prob", "n", F.expr(
+        "CASE WHEN nan THEN CAST('NaN' AS DOUBLE) ELSE a.v + (b.v - a.v) * (prob * (n - 1) - floor(prob * (n - 1))) END AS value"))
 
 
 def wide_quantiles(quantiles: DataFrame, wanted: Sequence[tuple[str, float, str]], by: Sequence[str]) -> DataFrame:

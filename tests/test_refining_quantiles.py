@@ -137,3 +137,30 @@ def test_steps_drop_an_empty_column_of_many_rows(spark, table, monkeypatch):
     fitted = steps.fit_steps(rows, [{"step": "impute"}, {"step": "scale"}], ["x", "empty"])
     assert fitted.log == ["impute: no present value in ['empty'], dropped"]
     assert fitted.columns == ["x"] and fitted.steps[0].values == {"x": pytest.approx(np.median(x))}
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("share", [3, 5, 6, 10])
+def test_nans_count_as_the_greatest_values_and_end(spark, monkeypatch, share, by):
+    scans = []
+    counted = quantiles._counted
+
+    def limited(*a):
+        scans.append(a[-1])
+        assert len(scans) < 5, "the scans do not end"
+        return counted(*a)
+
+    monkeypatch.setattr(quantiles, "_counted", limited)
+    rows = spark.range(5_000).selectExpr(f"IF(id % 10 < {share}, CAST('NaN' AS DOUBLE), id * 1.0D) AS x", "id % 11 AS y", "id % 3 AS g")
+
+    def found(small):
+        monkeypatch.setattr(quantiles, "SMALL", small)
+        out = quantiles.exact_quantiles(rows, {"x": "x", "y": "y"}, {"x": (0.0, 0.25, 0.5, 1.0), "y": (0.5,)}, by)
+        return {(*[r[c] for c in by], r["measure"], r["prob"]): (r["n"], repr(r["value"])) for r in out.collect()}
+
+    want = found(100_000)
+    assert not scans and len(want) == (15 if by else 5)
+    assert found(100) == want and scans
+    monkeypatch.setattr(quantiles, "FEW", 50)
+    scans.clear()
+    assert found(100) == want
