@@ -19,8 +19,10 @@ QUERIES_AT_ONCE = 100
 TABLES, BUCKET_ROWS, MOST_BITS = 8, 500, 16
 
 
-def _blocks(df: DataFrame) -> int:
-    return max(1, -(-df.count() // BLOCK_ROWS))
+def _blocks(df: DataFrame, least: int = 1) -> int:
+    """Blocks of a table; ``least``, if each of them gets ``QUERIES_AT_ONCE`` rows."""
+    rows = df.count()
+    return max(1, -(-rows // BLOCK_ROWS), min(least, rows // QUERIES_AT_ONCE))
 
 
 def _dealt(df: DataFrame, key: str, blocks: int) -> Column:
@@ -97,8 +99,10 @@ def nearest(reference: DataFrame, queries: DataFrame, key: str, vector: str, lab
     """Rows (key, neighbor, label, distance, rank) of the k nearest reference rows per query.
 
     Each pair of blocks keeps k rows a query, so the last shuffle carries k rows per query and block of the reference.
+    Few queries are dealt into smaller blocks, so that every core has a pair.
     """
-    rows, asks = _blocks(reference), _blocks(queries)
+    rows = _blocks(reference)
+    asks = _blocks(queries, -(-reference.sparkSession.sparkContext.defaultParallelism // rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     stored = reference.select(key, vector, label, _dealt(reference, key, rows).alias("__r"), every(asks).alias("__q"))
     asked = queries.select(key, vector, _dealt(queries, key, asks).alias("__q"), every(rows).alias("__r"))

@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import neighbors
 
@@ -34,6 +35,20 @@ def test_blocks_equal_a_plain_search(spark, monkeypatch, block):
     assert found == {q: plain(x, q, 5) for q in [*range(0, 400, 7), 12]}
 
 
+def test_small_tables_are_searched_on_every_core(spark, monkeypatch):
+    x, df = rows(spark)
+    dealt, met = [], neighbors._met
+    monkeypatch.setattr(neighbors, "_met", lambda stored, asked, *a: dealt.extend(
+        [asked.select("__q").distinct().count(), stored.select("__q").distinct().count()]) or met(stored, asked, *a))
+    cores = spark.sparkContext.defaultParallelism
+    found = {}
+    for r in neighbors.nearest(df, df.crossJoin(spark.range(cores).select(F.lit(400).alias("__n"), F.col("id").alias("__k"))).selectExpr(
+            "id + __n * (__k + 1) AS id", "v"), "id", "v", "c", 5).collect():
+        found.setdefault(r["id"], []).append((r["rank"], r["neighbor"]))
+    assert dealt == [cores, cores] and cores > 1
+    assert {q: [n for _, n in sorted(f)] for q, f in found.items()} == {q: plain(x, q % 400, 5) for q in range(400, 400 * (cores + 1))}
+
+
 def test_fewer_rows_than_neighbours_and_none(spark):
     _, df = rows(spark, 30)
     assert neighbors.nearest(df.where("id < 3"), df.where("id = 5"), "id", "v", "c", 5).count() == 3
